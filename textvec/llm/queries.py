@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encode_decode
 from .common import table
 from .language_id import PER_LANGUAGE, fitted, language_id, training_rows
 from .licenses import license_scan
 from .line_dedup import MIN_PAGES, RATIO, line_dedup
+from .pii import KINDS, pii
 from .token_counts import token_counts
 
 CONTEXT = 1024
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_<kind> counts base spans; spans holds the added ones too, by start, then kind."""
+    out = pii(table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    order = F.array(*(F.lit(k) for k in KINDS))
+    rank = lambda kind: F.when(F.array_contains(order, kind), F.array_position(order, kind)).otherwise(F.lit(99))
+    every = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(k) for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(every).alias("spans"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of the text that is left."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -58,6 +76,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
