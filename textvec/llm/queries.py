@@ -11,6 +11,7 @@ from .language_id import PER_LANGUAGE, fitted, language_id, training_rows
 from .licenses import license_scan
 from .line_dedup import MIN_PAGES, RATIO, line_dedup
 from .pii import KINDS, pii
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 CONTEXT = 1024
@@ -66,6 +67,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs, filters).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > CONTEXT)
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
 }
