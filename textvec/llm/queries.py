@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_decode
 from .common import table
+from .embedding_dedup import embedding_dedup
 from .language_id import PER_LANGUAGE, fitted, language_id, training_rows
 from .licenses import license_scan
 from .line_dedup import MIN_PAGES, RATIO, line_dedup
@@ -29,6 +30,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(every).alias("spans"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
