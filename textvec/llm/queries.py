@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_decode
 from .common import table
 from .embedding_dedup import embedding_dedup
+from .jaccard_join import jaccard_join
 from .language_id import PER_LANGUAGE, fitted, language_id, training_rows
 from .licenses import license_scan
 from .line_dedup import MIN_PAGES, RATIO, line_dedup
@@ -18,6 +19,10 @@ from .token_counts import token_counts
 CONTEXT = 1024
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), n=3, per_cent=90)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_<kind> counts base spans; spans holds the added ones too, by start, then kind."""
     out = pii(table(spark, sf_dir, "documents"))
@@ -86,6 +91,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_pii": op2_pii,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_byte_bpe": op4_byte_bpe,
