@@ -105,6 +105,11 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def hinted(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """df, of a few short columns, with a broadcast hint where it has at most so many rows."""
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file is; TEXTVEC_TOKENIZERS names another folder."""
     if folder := os.environ.get("TEXTVEC_TOKENIZERS"):

@@ -165,7 +165,7 @@ def language_id(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_
             kept["own"] = Filters(languages, words)
             kept["own"].usual = usual
         own, out = kept["own"], []
-        for text in batch.column("text").to_pylist():
+        for text in batch.column("__text").to_pylist():
             if not text or not own.languages or not _LETTER.search(text):
                 out.append(("und", 0.0, 0.0))
                 continue
@@ -173,6 +173,6 @@ def language_id(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_
             best, total = int(np.argmax(c)), float(c.sum())
             out.append((own.languages[best], float(c[best]) / total if total > 0 else 1.0 / len(c), float(c[best])))
         lang, score, evidence = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(evidence, pa.float64()), *(batch.column(c) for c in keep)], names=["doc_id", "lang_pred", "score", "evidence", *keep])
+        return pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(evidence, pa.float64()), *(batch.column(c) for c in keep)], names=["doc_id", "lang_pred", "score", "evidence", *keep])
 
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *keep), predict, schema)
+    return arrow_map(docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"), *keep), predict, schema, by="__text")

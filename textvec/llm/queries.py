@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_decode
 from .common import table
+from .decontamination import decontamination
 from .embedding_dedup import embedding_dedup
 from .jaccard_join import jaccard_join
 from .language_id import PER_LANGUAGE, fitted, language_id, training_rows
@@ -43,6 +44,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of each benchmark item that a document contains, with the evidence."""
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of the text that is left."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -95,6 +101,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
