@@ -36,6 +36,8 @@ STRIDE, RANK, EXTRA = 16, 48, 16
 STOP = 0.5
 COSINE, LCS, LOOSE, ANSWER = 0.4, 0.75, 0.6, 0.9
 SLICE = 2000
+#: Bytes of text hashed at once; the arrays take some 50 times as much.
+PIECE = 2 << 20
 MATCHES = "doc_id long, item_id long, lcs double, answer double, cosine double"
 
 
@@ -109,7 +111,7 @@ def _frequencies(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         total, n = np.zeros(len(items.terms), dtype=np.int64), 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             h, counts = word_hashes(batch.column("text"), fold=True)
             numbers = items.numbers(h)
             at = np.flatnonzero(numbers >= 0)
@@ -127,7 +129,7 @@ def _ranges(shared, idf_of):
         items, (idf, test) = shared.value, idf_of.value
         total, n = np.zeros((len(items.terms), test.shape[1])), 0
         scaled = (idf[:, None] * test).astype(np.float32)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             h, counts = word_hashes(batch.column("text"), fold=True)
             terms, block, _, _ = _weighted(items.numbers(h), counts, idf)
             sums, blocks = _block_sums(terms, block, scaled)
@@ -179,7 +181,7 @@ def _search(shared, space_of, cosine: float, lcs: float, loose: float, answer: f
         holds = np.zeros((len(items.ids), len(items.terms)), dtype=bool)
         for k, w in enumerate(items.words):
             holds[k, np.searchsorted(items.terms, w)] = True
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             h, counts = word_hashes(batch.column("text"), fold=True)
             numbers = items.numbers(h)
             terms, block, first, many = _weighted(numbers, counts, idf)

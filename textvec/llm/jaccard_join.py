@@ -40,6 +40,8 @@ from .components import components
 from .shingles import inside, mixed, ngrams, word_hashes
 
 SKETCH = 1 << 20
+#: Bytes of text hashed at once; the arrays take some 50 times as much.
+PIECE = 2 << 20
 MOST = 4
 PIVOT_ROUNDS = 2
 #: Bytes of ids up to which the documents to verify are broadcast to the scan of texts.
@@ -85,7 +87,7 @@ def _sets(n: int, size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         names = ["doc_id", "n", "key", "key2", "row", "counters"]
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             own, offsets = shingle_sets(batch.column("text"), n)
             total += np.bincount(_counter_of(own, size), minlength=size)
             keys = [xxhash.xxh3_128_intdigest(own[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
@@ -197,7 +199,7 @@ class _Verifier:
         ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         docs = self.docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id")).select("doc_id", "text")
-        sets = stored(arrow_map(docs, _set_rows(self.n), "id long, tokens binary").dropDuplicates(["id"]))
+        sets = stored(arrow_map(docs, _set_rows(self.n), "id long, tokens binary", limit=PIECE).dropDuplicates(["id"]))
         joined = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens2")), "b")
         return stored(joined.select("a", "b", "tokens", "tokens2").mapInArrow(_verify(self.per_cent), "a long, b long"))
 
@@ -215,7 +217,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linkable = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = stored(linkable.groupBy("key", "key2").agg(F.min("doc_id").alias("least")))
     shared = spark.sparkContext.broadcast(frequency_sketch(scanned.filter("row is not null").select("row", "counters"), SKETCH))
-    every = arrow_map(docs.filter("doc_id is not null"), _postings(n, per_cent, shared), "token long, id long, n int, ell byte, at int")
+    every = arrow_map(docs.filter("doc_id is not null"), _postings(n, per_cent, shared), "token long, id long, n int, ell byte, at int", limit=PIECE)
     # only one document of each class takes part
     postings = stored(every.join(classes.select(F.col("least").alias("id")).distinct(), "id", "left_semi").distinct())
     seen = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token"))
