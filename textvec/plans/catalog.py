@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import vectors
+
+QUERIES: dict = dict(vectors.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(vectors.ORACLE_SQL)
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    return QUERIES["l2_normalize"](spark, "/root/testdata/sf0.001")
