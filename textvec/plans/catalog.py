@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import vectors
+from . import models, texts, vectors
 
-QUERIES: dict = dict(vectors.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(vectors.ORACLE_SQL)
+QUERIES: dict = vectors.QUERIES | texts.QUERIES | models.QUERIES
+ORACLE_SQL: dict[str, str] = vectors.ORACLE_SQL | texts.ORACLE_SQL | models.ORACLE_SQL
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return QUERIES["l2_normalize"](spark, "/root/testdata/sf0.001")
+    """Documents to unit vectors: tokenised, encoded, pooled, normalised."""
+    return QUERIES["embed_bert"](spark, os.environ.get("ENTRY_SF_DIR", "/root/testdata/sf0.001"))

@@ -1 +1 @@
-
+"""Stateless streams over the same transforms as batch."""
