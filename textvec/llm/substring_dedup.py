@@ -34,6 +34,8 @@ from .common import arrow_map, digest, raw_bytes, stored
 from .shingles import inside, ngrams, sliding_min, word_hashes
 
 WINDOW, PHRASE = 50, 8
+#: Bytes of text hashed at once; the arrays take some 50 times as much.
+PIECE = 1 << 20
 #: Bytes up to which the lists of concerned documents are broadcast.
 BROADCAST_BYTES = 48 << 20
 
@@ -167,7 +169,7 @@ def _keyed(docs: DataFrame, few: DataFrame, size: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, texts: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row; with texts also `kept`, the words that are left (null: unchanged)."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    meta = stored(arrow_map(docs, _scan(window, phrase), "doc_id long, n_words long, whole string, key long, key2 long, anchors array<long>"))
+    meta = stored(arrow_map(docs, _scan(window, phrase), "doc_id long, n_words long, whole string, key long, key2 long, anchors array<long>", limit=PIECE))
     classes = meta.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("key", "key2").agg(F.min("doc_id").alias("least"))
     # stored, so that the join sees two plain shuffles and can split a class that holds a third of all rows
     meta2 = meta.join(stored(classes), ["key", "key2"], "left")
@@ -177,12 +179,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = stored(own.join(stored(recurring), "anchor").groupBy("doc_id", "key").agg(F.collect_list("anchor").alias("recurring")))
     size = lists.agg(F.sum(8 * F.size("recurring") + 64)).first()[0] or 0
     right = _keyed(docs, lists, size)
-    windows = stored(arrow_map(right, _candidates(window, phrase), "w long, doc_id long, key long, spot int"))
+    windows = stored(arrow_map(right, _candidates(window, phrase), "w long, doc_id long, key long, spot int", limit=PIECE))
     least = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "least")
     spots = windows.join(stored(least), "w").filter("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("spot").alias("spots"))
     spots = stored(spots.mapInArrow(_thinned(window), "doc_id long, key long, spots array<int>"))
     size = spots.agg(F.sum(4 * F.size("spots") + 64)).first()[0] or 0
-    cut = arrow_map(_keyed(docs, spots, size), _cut(window), "doc_id long, key long, n_removed long, kept_sha256 string, kept string")
+    cut = arrow_map(_keyed(docs, spots, size), _cut(window), "doc_id long, key long, n_removed long, kept_sha256 string, kept string", limit=PIECE)
     if not texts:
         cut = cut.drop("kept")
     cut = cut.withColumnRenamed("n_removed", "r").withColumnRenamed("kept_sha256", "s").dropDuplicates(["doc_id", "key"])
