@@ -34,9 +34,9 @@ from .token_counts import stable_pieces
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 128  # positions take 8 bits in the query
 #: Words and pieces that a worker remembers: the newest so many at least, twice as many at most.
-KEPT = 150_000
+KEPT = 200_000
 #: Words of one recursive query.
-WORDS = 30_000
+WORDS = 15_000
 
 _RECURSION = """
 WITH RECURSIVE state(word, ord, id, round) AS (

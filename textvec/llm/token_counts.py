@@ -18,6 +18,7 @@ two named columns are read, whatever others there are.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -84,16 +85,12 @@ def resynchronised(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
     return out + left.ids[trusted:]
 
 
+_STABLE = re.compile(r"(?<=\S)(?= \S)")
+
+
 def stable_pieces(text: str) -> list[str]:
     """The text cut before each space that stands between two characters that aren't white space."""
-    parts = text.split(" ")
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out
+    return _STABLE.split(text)
 
 
 def _counter(path: str, huge: int):
