@@ -2,16 +2,19 @@
 
 Documents are cut in passages of `2 * STRIDE` words, one every `STRIDE` words.  Passages and
 benchmark items are TF-IDF vectors over the benchmark's terms, with document frequencies counted
-over the whole corpus; terms in over `STOP` of all documents weigh nothing, unless half of an item's
-words are such terms.  A distributed randomised SVD gives the latent space: each task applies A^T A to a fixed Gaussian test matrix for
+over the whole corpus; terms in over `STOP` of all documents weigh nothing, unless nearly all of an
+item's words are such terms.  A distributed randomised SVD gives the latent space: each task applies A^T A to a fixed Gaussian test matrix for
 its own passages, the sums are added up, and the driver solves the small Nystroem eigenproblem
-(terms x rank, of bounded size).  All passages of all documents are then projected, and those whose
-cosine with an item reaches `cosine` become candidates.
+(terms x rank, of bounded size).  The space is an index: it is fitted on the passages of at most
+about `SAMPLE` documents, those of least hash of their text, and on the items themselves, which
+count as much as all of these, so that it tells items apart.  All passages of all documents are then projected, and those whose
+cosine with an item reaches `cosine`, and whose projection on it `COVER` of its length, become
+candidates.
 
 A candidate is verified on the words around the passage: the longest common subsequence with the
 item must cover `lcs` of the item, or, for paraphrases, `loose` of the item together with `answer`
-of the item's answer (its last sentence).  A count of shared words, an upper bound of the
-subsequence, comes first and loses nothing.
+of the item's answer (its last sentence); and `CONTENT` of the item's rarer words, those with a
+weight, must stand there, which is tested first.
 
 Benchmarks are taken in slices of `SLICE` items, each broadcast, so the broadcast is bounded however
 large the benchmark is.  Null and empty texts match nothing; null item ids are kept as null.  Words
@@ -32,9 +35,12 @@ from pyspark.sql import functions as F
 from .common import pieces, stored
 from .shingles import word_hashes
 
-STRIDE, RANK, EXTRA = 16, 48, 16
-STOP = 0.5
-COSINE, LCS, LOOSE, ANSWER = 0.4, 0.75, 0.6, 0.9
+STRIDE, RANK, EXTRA = 16, 96, 16
+#: Documents whose passages the latent space is fitted on, at most about; all are searched.
+SAMPLE = 4000
+STOP, OFTEN = 0.02, 0.5
+#: A candidate passage points towards an item by COSINE, and reaches COVER of its length.
+COSINE, COVER, CONTENT, LCS, LOOSE, ANSWER = 0.5, 0.4, 0.5, 0.75, 0.6, 0.9
 SLICE = 2000
 #: Bytes of text hashed at once; the arrays take some 50 times as much.
 PIECE = 2 << 20
@@ -78,6 +84,13 @@ class Items:
         self.some = np.zeros(1 << 16, dtype=bool)
         self.some[(self.terms >> np.uint64(48)).astype(np.int64)] = True
 
+    def matrix(self) -> np.ndarray:
+        """Counts of each term in each item."""
+        out = np.zeros((len(self.ids), len(self.terms)))
+        for k, w in enumerate(self.words):
+            np.add.at(out[k], np.searchsorted(self.terms, w), 1)
+        return out
+
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 for words of no item."""
         out = np.full(len(h), -1, dtype=np.int32)
@@ -116,8 +129,12 @@ def _frequencies(shared):
             numbers = items.numbers(h)
             at = np.flatnonzero(numbers >= 0)
             text = np.searchsorted(np.cumsum(counts), at, side="right")
-            pairs = np.unique(text.astype(np.int64) * len(items.terms) + numbers[at])
-            total += np.bincount(pairs % len(items.terms), minlength=len(items.terms))
+            step = max(1, (32 << 20) // max(1, len(items.terms)))
+            for start in range(0, batch.num_rows, step):
+                a, b = np.searchsorted(text, [start, start + step])
+                seen = np.zeros((min(step, batch.num_rows - start), len(items.terms)), dtype=bool)
+                seen[text[a:b] - start, numbers[at[a:b]]] = True
+                total += seen.sum(axis=0)
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "sums"])
 
@@ -175,43 +192,57 @@ def latent_space(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
 
 def _search(shared, space_of, cosine: float, lcs: float, loose: float, answer: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, (idf, basis, targets) = shared.value, space_of.value
+        items, (idf, basis, targets, lengths) = shared.value, space_of.value
         rows = (idf[:, None] * basis).astype(np.float32)
+        reaches = np.sqrt((rows**2).sum(axis=1))
         sizes = np.array([len(w) for w in items.words])
-        holds = np.zeros((len(items.ids), len(items.terms)), dtype=bool)
+        holds = np.zeros((len(items.ids), len(items.terms) + 1), dtype=bool)  # the last column is for words of no item
         for k, w in enumerate(items.words):
             holds[k, np.searchsorted(items.terms, w)] = True
+        # an item lacks no more distinct rare words than it lacks words
+        heavy = holds & np.append(idf > 0, False)
+        rarer = heavy.sum(axis=1)
         for batch in pieces(batches, "text", PIECE):
             h, counts = word_hashes(batch.column("text"), fold=True)
             numbers = items.numbers(h)
             terms, block, first, many = _weighted(numbers, counts, idf)
-            sums, blocks = _block_sums(terms, block, rows)
+            # no passage reaches further than its words' projections add up to: most end here
+            heads = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
+            blocks = block[heads]
             if not len(blocks):
                 continue
-            # a passage is a block and the next one of the same text, where that has weight too
             text = np.searchsorted(first + many, blocks, side="right")
+            # a passage is a block and the next one of the same text, where that has weight too
             follows = np.zeros(len(blocks), dtype=bool)
             follows[:-1] = (blocks[1:] == blocks[:-1] + 1) & (text[1:] == text[:-1])
-            double = sums.copy()
-            double[follows] += sums[1:][follows[:-1]]
+            most = np.add.reduceat(reaches[terms], heads)
+            most[:-1] += np.where(follows[:-1], most[1:], 0)
+            far = most >= COVER * lengths.min()
+            wanted = far.copy()
+            wanted[1:] |= far[:-1] & follows[:-1]
+            if not far.any():
+                continue
+            words_of = wanted[np.repeat(np.arange(len(blocks)), np.diff(np.append(heads, len(block))))]
+            sums = np.zeros((len(blocks), rows.shape[1]), dtype=np.float32)
+            sums[wanted], _ = _block_sums(terms[words_of], block[words_of], rows)
+            sums[follows] += sums[1:][follows[:-1]]
             starts = (np.cumsum(counts) - counts)[text] + (blocks - first[text]) * STRIDE
+            sums, starts, text = sums[far], starts[far], text[far]
+            length = np.sqrt(np.einsum("ij,ij->i", sums, sums))
             out = {}
-            for vectors in (sums, double):
-                length = np.sqrt((vectors**2).sum(axis=1))
-                near = vectors / np.maximum(length, 1e-12)[:, None] @ targets.T
-                p, k = np.nonzero(near >= cosine)
-                if not len(p):
-                    continue
+            for start in range(0, len(sums), 16_384):
+                reach = sums[start : start + 16_384] @ targets.T
+                p, k = np.nonzero((reach >= cosine * length[start : start + 16_384, None]) & (reach >= COVER * lengths))
+                near = reach[p, k] / np.maximum(length[start + p], 1e-12)
+                p += start
                 # the words that a subsequence may use: the passage and an item's length on either side
                 begin = np.maximum((np.cumsum(counts) - counts)[text[p]], starts[p] - sizes[k])
                 end = np.minimum(np.cumsum(counts)[text[p]], starts[p] + 2 * STRIDE + sizes[k])
-                for a, b, item, t, c in zip(begin.tolist(), end.tolist(), k.tolist(), text[p].tolist(), near[p, k].tolist(), strict=True):
+                for a, b, item, t, c in zip(begin.tolist(), end.tolist(), k.tolist(), text[p].tolist(), near.tolist(), strict=True):
                     area = numbers[a:b]
-                    area = area[area >= 0]
-                    if np.count_nonzero(holds[item, area]) < min(lcs, loose) * sizes[item]:
-                        continue
-                    if (t, item, a, b) in out:
-                        out[t, item, a, b] = (*out[t, item, a, b][:2], max(c, out[t, item, a, b][2]))
+                    area = np.unique(area[heavy[item, area]])
+                    # a subsequence lacks at most so many of the item's words, and of its rarer ones
+                    if len(area) < max(CONTENT * rarer[item], rarer[item] - (1 - min(lcs, loose)) * sizes[item]):
                         continue
                     words = h[a:b].tolist()
                     share = lcs_length(items.words[item].tolist(), words) / sizes[item]
@@ -250,22 +281,27 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         if not n:
             continue
         idf = np.where((df > 0) & (df <= max(1, STOP * n)), np.log(1 + n / np.maximum(df, 1)), 0.0)
-        # an item of frequent words only (or one that half of a corpus repeats) keeps its words' weight
+        # an item of frequent words only (or one that much of a corpus repeats) keeps its words' weight
         for w in items.words:
-            own = np.searchsorted(items.terms, w)
-            if np.count_nonzero(idf[own]) < 0.5 * len(own):
-                idf[own] = np.where(df[own] > 0, np.log(1 + n / np.maximum(df[own], 1)), 0.0)
+            own = np.unique(np.searchsorted(items.terms, w))
+            if np.count_nonzero(idf[own]) < 0.25 * len(own):
+                rare = own[df[own] <= OFTEN * n] if (df[own] <= OFTEN * n).any() else own
+                idf[rare] = np.where(df[rare] > 0, np.log(1 + n / np.maximum(df[rare], 1)), 0.0)
         width = min(rank + EXTRA, len(items.terms))
         test = np.random.default_rng(11).normal(size=(len(items.terms), width))
         weights = spark.sparkContext.broadcast((idf, test))
-        _, sketch = _added(docs.select("text").mapInArrow(_ranges(shared, weights), "n long, sums binary"), True)
-        basis = latent_space(sketch.reshape(len(items.terms), width), test, min(rank, width))
-        targets = np.zeros((len(items.ids), basis.shape[1]), dtype=np.float32)
+        some = docs.select("text").filter(F.xxhash64("text").cast("double") <= 2.0**64 * min(1.0, SAMPLE / n) - 2.0**63)
+        passages, sketch = _added(some.mapInArrow(_ranges(shared, weights), "n long, sums binary"), True)
+        own = items.matrix() * idf
+        sketch = sketch.reshape(len(items.terms), width) + max(1.0, passages / len(items.ids)) * (own.T @ (own @ test))
+        basis = latent_space(sketch, test, min(rank, width))
+        targets, lengths = np.zeros((len(items.ids), basis.shape[1]), dtype=np.float32), np.ones(len(items.ids), dtype=np.float32)
         for k, w in enumerate(items.words):
             own = np.searchsorted(items.terms, w)
             v = (idf[own, None] * basis[own]).sum(axis=0)
-            targets[k] = v / max(1e-12, np.linalg.norm(v))
-        space = spark.sparkContext.broadcast((idf, basis, targets))
+            lengths[k] = max(1e-6, np.linalg.norm(v))
+            targets[k] = v / lengths[k]
+        space = spark.sparkContext.broadcast((idf, basis, targets, lengths))
         found = found.unionByName(docs.mapInArrow(_search(shared, space, cosine, lcs, loose, answer), MATCHES))
     best = found.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("answer").alias("answer"), F.max("cosine").alias("cosine"))
     return stored(best)

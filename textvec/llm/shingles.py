@@ -26,16 +26,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_powers = np.ones(1, dtype=np.uint64)
+#: Bytes of one run of prefix sums.
+SEGMENT = 1 << 19
+_powers = {False: np.ones(1, dtype=np.uint64), True: np.ones(1, dtype=np.uint64)}
+_INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        out = np.full(max(n, 2 * len(_powers)), _STEP, dtype=np.uint64)
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """q^0 to q^(n-1), or of its inverse."""
+    if len(_powers[inverse]) < n:
+        out = np.full(max(n, 2 * len(_powers[inverse])), _INVERSE if inverse else _STEP, dtype=np.uint64)
         out[0] = 1
-        _powers = np.multiply.accumulate(out)
-    return _powers[:n]
+        _powers[inverse] = np.multiply.accumulate(out)
+    return _powers[inverse][:n]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +64,28 @@ def word_hashes(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.nd
     first[1:] &= ~word[:-1]
     begins = offsets[:-1][offsets[:-1] < len(data)]
     first[begins] = word[begins]
-    at = np.flatnonzero(word)
-    if not len(at):
+    starts = np.flatnonzero(first)
+    if not len(starts):
         return np.empty(0, np.uint64), counts
-    heads = np.flatnonzero(first[at])
-    starts = at[heads]
-    rel = at - np.repeat(starts, np.diff(np.append(heads, len(at))))
-    h = np.add.reduceat(_BYTE[data[at]] * powers(int(rel.max()) + 1)[rel], heads)
+    last = word.copy()
+    last[:-1] &= ~word[1:]
+    last[begins[begins > 0] - 1] = word[begins[begins > 0] - 1]
+    ends = np.flatnonzero(last) + 1
+    h = np.empty(len(starts), dtype=np.uint64)
+    k = 0
+    while k < len(starts):
+        # prefix sums of b_i q^i over a segment of whole words; a word's sum is brought to q^0
+        base = starts[k]
+        stop = max(k + 1, int(np.searchsorted(ends, base + SEGMENT, side="right")))
+        n = int(ends[stop - 1] - base)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[base : base + n]] * powers(n), out=total[1:])
+        at = starts[k:stop] - base
+        h[k:stop] = (total[ends[k:stop] - base] - total[at]) * powers(n, True)[at]
+        k = stop
     counts += np.diff(np.searchsorted(starts, offsets))
-    return mixed(h), counts
+    # the length keeps words apart that differ in leading zeros of the sum only
+    return mixed(h + (ends - starts).astype(np.uint64) * _BASE), counts
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -82,14 +98,9 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
             out = out * _STEP + h[k : len(h) - n + 1 + k]
         return mixed(out)
     # prefix sums of h_i q^i; a window's sum is brought to q^0 by the inverse power
-    q = powers(len(h))
-    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
-    back = np.full(len(h), inverse, dtype=np.uint64)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
     total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * q, out=total[1:])
-    return mixed((total[n:] - total[:-n]) * back[: len(h) - n + 1])
+    np.cumsum(h * powers(len(h)), out=total[1:])
+    return mixed((total[n:] - total[:-n]) * powers(len(h) - n + 1, True))
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
