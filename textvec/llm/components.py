@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,34 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def links_forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a bipartite link matrix, as (rows, columns): labels spread until they stand."""
+    n, m = links.shape
+    row, column = np.arange(n), np.full(m, n)
+    i, j = np.nonzero(links)
+    used = []
+    while True:
+        # each column takes the least label among its rows, then each row among its columns
+        best = np.full(m, n)
+        np.minimum.at(best, j, row[i])
+        better = np.flatnonzero(best < column)
+        if len(better):
+            pick = np.zeros(m, dtype=bool)
+            pick[better] = True
+            e = np.flatnonzero(pick[j] & (row[i] == best[j]))
+            used.append(e[np.unique(j[e], return_index=True)[1]])
+            column[better] = best[better]
+        best = np.full(n, n)
+        np.minimum.at(best, i, column[j])
+        worse = np.flatnonzero(best < row)
+        if len(worse):
+            pick = np.zeros(n, dtype=bool)
+            pick[worse] = True
+            e = np.flatnonzero(pick[i] & (column[j] == best[i]))
+            used.append(e[np.unique(i[e], return_index=True)[1]])
+            row[worse] = best[worse]
+        if not len(better) and not len(worse):
+            e = np.unique(np.concatenate(used)) if used else np.empty(0, np.int64)
+            return i[e], j[e]

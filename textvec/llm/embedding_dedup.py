@@ -2,15 +2,16 @@
 
 Vectors are scaled to length 1 and cut in two halves, each with a codebook of its own; a vector's
 cell is its pair of nearest codewords.  From each cell that holds vectors, multi-sequence traversal
-visits cells in order of summed codeword distances; as many are visited as bring the recall of
-links at the threshold to `recall`, calibrated on sampled vectors and turned copies of them at
-exactly the threshold's angle, the farthest that a link can be.  Two cells are compared if either
-visits the other, so each pair is met once, and every pair found is verified in double precision.
-
-Equal vectors form a class that is compared once; links count all of its members.  Cells are cut
-into blocks of at most `block` vectors, so a cell that holds a third of all rows becomes many
-blocks; block pairs are compared by matrix products and give sums of links and a spanning forest,
-never pairs.  The codebooks are fitted on at most `sample` vectors, those of least hash of their
+visits cells in order of summed codeword distances, as many as bring the recall to its target:
+`recall` of the links among the sampled vectors, and `turned` of copies of sampled vectors turned
+by angles spread evenly from none to the threshold's, the farthest that a link can be.  Two cells
+are compared if either visits the other, so each pair is met once, and every pair found is verified
+in double precision.
+
+Equal vectors form a class that is compared once; links count all of its members.  Neighbouring
+cells are packed into blocks of about `block` vectors, and a cell that holds more (a third of all
+rows, say) is cut into many; pairs of blocks that hold cells to compare meet in one task, which
+multiplies those cells only and gives sums of links and a spanning forest, never pairs.  The codebooks are fitted on at most `sample` vectors, those of least hash of their
 values; all vectors are indexed.  What the driver holds (codebooks, counts of cells) is bounded by
 codewords squared.
 
@@ -21,6 +22,7 @@ than most of the sample, link with nothing.  Rows with null ids link with nothin
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +31,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .components import components
+from .components import components, links_forest
 
-THRESHOLD, RECALL, SAMPLE, BLOCK = 0.9, 0.995, 16_384, 512
+THRESHOLD, RECALL, TURNED, SAMPLE, BLOCK = 0.9, 0.999, 0.9, 8_192, 3072
 #: Vectors that a cell shall hold on average, and the most codewords of a half.
 PER_CELL, MOST_CODEWORDS = 160, 192
 
 
-def _unit(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
-    """Rows that take part, and their vectors of length 1 in double precision."""
-    rows, out = [], []
-    for k, v in enumerate(batch.column("vector").to_pylist()):
-        if v and None not in v:
-            x = np.array(v, dtype=np.float64)
-            top = np.abs(x).max()
-            if np.isfinite(top) and top > 0 and np.isfinite(x).all():
-                x = x / top
-                rows.append(k)
-                out.append(x / np.sqrt(x @ x))
-    return rows, out
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(batches):
-    for batch in batches:
-        rows, vectors = _unit(batch)
-        digests = [xxhash.xxh3_128_intdigest(np.float64(v).tobytes()) for v in vectors]
-        ids = batch.column("vec_id").take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([(d & (1 << 64) - 1) - (1 << 63) for d in digests], pa.int64()), pa.array([(d >> 64) - (1 << 63) for d in digests], pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["vec_id", "key", "key2", "unit"])
+def _keys(kind):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, raw = [], []
+            for k, v in enumerate(batch.column("vector").to_pylist()):
+                if v and None not in v:
+                    x = np.array(v, dtype=kind)
+                    if np.isfinite(x).all() and x.any():
+                        rows.append(k)
+                        raw.append(x)
+            digests = [xxhash.xxh3_128_intdigest((v + 0.0).tobytes()) for v in raw]
+            ids = batch.column("vec_id").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([(d & (1 << 64) - 1) - (1 << 63) for d in digests], pa.int64()), pa.array([(d >> 64) - (1 << 63) for d in digests], pa.int64()), pa.array([v.tobytes() for v in raw], pa.binary())], names=["vec_id", "key", "key2", "raw"])
+
+    return keys
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -104,111 +108,160 @@ class MultiIndex:
     def cells(self, x: np.ndarray) -> np.ndarray:
         return np.stack([nearest(x[:, : self.half], self.words[0]), nearest(x[:, self.half :], self.words[1])], axis=1)
 
-    def visits(self, sample: np.ndarray, threshold: float, recall: float, filled, most: int = 400) -> int:
-        """Cells to visit so that `recall` of the pairs at the threshold's angle meet."""
-        rng = np.random.default_rng(7)
+    def visits(self, sample: np.ndarray, threshold: float, recall: float, turned: float, filled: np.ndarray, most: int = 1000) -> int:
+        """Cells to visit so that the targets are reached: on links among the sample, and on turned copies."""
         x = sample[np.linspace(0, len(sample) - 1, min(most, len(sample))).astype(int)]
+        near = x @ sample.T
+        found = np.argwhere((near >= threshold) & (near < 1 - 1e-12))
+        rng = np.random.default_rng(7)
         turn = rng.normal(size=x.shape)
         turn -= (turn * x).sum(1, keepdims=True) * x
-        turn /= np.linalg.norm(turn, axis=1, keepdims=True)
-        y = threshold * x + np.sqrt(1 - threshold**2) * turn
-        ranks = []
-        for a, b in zip(self.cells(x).tolist(), self.cells(y).tolist(), strict=True):
-            # cells that sum up to less than the target's, in either direction: the pair meets if one visits the other
+        turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
+        angle = np.linspace(0, np.arccos(threshold), len(x))[rng.permutation(len(x)), None]
+        out = 1
+        for a, b, target in ((x[found[:, 0]], sample[found[:, 1]], recall), (x, np.cos(angle) * x + np.sin(angle) * turn, turned)):
+            if len(a):
+                out = max(out, int(np.quantile(self._ranks(self.cells(a), self.cells(b), filled), target, method="higher")))
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray, filled: np.ndarray) -> np.ndarray:
+        """How many cells must be visited until the pair meets, in the better of both directions."""
+        out = np.ones(len(a), dtype=np.int64)
+        for k in np.flatnonzero((a != b).any(axis=1)):
             both = []
-            for p, q in ((a, b), (b, a)):
+            for p, q in ((a[k], b[k]), (b[k], a[k])):
                 d = self.apart[0][p[0]][:, None] + self.apart[1][p[1]][None, :]
-                nearer = d <= d[q[0], q[1]] + 1e-12
-                both.append(int((nearer & filled).sum()))
-            ranks.append(max(1, min(both)))
-        return int(np.quantile(ranks, recall, method="higher"))
-
-
-def _label(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id reachable inside one pair of blocks, for the rows and the columns."""
-    a, b = a.copy(), b.copy()
-    big = np.iinfo(np.int64).max
-    while True:
-        new_a = np.minimum(a, np.where(links, b[None, :], big).min(axis=1, initial=big))
-        new_b = np.minimum(b, np.where(links, new_a[:, None], big).min(axis=0, initial=big))
-        if (new_a == a).all() and (new_b == b).all():
-            return a, b
-        a, b = new_a, new_b
-
-
-def _compare(threshold: float):
-    def compare(batches):
+                both.append(int((filled & (d <= d[q[0], q[1]] + 1e-12)).sum()))
+            out[k] = max(1, min(both))
+        return out
+
+
+def _forest(n: int, parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join a[k] and b[k] in the forest `parent`, for all k; roots are the smallest."""
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+
+
+def _segments(cells: np.ndarray) -> list[tuple[int, int, int]]:
+    """(cell, first row, end) of each run of a sorted array."""
+    heads = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    return list(zip(cells[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(cells)], strict=True))
+
+
+def _compare(threshold: float, kind, near_of, rows: int = 256):
+    """Links of one pair of blocks: for each vector that has any, their number and the smallest id reached."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = near_of.value
         for batch in batches:
-            ids, counts, roots = [], [], []
             for r in batch.to_pylist():
-                a, b = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids2"], np.int64)
-                x, y = (np.frombuffer(r[c], np.float64).reshape(len(i), -1) for c, i in (("units", a), ("units2", b)))
-                m, m2 = np.frombuffer(r["many"], np.int64), np.frombuffer(r["many2"], np.int64)
-                links = x @ y.T >= threshold
-                same = (r["cell"], r["part"]) == (r["cell2"], r["part2"])
-                if same:
-                    np.fill_diagonal(links, False)
-                la, lb = _label(links, a, b)
-                for own, n, label in ((a, links @ m2, la), *(() if same else ((b, links.T @ m, lb),))):
-                    hit = n > 0
-                    ids.append(own[hit])
-                    counts.append(n[hit])
-                    roots.append(label[hit])
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([flat(ids), flat(counts), flat(roots)], names=["id", "n", "root"])
+                same = r["block"] == r["block2"]
+                a, b = (np.frombuffer(r[c], np.int64) for c in ("ids", "ids2"))
+                x, y = (units(np.frombuffer(r[c], kind).reshape(n, -1)) for c, n in (("raw", len(a)), ("raw2", len(b))))
+                m, m2 = (np.frombuffer(r[c], np.int64) for c in ("many", "many2"))
+                cells2 = np.frombuffer(r["cells2"], np.int64)
+                # rows of both blocks in order of id, so that a root is the smallest id
+                ids = np.unique(np.concatenate([a, b]))
+                at, at2 = np.searchsorted(ids, a), np.searchsorted(ids, b)
+                total, parent = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+                for cell, first, end in _segments(np.frombuffer(r["cells"], np.int64)):
+                    pick = np.flatnonzero(np.isin(cells2, near[cell]))
+                    for p in range(first, end, rows) if len(pick) else ():
+                        q = min(end, p + rows)
+                        links = x[p:q] @ y[pick].T >= threshold
+                        if same:
+                            links &= np.arange(p, q)[:, None] != pick[None, :]
+                        i, j = np.nonzero(links)
+                        if len(i):
+                            np.add.at(total, at[p + i], m2[pick[j]])
+                            if not same:
+                                np.add.at(total, at2[pick[j]], m[p + i])
+                            # one link for each row and each column, and those that these don't imply
+                            roots = links_forest(links)
+                            _forest(len(ids), parent, at[p + roots[0]], at2[pick[roots[1]]])
+                for k in range(len(parent)):
+                    parent[k] = parent[parent[k]]
+                hit = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(total[hit], pa.int64()), pa.array(ids[parent[hit]], pa.int64())], names=["id", "n", "root"])
 
     return compare
 
 
 def _packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One block of a cell in one row."""
-    return pa.table({"cell": [key[0].as_py()], "part": [key[1].as_py()], "ids": [np.asarray(table["vec_id"], np.int64).tobytes()], "many": [np.asarray(table["many"], np.int64).tobytes()], "units": [b"".join(table["unit"].to_pylist())]}, schema=pa.schema([("cell", pa.int64()), ("part", pa.int64()), ("ids", pa.binary()), ("many", pa.binary()), ("units", pa.binary())]))
+    """One block in one row, in order of cell."""
+    table = table.sort_by([("cell", "ascending"), ("vec_id", "ascending")])
+    return pa.table({"block": [key[0].as_py()], **{name: [np.asarray(table[of], np.int64).tobytes()] for name, of in (("cells", "cell"), ("ids", "vec_id"), ("many", "many"))}, "raw": [b"".join(table["raw"].to_pylist())]}, schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("cells", "ids", "many", "raw"))]))
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, turned: float = TURNED, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
-    vectors = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"))
-    keyed = stored(vectors.filter("vec_id is not null and vector is not null").mapInArrow(_keys, "vec_id long, key long, key2 long, unit binary"))
-    classes = stored(keyed.groupBy("key", "key2").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("many"), F.first("unit").alias("unit")))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
+    vectors = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>" if single else "array<double>").alias("vector"))
+    keyed = stored(vectors.filter("vec_id is not null and vector is not null").mapInArrow(_keys(kind), "vec_id long, key long, key2 long, raw binary"))
+    classes = stored(keyed.groupBy("key", "key2").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("many"), F.first("raw").alias("raw")))
     total = classes.count()
-    few = classes.filter(F.col("key").cast("double") <= (2.0**64 * min(1.0, 1.2 * sample / max(1, total)) - 2.0**63)).orderBy("key").limit(sample).select("unit").collect()
-    sizes = np.array([len(r["unit"]) for r in few], dtype=np.int64)
+    few = classes.filter(F.col("key").cast("double") <= (2.0**64 * min(1.0, 1.2 * sample / max(1, total)) - 2.0**63)).orderBy("key").limit(sample).select("raw").collect()
+    sizes = np.array([len(r["raw"]) for r in few], dtype=np.int64)
     if not total or not len(sizes):
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = int(np.bincount(sizes).argmax())
-    x = np.array([np.frombuffer(r["unit"], np.float64) for r in few if len(r["unit"]) == dim])
+    x = units(np.array([np.frombuffer(r["raw"], kind) for r in few if len(r["raw"]) == dim]))
     own = MultiIndex(x, int(max(1, min(MOST_CODEWORDS, (total / PER_CELL) ** 0.5))))
     k2 = len(own.words[1])
     shared = spark.sparkContext.broadcast(own)
 
     def cells(batches):
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            good = [k for k, u in enumerate(units) if len(u) == dim]
+            raw = batch.column("raw").to_pylist()
+            good = [k for k, u in enumerate(raw) if len(u) == dim]
             if good:
-                c = shared.value.cells(np.array([np.frombuffer(units[k], np.float64) for k in good]))
+                c = shared.value.cells(units(np.array([np.frombuffer(raw[k], kind) for k in good])))
                 at = pa.array(good, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c[:, 0] * k2 + c[:, 1], pa.int64()), *(batch.column(n).take(at) for n in ("class", "many", "unit"))], names=["cell", "vec_id", "many", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[:, 0] * k2 + c[:, 1], pa.int64()), *(batch.column(n).take(at) for n in ("class", "many", "raw"))], names=["cell", "vec_id", "many", "raw"])
 
-    placed = stored(classes.select("class", "many", "unit").mapInArrow(cells, "cell long, vec_id long, many long, unit binary"))
+    placed = stored(classes.select("class", "many", "raw").mapInArrow(cells, "cell long, vec_id long, many long, raw binary"))
     held = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     filled = np.zeros((len(own.words[0]), k2), dtype=bool)
     for c in held:
         filled[divmod(c, k2)] = True
-    visits = own.visits(x, threshold, recall, filled)
+    visits = own.visits(x, threshold, recall, turned, filled)
     names = {divmod(c, k2) for c in held}
-    pairs = {tuple(sorted((c, p * k2 + q))) for c in held for p, q in multi_sequence(own.apart[0][c // k2], own.apart[1][c % k2], visits, names)}
-    # blocks of a cell by hash of the id, about `block` vectors each
-    parts = spark.createDataFrame([(c, -(-n // block)) for c, n in held.items()], "cell long, parts long")
-    plan = spark.createDataFrame([(a, b) for a, b in pairs], "cell long, cell2 long")
-    blocks = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).groupBy("cell", "part").applyInArrow(_packed, "cell long, part long, ids binary, many binary, units binary")
-    blocks = stored(blocks)
+    near: dict[int, set[int]] = {c: set() for c in held}
+    for c in held:
+        for p, q in multi_sequence(own.apart[0][c // k2], own.apart[1][c % k2], visits, names):
+            near[c].add(p * k2 + q)
+            near[p * k2 + q].add(c)
+    # consecutive cells share a block until it is full; a cell over that is cut by hash of the id
+    parts, at, room = [], -1, 0
+    for c, n in sorted(held.items()):
+        if n > room:
+            at, many = at + 1, -(-n // block)
+            parts.append((c, at, many))
+            at, room = at + many - 1, block - n if many == 1 else 0
+        else:
+            parts.append((c, at, 1))
+            room -= n
+    near_of = spark.sparkContext.broadcast({c: np.array(sorted(o), dtype=np.int64) for c, o in near.items()})
+    where = spark.createDataFrame(parts, "cell long, first long, parts long")
+    # pairs of cells become pairs of blocks on the executors: a cell of many blocks has many
+    pairs = spark.createDataFrame([(c, o) for c, others in near.items() for o in others if c <= o], "cell long, cell2 long")
+    both = pairs.join(F.broadcast(where), "cell").join(F.broadcast(where.select(F.col("cell").alias("cell2"), F.col("first").alias("first2"), F.col("parts").alias("parts2"))), "cell2")
+    p = F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("p")
+    q = F.explode(F.sequence("first2", F.col("first2") + F.col("parts2") - 1)).alias("q")
+    plan = stored(both.select(p, "first2", "parts2").select("p", q).select(F.least("p", "q").alias("block"), F.greatest("p", "q").alias("block2")).distinct())
+    packed = placed.join(F.broadcast(where), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("first", "parts")
+    blocks = stored(packed.groupBy("block").applyInArrow(_packed, "block long, cells binary, ids binary, many binary, raw binary"))
     other = blocks.select(*(F.col(c).alias(c + "2") for c in blocks.columns))
     # dealt by the pair of blocks, so that a cell of many blocks is spread over all tasks
-    small = blocks.select("cell", "part").join(F.broadcast(plan), "cell").join(other.select("cell2", "part2"), "cell2").filter("cell <> cell2 or part <= part2")
-    todo = small.join(blocks, ["cell", "part"]).join(other, ["cell2", "part2"])
-    found = stored(todo.mapInArrow(_compare(threshold), "id long, n long, root long"))
+    todo = blocks.join(plan, "block").join(other, "block2").repartition("block", "block2")
+    found = stored(todo.mapInArrow(_compare(threshold, kind, near_of), "id long, n long, root long"))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.select("id", "root"))
     of = classes.select("key", "key2", "class", "many").join(links, F.col("class") == links["id"], "left").drop("id").join(roots.withColumnRenamed("id", "rid"), F.col("class") == F.col("rid"), "left")
