@@ -34,7 +34,7 @@ from .token_counts import stable_pieces
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 128  # positions take 8 bits in the query
 #: Words and pieces that a worker remembers: the newest so many at least, twice as many at most.
-KEPT = 200_000
+KEPT = 300_000
 #: Words of one recursive query.
 WORDS = 15_000
 
@@ -186,10 +186,11 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own = _codec(path)
         cut = [stable_pieces(raw.decode("utf-8")) if raw else [] for raw in raw_bytes(batch.column("text"))]
         own.learn({p for c in cut for p in c})
-        found = [list(map(own.pieces.__getitem__, c)) for c in cut]
-        ids = [",".join([f[0] for f in doc]) for doc in found]
-        n = pa.array([sum([f[1] for f in doc]) for doc in found], pa.int64())
-        decoded = [b"".join([f[2] for f in doc]) for doc in found]
+        # per document: ids, numbers and bytes of its pieces
+        found = [tuple(zip(*map(own.pieces.__getitem__, c), strict=True)) or ((), (), ()) for c in cut]
+        ids = [",".join(f[0]) for f in found]
+        n = pa.array([sum(f[1]) for f in found], pa.int64())
+        decoded = [b"".join(f[2]) for f in found]
         if digests:
             out = [pa.array([digest(i.encode()) for i in ids], pa.string()), pa.array(list(map(digest, decoded)), pa.string())]
         else:
