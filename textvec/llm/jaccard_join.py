@@ -13,11 +13,13 @@ pair (x, y) that must share a_xy >= a_x tokens, the same prefix counts as one of
 the pair is verified only if it shares min(l_x + a_xy - a_x, l_y + a_xy - a_y) prefix tokens.
 
 Equal sets form a class of which one takes part.  What is asked for is the components, not the
-pairs, and a group of thousands of near copies holds millions of pairs.  So links are found in
-rounds that are linear in the postings: in each, every set is verified against one pivot of each
-bucket (token, size band), linked sets fall into components, and buckets within one component are
-done.  The last step is exact: of what is left, every pair of sets of different components that
-shares enough prefix tokens is verified.  No partner is capped or sampled.
+pairs, and a group of thousands of near copies holds millions of pairs, many of them just below the
+threshold.  So near copies are gathered first, in rows linear in the postings: every set is compared
+with two pivots of each bucket (token, size band); pairs of similarity `LOOSE` join to families, by
+connected components.  All sets of a family are then compared in pairs of blocks of bounded size,
+by matrix products that give a spanning forest of links, never pairs.  What is left is exact, too:
+pairs of sets of different families that share enough prefix tokens are made by a join on the token
+and verified one by one.  No partner is capped or sampled.
 
 Null and empty texts have no set and link with nothing; rows with a null id likewise.  Repeated rows
 of one id count once.  Fewer than n words: the whole sequence is the one n-gram.
@@ -30,20 +32,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, stored
-from .components import components
+from .common import arrow_map, hinted, pieces, stored
+from .components import components, links_forest
 from .shingles import inside, mixed, ngrams, word_hashes
 
-SKETCH = 1 << 20
+SKETCH = 1 << 21
 #: Bytes of text hashed at once; the arrays take some 50 times as much.
 PIECE = 2 << 20
 MOST = 4
-PIVOT_ROUNDS = 2
+#: Similarity, in per cent, that gathers sets into a family.
+LOOSE = 40
+#: Tokens of one block of a family, about.
+BLOCK = 200_000
 #: Bytes of ids up to which the documents to verify are broadcast to the scan of texts.
 BROADCAST_ROWS = 2_000_000
 
@@ -172,43 +176,106 @@ def _set_rows(n: int):
     return scan
 
 
-def _verify(per_cent: int):
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("tokens").to_pylist(), batch.column("tokens2").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                # both are sorted and distinct
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= per_cent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
-
-    return verify
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size of intersection and union of each pair."""
+    for batch in batches:
+        inter, union = [], []
+        for x, y in zip(batch.column("tokens").to_pylist(), batch.column("tokens2").to_pylist(), strict=True):
+            # both are sorted and distinct
+            both = np.frombuffer(x + y, np.uint64).copy()
+            both.sort(kind="stable")
+            same = int((both[1:] == both[:-1]).sum())
+            inter.append(same)
+            union.append(len(both) - same)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "inter", "union"])
 
 
 class _Verifier:
-    """Verifies pairs against the texts' sets, which are computed for the documents concerned only."""
+    """Sets of the documents concerned only, computed from their texts, and the pairs' similarities."""
+
+    def __init__(self, docs: DataFrame, n: int):
+        self.docs, self.n = docs, n
 
-    def __init__(self, docs: DataFrame, n: int, per_cent: int):
-        self.docs, self.n, self.per_cent = docs, n, per_cent
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, tokens) of the ids: the texts are scanned with the ids broadcast where these are proven few, else shuffled."""
+        docs = self.docs.join(hinted(stored(ids), BROADCAST_ROWS), F.col("doc_id") == F.col("id")).select("doc_id", "text")
+        return stored(arrow_map(docs, _set_rows(self.n), "id long, tokens binary", limit=PIECE).dropDuplicates(["id"]))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def measured(self, pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs)
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        docs = self.docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id")).select("doc_id", "text")
-        sets = stored(arrow_map(docs, _set_rows(self.n), "id long, tokens binary", limit=PIECE).dropDuplicates(["id"]))
+        sets = self.sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         joined = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens2")), "b")
-        return stored(joined.select("a", "b", "tokens", "tokens2").mapInArrow(_verify(self.per_cent), "a long, b long"))
+        return stored(joined.select("a", "b", "tokens", "tokens2").mapInArrow(_measure, "a long, b long, inter long, union long"))
+
+
+def _block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The sets of one block of a family in one row."""
+    tokens = table["tokens"].to_pylist()
+    return pa.table({"family": [key[0].as_py()], "part": [key[1].as_py()], "ids": [np.asarray(table["id"], np.int64).tobytes()], "sizes": [np.array([len(t) // 8 for t in tokens], np.int64).tobytes()], "tokens": [b"".join(tokens)]}, schema=pa.schema([("family", pa.int64()), ("part", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]))
+
+
+def overlaps(x: np.ndarray, rows: np.ndarray, y: np.ndarray, columns: np.ndarray, n: int, m: int, cells: int = 8 << 20) -> np.ndarray:
+    """Sizes of intersection [n, m] of two blocks of sets, given as tokens and the set of each.
+
+    Only tokens that both blocks hold count; the product runs over so many of them at a time that
+    the matrices stay within `cells`.
+    """
+    common = np.intersect1d(x, y)
+    keep, keep2 = np.isin(x, common), np.isin(y, common)
+    at, at2 = np.searchsorted(common, x[keep]), np.searchsorted(common, y[keep2])
+    rows, columns = rows[keep], columns[keep2]
+    order, order2 = np.argsort(at, kind="stable"), np.argsort(at2, kind="stable")
+    at, rows, at2, columns = at[order], rows[order], at2[order2], columns[order2]
+    out = np.zeros((n, m), dtype=np.float32)
+    step = max(1, cells // max(n, m, 1))
+    for start in range(0, len(common), step):
+        a, b = np.searchsorted(at, [start, start + step])
+        c, d = np.searchsorted(at2, [start, start + step])
+        left, right = np.zeros((n, step), np.float32), np.zeros((m, step), np.float32)
+        left[rows[a:b], at[a:b] - start] = 1
+        right[columns[c:d], at2[c:d] - start] = 1
+        out += left @ right.T
+    return out
+
+
+def _compare(per_cent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, ids2 = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids2"], np.int64)
+                size, size2 = np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["sizes2"], np.int64)
+                x, y = np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["tokens2"], np.uint64)
+                same = np.rint(overlaps(x, np.repeat(np.arange(len(ids)), size), y, np.repeat(np.arange(len(ids2)), size2), len(ids), len(ids2))).astype(np.int64)
+                links = 100 * same >= per_cent * (size[:, None] + size2[None, :] - same)
+                if r["part"] == r["part2"]:
+                    np.fill_diagonal(links, False)
+                i, j = links_forest(links)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids2[j], pa.int64())], names=["a", "b"])
+
+    return compare
+
+
+def family_links(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """A spanning forest of the links within each family (id, family), from all pairs of its sets."""
+    placed = sets.join(families, "id").select("family", "id", "tokens")
+    sizes = stored(placed.groupBy("family").agg(F.ceil(F.sum(F.length("tokens") / 8) / BLOCK).cast("long").alias("parts")))
+    dealt = placed.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = stored(dealt.groupBy("family", "part").applyInArrow(_block, "family long, part long, ids binary, sizes binary, tokens binary"))
+    other = blocks.select("family", *(F.col(c).alias(c + "2") for c in blocks.columns if c != "family"))
+    names = [c for c in blocks.columns if c != "family"]
+    # a block against itself needs no join; each other pair is a row of its own, however many blocks a family has
+    alone = blocks.select("*", *(F.col(c).alias(c + "2") for c in names))
+    keys = stored(blocks.select("family", "part").join(other.select("family", "part2"), "family").filter("part < part2"))
+    pairs = keys.join(blocks, ["family", "part"]).join(other, ["family", "part2"])
+    schema = "a long, b long"
+    return stored(alone.mapInArrow(_compare(per_cent), schema).unionByName(pairs.mapInArrow(_compare(per_cent), schema)))
 
 
 def _sizes_fit(per_cent: int):
     return (F.col("n") * 100 >= F.col("n2") * per_cent) & (F.col("n2") * 100 >= F.col("n") * per_cent)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, per_cent: int = 90, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, per_cent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id: smallest id reachable by links, itself included."""
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -222,30 +289,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     postings = stored(every.join(classes.select(F.col("least").alias("id")).distinct(), "id", "left_semi").distinct())
     seen = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token"))
     postings = stored(postings.join(seen, "token"))
-    verifier = _Verifier(docs, n, per_cent)
+    verifier = _Verifier(docs, n)
+    # near copies meet through two pivots of each bucket: the least set, and one by hash
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent))
-    links = spark.createDataFrame([], "a long, b long")
-    open_ = postings.withColumn("component", F.col("id"))
-    for k in range(rounds):
-        # the pivot: in the first round the least set of a bucket, later another one, of any component
-        order = F.struct("n", "id") if k == 0 else F.struct(F.xxhash64(F.col("id"), F.lit(k)).alias("h"), F.col("id"))
-        pivots = stored(open_.groupBy("token", band.alias("band")).agg(F.min_by(F.struct("id", "component", "n", "ell"), order).alias("p"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("token", "band", F.col("p.id").alias("id2"), F.col("p.component").alias("component2"), F.col("p.n").alias("n2")))
-        stars = open_.withColumn("band", band).join(pivots, ["token", "band"]).filter((F.col("component") != F.col("component2")) & _sizes_fit(per_cent))
-        pairs = stars.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "n", "n2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("n", "n2")).alias("big"))
-        # a quick test: near copies share more than one prefix token; the rest waits for the exact step
-        links = stored(links.unionByName(verifier.links(pairs.filter((F.col("shared") > 1) | (F.col("big") < 40)).select("a", "b"))))
-        found = stored(components(links))
-        labelled = postings.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        left = stored(labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("token"))
-        open_ = stored(labelled.join(left, "token"))
-    # exact: pairs of different components that share as many prefix tokens as they must
-    other = open_.select("token", *(F.col(c).alias(c + "2") for c in ("id", "n", "ell", "at", "component")))
+    of = lambda order: F.min_by(F.struct(F.col("id").alias("id2"), F.col("n").alias("n2")), order)
+    pivots = stored(postings.groupBy("token", band.alias("band")).agg(F.array(of(F.struct("n", "id")), of(F.struct(F.xxhash64("id").alias("h"), F.col("id")))).alias("pivots")))
+    stars = postings.withColumn("band", band).join(pivots, ["token", "band"]).select("id", "n", F.explode("pivots").alias("p")).select("id", "n", "p.*").filter("id <> id2").filter(_sizes_fit(per_cent))
+    pairs = stars.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("n", "n2")).alias("big"))
+    # a hint only: near copies share more than one prefix token, and what this leaves out waits for the exact step
+    measured = verifier.measured(pairs.filter((F.col("shared") > 1) | (F.col("big") < 40)).select("a", "b"))
+    families = stored(components(measured.filter(100 * F.col("inter") >= LOOSE * F.col("union")).select("a", "b")).withColumnRenamed("component", "family"))
+    links = family_links(families, verifier.sets(families.select("id")), per_cent)
+    # exact for the rest: pairs of different families that share as many prefix tokens as they must
+    labelled = postings.join(families, "id", "left").withColumn("family", F.coalesce("family", "id"))
+    several = stored(labelled.groupBy("token").agg(F.min("family").alias("c1"), F.max("family").alias("c2")).filter("c1 <> c2").select("token"))
+    open_ = stored(labelled.join(several, "token"))
+    other = open_.select("token", *(F.col(c).alias(c + "2") for c in ("id", "n", "ell", "at", "family")))
     overlap = F.ceil(F.lit(per_cent) * (F.col("n") + F.col("n2")) / F.lit(100 + per_cent))
-    alike = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _sizes_fit(per_cent) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= overlap - F.least("at", "at2"))
+    alike = (F.col("id") < F.col("id2")) & (F.col("family") != F.col("family2")) & _sizes_fit(per_cent) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= overlap - F.least("at", "at2"))
     must = F.least(F.col("ell") + overlap - F.ceil(F.col("n") * per_cent / 100), F.col("ell2") + overlap - F.ceil(F.col("n2") * per_cent / 100))
     pairs = open_.join(other, "token").filter(alike).groupBy(F.col("id").alias("a"), F.col("id2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(must).alias("must")).filter("shared >= must").select("a", "b")
-    links = links.unionByName(verifier.links(pairs))
+    rest = verifier.measured(pairs)
+    links = links.unionByName(rest.filter(100 * F.col("inter") >= per_cent * F.col("union")).select("a", "b"))
     found = components(links).select(F.col("id").alias("least"), "component")
-    of = stored(classes.join(found, "least", "left").select("key", "key2", F.coalesce("component", "least").alias("component")))
-    out = sets.join(of, ["key", "key2"], "left")
+    of_class = stored(classes.join(found, "least", "left").select("key", "key2", F.coalesce("component", "least").alias("component")))
+    out = sets.join(of_class, ["key", "key2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
