@@ -1,22 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut in passages of `2 * STRIDE` words, one every `STRIDE` words.  Passages and
-benchmark items are TF-IDF vectors over the benchmark's terms, with document frequencies counted
-over the whole corpus; terms in over `STOP` of all documents weigh nothing, unless nearly all of an
-item's words are such terms.  A distributed randomised SVD gives the latent space: each task applies A^T A to a fixed Gaussian test matrix for
-its own passages, the sums are added up, and the driver solves the small Nystroem eigenproblem
-(terms x rank, of bounded size).  The space is an index: it is fitted on the passages of at most
-about `SAMPLE` documents, those of least hash of their text, and on the items themselves, which
-count as much as all of these, so that it tells items apart.  All passages of all documents are then projected, and those whose
-cosine with an item reaches `cosine`, and whose projection on it `COVER` of its length, become
-candidates.
+Documents are cut in passages of `2 * STRIDE` words, one every `STRIDE` words, and benchmark items
+in even pieces of at most `PART` words, as long as a passage, so that an item of any length is found
+by its pieces.  Passages and pieces are TF-IDF vectors over the benchmark's terms, with document
+frequencies counted over the whole corpus; terms in over `RARE` of all documents weigh nothing,
+unless nearly all of an item's words are such terms.  A distributed
+randomised SVD gives the latent space: each task applies A^T A to a fixed Gaussian test matrix for
+its own passages, of about `SAMPLE` documents, the sums are added up, and the driver solves the small Nystroem
+eigenproblem (terms x rank, of bounded size).  The pieces count as much as all passages, so that the
+space tells items apart.  All passages of all documents are then projected, and those that reach
+`COVER` of a piece's length and whose cosine with it is `cosine`, or that reach `MOST` of it, become
+candidates of its item.
 
 A candidate is verified on the words around the passage: the longest common subsequence with the
 item must cover `lcs` of the item, or, for paraphrases, `loose` of the item together with `answer`
-of the item's answer (its last sentence); and `CONTENT` of the item's rarer words, those with a
-weight, must stand there, which is tested first.
+of the item's answer (its last sentence).  Counts of shared words, of distinct ones and of rare ones
+are tested first, and `CONTENT` of the rare ones must stand there.
 
-Benchmarks are taken in slices of `SLICE` items, each broadcast, so the broadcast is bounded however
+Benchmarks are taken in slices of `SLICE` items and `SLICE_WORDS` words, each broadcast, so the broadcast is bounded however
 large the benchmark is.  Null and empty texts match nothing; null item ids are kept as null.  Words
 compare by A-Z folded hashes of 64 bits.  Repeated rows give repeated matches of the same id, once.
 Documents of any length are read whole; other columns are not read.
@@ -38,20 +39,32 @@ from .shingles import word_hashes
 STRIDE, RANK, EXTRA = 16, 96, 16
 #: Documents whose passages the latent space is fitted on, at most about; all are searched.
 SAMPLE = 4000
-STOP, OFTEN = 0.02, 0.5
-#: A candidate passage points towards an item by COSINE, and reaches COVER of its length.
-COSINE, COVER, CONTENT, LCS, LOOSE, ANSWER = 0.5, 0.4, 0.5, 0.75, 0.6, 0.9
-SLICE = 2000
+#: Words in a piece of an item, at most: those of a passage.
+PART = 2 * STRIDE
+#: Terms in over RARE of all documents weigh nothing.
+RARE = 0.02
+#: A candidate passage reaches COVER of a piece's length and points towards it by COSINE, or reaches MOST of it.
+COSINE, COVER, MOST, CONTENT, LCS, LOOSE, ANSWER = 0.5, 0.4, 0.8, 0.5, 0.75, 0.6, 0.9
+#: Items, and words of items, that share a space and a broadcast; an item over that has its own.
+SLICE, SLICE_WORDS = 2000, 40_000
+#: Words of candidates' surroundings looked up at once.
+LOOKED_UP = 4 << 20
 #: Bytes of text hashed at once; the arrays take some 50 times as much.
 PIECE = 2 << 20
 MATCHES = "doc_id long, item_id long, lcs double, answer double, cosine double"
 
 
-def lcs_length(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, a row of bits at a time."""
+def places(a: list[int]) -> dict[int, int]:
+    """A bit for each place of each word."""
     at: dict[int, int] = {}
     for k, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << k
+    return at
+
+
+def lcs_length(a: list[int], b: list[int], at: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, a row of bits at a time."""
+    at = places(a) if at is None else at
     full = (1 << len(a)) - 1
     row = full
     for y in b:
@@ -79,16 +92,28 @@ class Items:
                 self.ids.append(k)
                 self.words.append(h[:n])
                 self.answers.append(h[n:])
-        self.terms = np.unique(np.concatenate(self.words)) if self.words else np.empty(0, np.uint64)
+        every = np.concatenate(self.words) if self.words else np.empty(0, np.uint64)
+        self.terms = np.unique(every)
+        self.every = np.searchsorted(self.terms, every)
+        #: Each item in pieces of at most PART words, as even as can be: the piece's item and first word in `every`.
+        self.of, self.heads, at = [], [], 0
+        for k, w in enumerate(self.words):
+            many = -(-len(w) // PART)
+            self.of += [k] * many
+            self.heads += [at + len(w) * j // many for j in range(many)]
+            at += len(w)
         #: A bit for each value of the leading 16 bits that some term has.
         self.some = np.zeros(1 << 16, dtype=bool)
         self.some[(self.terms >> np.uint64(48)).astype(np.int64)] = True
 
-    def matrix(self) -> np.ndarray:
-        """Counts of each term in each item."""
-        out = np.zeros((len(self.ids), len(self.terms)))
-        for k, w in enumerate(self.words):
-            np.add.at(out[k], np.searchsorted(self.terms, w), 1)
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Sum of the terms' rows over the words of each piece."""
+        return np.add.reduceat(rows[self.every], self.heads, axis=0)
+
+    def spread(self, rows: np.ndarray) -> np.ndarray:
+        """The transpose of sums(): each piece's row added to its words' terms."""
+        out = np.zeros((len(self.terms), rows.shape[1]))
+        np.add.at(out, self.every, np.repeat(rows, np.diff([*self.heads, len(self.every)]), axis=0))
         return out
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
@@ -190,66 +215,121 @@ def latent_space(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
+def weights_of(items: Items, n: int, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each term, and which are rare; df: documents, of n, that hold it."""
+    idf = np.where(df > 0, np.log(1 + n / np.maximum(df, 1)), 0.0)
+    often = df > max(1, RARE * n)
+    weights = np.where(often, 0.0, idf)
+    # an item of frequent words only (or one that much of a corpus repeats) keeps its words' weight
+    at = 0
+    for w in items.words:
+        own = np.unique(items.every[at : at + len(w)])
+        at += len(w)
+        if np.count_nonzero(weights[own]) < 0.25 * len(own):
+            weights[own] = idf[own]
+    return weights, df <= max(1, RARE * n)
+
+
+def fitted_space(items: Items, idf: np.ndarray, test: np.ndarray, passages: int, sketch: np.ndarray, rank: int) -> np.ndarray:
+    """The latent space of all passages and of the items' pieces, which count as much as these."""
+    pieces_too = max(1.0, passages / len(items.of)) * idf[:, None] * items.spread(items.sums(idf[:, None] * test))
+    return latent_space(sketch + pieces_too, test, rank)
+
+
+def targets_of(items: Items, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each piece's direction in the space, and its length there."""
+    own = items.sums(idf[:, None] * basis)
+    lengths = np.maximum(1e-6, np.linalg.norm(own, axis=1))
+    return (own / lengths[:, None]).astype(np.float32), lengths.astype(np.float32)
+
+
+def _possible(items: Items, holds: np.ndarray, heavy: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, least: float) -> np.ndarray:
+    """Which areas may have a common subsequence of `least` of the item: upper bounds, so none is lost.
+
+    It uses so many words of the item; and it lacks no more of the item's distinct words, or of
+    its distinct rare ones, than it lacks words.
+    """
+    ok = np.zeros(len(item), dtype=bool)
+    distinct, rare = holds.sum(axis=1), heavy.sum(axis=1)
+    width = end - begin
+    ends = np.cumsum(width)
+    at = 0
+    while at < len(item):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED_UP, side="right")))
+        own, wide = item[at:to], width[at:to]
+        heads = np.cumsum(wide) - wide
+        words = numbers[np.arange(int(wide.sum())) + np.repeat(begin[at:to] - heads, wide)]
+        which = np.repeat(np.arange(to - at), wide)
+        lacks = (1 - least) * sizes[own] + 1e-9
+        rarely = heavy.ravel()[np.repeat(own * holds.shape[1], wide) + words]
+        good = np.add.reduceat(rarely, heads, dtype=np.int32) >= rare[own] - lacks
+        # the rest is for those that are left
+        left = good[which]
+        which, words = which[left], words[left]
+        inside = holds[own[which], words]
+        which, words = which[inside], words[inside]
+        good &= np.bincount(which, minlength=to - at) >= sizes[own] - lacks
+        left = good[which]
+        key = np.unique(which[left] * holds.shape[1] + words[left])
+        which, words = key // holds.shape[1], key % holds.shape[1]
+        good &= np.bincount(which, minlength=to - at) >= distinct[own] - lacks
+        good &= np.bincount(which[heavy[own[which], words]], minlength=to - at) >= np.maximum(CONTENT * rare[own], rare[own] - lacks)
+        ok[at:to] = good
+        at = to
+    return ok
+
+
 def _search(shared, space_of, cosine: float, lcs: float, loose: float, answer: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, (idf, basis, targets, lengths) = shared.value, space_of.value
+        items, (idf, rare, basis, targets, lengths) = shared.value, space_of.value
         rows = (idf[:, None] * basis).astype(np.float32)
-        reaches = np.sqrt((rows**2).sum(axis=1))
-        sizes = np.array([len(w) for w in items.words])
+        of, sizes = np.array(items.of), np.array([len(w) for w in items.words])
         holds = np.zeros((len(items.ids), len(items.terms) + 1), dtype=bool)  # the last column is for words of no item
-        for k, w in enumerate(items.words):
-            holds[k, np.searchsorted(items.terms, w)] = True
-        # an item lacks no more distinct rare words than it lacks words
-        heavy = holds & np.append(idf > 0, False)
-        rarer = heavy.sum(axis=1)
+        holds[np.repeat(np.arange(len(sizes)), sizes), items.every] = True
+        heavy = holds & np.append(rare, False)
+        least, bits = min(lcs, loose), {}
         for batch in pieces(batches, "text", PIECE):
             h, counts = word_hashes(batch.column("text"), fold=True)
             numbers = items.numbers(h)
             terms, block, first, many = _weighted(numbers, counts, idf)
-            # no passage reaches further than its words' projections add up to: most end here
-            heads = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
-            blocks = block[heads]
+            sums, blocks = _block_sums(terms, block, rows)
             if not len(blocks):
                 continue
             text = np.searchsorted(first + many, blocks, side="right")
             # a passage is a block and the next one of the same text, where that has weight too
             follows = np.zeros(len(blocks), dtype=bool)
             follows[:-1] = (blocks[1:] == blocks[:-1] + 1) & (text[1:] == text[:-1])
-            most = np.add.reduceat(reaches[terms], heads)
-            most[:-1] += np.where(follows[:-1], most[1:], 0)
-            far = most >= COVER * lengths.min()
-            wanted = far.copy()
-            wanted[1:] |= far[:-1] & follows[:-1]
-            if not far.any():
-                continue
-            words_of = wanted[np.repeat(np.arange(len(blocks)), np.diff(np.append(heads, len(block))))]
-            sums = np.zeros((len(blocks), rows.shape[1]), dtype=np.float32)
-            sums[wanted], _ = _block_sums(terms[words_of], block[words_of], rows)
             sums[follows] += sums[1:][follows[:-1]]
             starts = (np.cumsum(counts) - counts)[text] + (blocks - first[text]) * STRIDE
-            sums, starts, text = sums[far], starts[far], text[far]
             length = np.sqrt(np.einsum("ij,ij->i", sums, sums))
-            out = {}
-            for start in range(0, len(sums), 16_384):
-                reach = sums[start : start + 16_384] @ targets.T
-                p, k = np.nonzero((reach >= cosine * length[start : start + 16_384, None]) & (reach >= COVER * lengths))
+            found_at = []
+            for start in range(0, len(sums), 4096):
+                reach = sums[start : start + 4096] @ targets.T
+                p, k = np.nonzero(reach >= COVER * lengths)
                 near = reach[p, k] / np.maximum(length[start + p], 1e-12)
-                p += start
-                # the words that a subsequence may use: the passage and an item's length on either side
-                begin = np.maximum((np.cumsum(counts) - counts)[text[p]], starts[p] - sizes[k])
-                end = np.minimum(np.cumsum(counts)[text[p]], starts[p] + 2 * STRIDE + sizes[k])
-                for a, b, item, t, c in zip(begin.tolist(), end.tolist(), k.tolist(), text[p].tolist(), near.tolist(), strict=True):
-                    area = numbers[a:b]
-                    area = np.unique(area[heavy[item, area]])
-                    # a subsequence lacks at most so many of the item's words, and of its rarer ones
-                    if len(area) < max(CONTENT * rarer[item], rarer[item] - (1 - min(lcs, loose)) * sizes[item]):
-                        continue
-                    words = h[a:b].tolist()
-                    share = lcs_length(items.words[item].tolist(), words) / sizes[item]
+                good = (near >= cosine) | (reach[p, k] >= MOST * lengths[k])
+                found_at.append((p[good] + start, of[k[good]], near[good]))
+            p, k, near = (np.concatenate(x) for x in zip(*found_at, strict=True))
+            # of several pieces of an item that meet a passage, the nearest
+            order = np.lexsort((-near, k, p))
+            p, k, near = p[order], k[order], near[order]
+            once = np.append(True, (p[1:] != p[:-1]) | (k[1:] != k[:-1]))[: len(p)]
+            p, k, near = p[once], k[once], near[once]
+            # the words that a subsequence may use: the passage and an item's length on either side
+            begin = np.maximum((np.cumsum(counts) - counts)[text[p]], starts[p] - sizes[k])
+            end = np.minimum(np.cumsum(counts)[text[p]], starts[p] + 2 * STRIDE + sizes[k])
+            ok = _possible(items, holds, heavy, sizes, numbers, k, begin, end, least)
+            found = []
+            for a, b, item, t, c in zip(begin[ok].tolist(), end[ok].tolist(), k[ok].tolist(), text[p[ok]].tolist(), near[ok].tolist(), strict=True):
+                own = items.words[item].tolist()
+                if item not in bits:
+                    bits[item] = places(own)
+                share = lcs_length(own, h[a:b][holds[item, numbers[a:b]]].tolist(), bits[item]) / sizes[item]
+                if share >= least:
                     said = len(items.answers[item])
-                    answered = lcs_length(items.answers[item].tolist(), words) / said if said else 0.0
-                    out[t, item, a, b] = (share, answered, c)
-            found = [(t, items.ids[item], *v) for (t, item, _, _), v in out.items() if v[0] >= lcs or (v[0] >= loose and v[1] >= answer)]
+                    answered = lcs_length(items.answers[item].tolist(), h[a:b].tolist()) / said if said else 0.0
+                    if share >= lcs or (share >= loose and answered >= answer):
+                        found.append((t, items.ids[item], share, answered, c))
             if found:
                 t, *rest = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(t, pa.int64())), pa.array(rest[0], pa.int64()), *(pa.array(r, pa.float64()) for r in rest[1:])], names=["doc_id", "item_id", "lcs", "answer", "cosine"])
@@ -265,12 +345,14 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     rows = benchmark.select(benchmark[item_col].cast("long").alias("k"), benchmark[item_text_col].alias("t")).filter("t is not null").toLocalIterator()
 
     def slices() -> Iterator[Items]:
-        some = []
+        some, size = [], 0
         for r in rows:
-            some.append((r["k"], r["t"]))
-            if len(some) == SLICE:
+            more = len(r["t"].split())
+            if some and (len(some) == SLICE or size + more > SLICE_WORDS):
                 yield Items(some)
-                some = []
+                some, size = [], 0
+            some.append((r["k"], r["t"]))
+            size += more
         yield Items(some)
 
     for items in slices():
@@ -280,28 +362,15 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         n, df = _added(docs.select("text").mapInArrow(_frequencies(shared), "n long, sums binary"), False)
         if not n:
             continue
-        idf = np.where((df > 0) & (df <= max(1, STOP * n)), np.log(1 + n / np.maximum(df, 1)), 0.0)
-        # an item of frequent words only (or one that much of a corpus repeats) keeps its words' weight
-        for w in items.words:
-            own = np.unique(np.searchsorted(items.terms, w))
-            if np.count_nonzero(idf[own]) < 0.25 * len(own):
-                rare = own[df[own] <= OFTEN * n] if (df[own] <= OFTEN * n).any() else own
-                idf[rare] = np.where(df[rare] > 0, np.log(1 + n / np.maximum(df[rare], 1)), 0.0)
+        idf, rare = weights_of(items, n, df)
         width = min(rank + EXTRA, len(items.terms))
         test = np.random.default_rng(11).normal(size=(len(items.terms), width))
         weights = spark.sparkContext.broadcast((idf, test))
         some = docs.select("text").filter(F.xxhash64("text").cast("double") <= 2.0**64 * min(1.0, SAMPLE / n) - 2.0**63)
         passages, sketch = _added(some.mapInArrow(_ranges(shared, weights), "n long, sums binary"), True)
-        own = items.matrix() * idf
-        sketch = sketch.reshape(len(items.terms), width) + max(1.0, passages / len(items.ids)) * (own.T @ (own @ test))
-        basis = latent_space(sketch, test, min(rank, width))
-        targets, lengths = np.zeros((len(items.ids), basis.shape[1]), dtype=np.float32), np.ones(len(items.ids), dtype=np.float32)
-        for k, w in enumerate(items.words):
-            own = np.searchsorted(items.terms, w)
-            v = (idf[own, None] * basis[own]).sum(axis=0)
-            lengths[k] = max(1e-6, np.linalg.norm(v))
-            targets[k] = v / lengths[k]
-        space = spark.sparkContext.broadcast((idf, basis, targets, lengths))
+        basis = fitted_space(items, idf, test, passages, sketch.reshape(len(items.terms), width), min(rank, width))
+        targets, lengths = targets_of(items, idf, basis)
+        space = spark.sparkContext.broadcast((idf, rare, basis, targets, lengths))
         found = found.unionByName(docs.mapInArrow(_search(shared, space, cosine, lcs, loose, answer), MATCHES))
     best = found.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("answer").alias("answer"), F.max("cosine").alias("cosine"))
     return stored(best)
