@@ -24,3 +24,21 @@ def test_decontamination_long_items(spark):
     planted = [" ".join(prose(rng, 40 + k) + w + prose(rng, 60)) for k, w in items]
     got = matches(spark, texts + planted, [(k, " ".join(w)) for k, w in items])
     assert got == {(300 + k, k) for k, _ in items}
+
+
+def test_decontamination_replaced_names(spark):
+    """Copies whose names are mostly replaced still hold over 0.75 of the item in order."""
+    rng = random.Random(2)
+    items, planted = [], []
+    for k in range(20):
+        w = ["c%d" % rng.randrange(60) for _ in range(40)]
+        names = rng.sample(range(40), 10)
+        for at in names:
+            w[at] = "n%d" % rng.randrange(10**9)
+        near = list(w)
+        for at in names[:6]:
+            near[at] = "m%d" % rng.randrange(10**9)
+        items.append((k, " ".join(w)))
+        planted += [" ".join(prose(rng, 30 + k) + own + prose(rng, 50)) for own in (w, near)]
+    got = matches(spark, [" ".join(prose(rng, 150)) for _ in range(300)] + planted, items)
+    assert got == {(300 + k, k // 2) for k in range(40)}

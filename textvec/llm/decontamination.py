@@ -3,8 +3,9 @@
 Documents are cut in passages of `2 * STRIDE` words, one every `STRIDE` words, and benchmark items
 in even pieces of at most `PART` words, as long as a passage, so that an item of any length is found
 by its pieces.  Passages and pieces are TF-IDF vectors over the benchmark's terms, with document
-frequencies counted over the whole corpus; terms in over `RARE` of all documents weigh nothing,
-unless nearly all of an item's words are such terms.  A distributed
+frequencies counted over the whole corpus; terms in over `OFTEN` of all documents weigh nothing,
+unless nearly all of an item's words are such terms, and none weighs more than one in `RARE` of the
+documents, so that a copy whose names are replaced is near by its other words.  A distributed
 randomised SVD gives the latent space: each task applies A^T A to a fixed Gaussian test matrix for
 its own passages, of about `SAMPLE` documents, the sums are added up, and the driver solves the small Nystroem
 eigenproblem (terms x rank, of bounded size).  The pieces count as much as all passages, so that the
@@ -15,7 +16,7 @@ candidates of its item.
 A candidate is verified on the words around the passage: the longest common subsequence with the
 item must cover `lcs` of the item, or, for paraphrases, `loose` of the item together with `answer`
 of the item's answer (its last sentence).  Counts of shared words, of distinct ones and of rare ones
-are tested first, and `CONTENT` of the rare ones must stand there.
+are tested first; they are upper bounds of the subsequence and lose nothing.
 
 Benchmarks are taken in slices of `SLICE` items and `SLICE_WORDS` words, each broadcast, so the broadcast is bounded however
 large the benchmark is.  Null and empty texts match nothing; null item ids are kept as null.  Words
@@ -41,10 +42,10 @@ STRIDE, RANK, EXTRA = 16, 96, 16
 SAMPLE = 4000
 #: Words in a piece of an item, at most: those of a passage.
 PART = 2 * STRIDE
-#: Terms in over RARE of all documents weigh nothing.
-RARE = 0.02
+#: Terms in over OFTEN of all documents weigh nothing; those in under RARE weigh no more than at RARE.
+OFTEN, RARE = 0.5, 0.02
 #: A candidate passage reaches COVER of a piece's length and points towards it by COSINE, or reaches MOST of it.
-COSINE, COVER, MOST, CONTENT, LCS, LOOSE, ANSWER = 0.5, 0.4, 0.8, 0.5, 0.75, 0.6, 0.9
+COSINE, COVER, MOST, LCS, LOOSE, ANSWER = 0.25, 0.25, 0.5, 0.75, 0.6, 0.9
 #: Items, and words of items, that share a space and a broadcast; an item over that has its own.
 SLICE, SLICE_WORDS = 2000, 40_000
 #: Words of candidates' surroundings looked up at once.
@@ -217,8 +218,8 @@ def latent_space(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
 
 def weights_of(items: Items, n: int, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The weight of each term, and which are rare; df: documents, of n, that hold it."""
-    idf = np.where(df > 0, np.log(1 + n / np.maximum(df, 1)), 0.0)
-    often = df > max(1, RARE * n)
+    idf = np.where(df > 0, np.log(1 + np.minimum(n / np.maximum(df, 1), 1 / RARE)), 0.0)
+    often = df > max(1, OFTEN * n)
     weights = np.where(often, 0.0, idf)
     # an item of frequent words only (or one that much of a corpus repeats) keeps its words' weight
     at = 0
@@ -273,7 +274,7 @@ def _possible(items: Items, holds: np.ndarray, heavy: np.ndarray, sizes: np.ndar
         key = np.unique(which[left] * holds.shape[1] + words[left])
         which, words = key // holds.shape[1], key % holds.shape[1]
         good &= np.bincount(which, minlength=to - at) >= distinct[own] - lacks
-        good &= np.bincount(which[heavy[own[which], words]], minlength=to - at) >= np.maximum(CONTENT * rare[own], rare[own] - lacks)
+        good &= np.bincount(which[heavy[own[which], words]], minlength=to - at) >= rare[own] - lacks
         ok[at:to] = good
         at = to
     return ok
