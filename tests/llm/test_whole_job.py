@@ -42,3 +42,16 @@ def test_decontamination_replaced_names(spark):
         planted += [" ".join(prose(rng, 30 + k) + own + prose(rng, 50)) for own in (w, near)]
     got = matches(spark, [" ".join(prose(rng, 150)) for _ in range(300)] + planted, items)
     assert got == {(300 + k, k // 2) for k in range(40)}
+
+
+def test_decontamination_space_of_all_documents(spark, monkeypatch):
+    """The sums behind the space take in the passages of all documents, however many these are."""
+    sums, added = [], decontamination._added
+
+    def kept(df, real, *args):
+        sums.append((real, *added(df, real, *args)))
+        return sums[-1][1:]
+
+    monkeypatch.setattr(decontamination, "_added", kept)
+    assert len(matches(spark, ["alpha beta gamma delta w%d" % k if k % 3 == 0 else "w%d w%d" % (k, k + 1) for k in range(9000)], [(1, "alpha beta gamma delta epsilon")])) == 3000
+    assert [n for real, n, _ in sums if real] == [3000]

@@ -7,7 +7,7 @@ frequencies counted over the whole corpus; terms in over `OFTEN` of all document
 unless nearly all of an item's words are such terms, and none weighs more than one in `RARE` of the
 documents, so that a copy whose names are replaced is near by its other words.  A distributed
 randomised SVD gives the latent space: each task applies A^T A to a fixed Gaussian test matrix for
-its own passages, of about `SAMPLE` documents, the sums are added up, and the driver solves the small Nystroem
+its own passages, the sums over all documents are added up, and the driver solves the small Nystroem
 eigenproblem (terms x rank, of bounded size).  The pieces count as much as all passages, so that the
 space tells items apart.  All passages of all documents are then projected, and those that reach
 `COVER` of a piece's length and whose cosine with it is `cosine`, or that reach `MOST` of it, become
@@ -38,8 +38,6 @@ from .common import pieces, stored
 from .shingles import word_hashes
 
 STRIDE, RANK, EXTRA = 16, 96, 16
-#: Documents whose passages the latent space is fitted on, at most about; all are searched.
-SAMPLE = 4000
 #: Words in a piece of an item, at most: those of a passage.
 PART = 2 * STRIDE
 #: Terms in over OFTEN of all documents weigh nothing; those in under RARE weigh no more than at RARE.
@@ -367,8 +365,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         width = min(rank + EXTRA, len(items.terms))
         test = np.random.default_rng(11).normal(size=(len(items.terms), width))
         weights = spark.sparkContext.broadcast((idf, test))
-        some = docs.select("text").filter(F.xxhash64("text").cast("double") <= 2.0**64 * min(1.0, SAMPLE / n) - 2.0**63)
-        passages, sketch = _added(some.mapInArrow(_ranges(shared, weights), "n long, sums binary"), True)
+        passages, sketch = _added(docs.select("text").mapInArrow(_ranges(shared, weights), "n long, sums binary"), True)
         basis = fitted_space(items, idf, test, passages, sketch.reshape(len(items.terms), width), min(rank, width))
         targets, lengths = targets_of(items, idf, basis)
         space = spark.sparkContext.broadcast((idf, rare, basis, targets, lengths))
