@@ -14,7 +14,7 @@ from textvec.llm.common import hinted, stored, table
 from textvec.llm.decontamination import decontamination
 from textvec.llm.jaccard_join import jaccard_join
 from textvec.llm.language_id import PER_LANGUAGE, fitted, language_id, training_rows
-from textvec.llm.line_dedup import line_dedup
+from textvec.llm.line_dedup import LEAST, line_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Of the n-grams that ordinary text shares with its language's filter, the share that a document must reach.
@@ -33,8 +33,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: boilerplate lines of a source go; a document of which nothing is left goes too."""
-    out = line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Line dedup: boilerplate lines of a source go; a document of which nothing is left goes too.
+
+    Copies count as one page, so that near_duplicates meets whole groups of them and keeps one of each.
+    """
+    out = line_dedup(docs, distinct=True, least=LEAST).withColumn("n_chars", F.length("text").cast("long"))
     return out.filter(F.col("n_dropped").eqNullSafe(0) | (F.length(F.trim("text")) > 0)).select(*COLUMNS)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from textvec.llm import decontamination
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
@@ -55,3 +56,18 @@ def test_decontamination_space_of_all_documents(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "_added", kept)
     assert len(matches(spark, ["alpha beta gamma delta w%d" % k if k % 3 == 0 else "w%d w%d" % (k, k + 1) for k in range(9000)], [(1, "alpha beta gamma delta epsilon")])) == 3000
     assert [n for real, n, _ in sums if real] == [3000]
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    """A third of a host's pages are copies: the line stage leaves them, and still drops its menu."""
+    rng = random.Random(3)
+    copy = "\n".join(" ".join(prose(rng, 12)) for _ in range(8))
+    texts = [copy] * 20 + [copy + "\n\n"] * 5 + ["menu home about\n" + "\n".join(" ".join(prose(rng, 12)) for _ in range(4)) for _ in range(40)]
+    two = " ".join(prose(rng, 30))
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(100 + k, two if k < 2 else " ".join(prose(rng, 30)), "en", "small", 1) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert len(out) == len(rows) and all(out[k] == texts[k] for k in range(25)) and out[100] == out[101] == two
+    assert not any("menu" in out[k] for k in range(25, 65))
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, docs, ""), "").collect()}
+    assert 0 in left and not left & set(range(1, 25)) and 100 in left and 101 not in left

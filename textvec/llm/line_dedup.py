@@ -6,6 +6,9 @@ stands between line feeds; blank lines are kept and never counted; a line counts
 Rows with a null host form a host of their own; null texts stay null, with no lines.  Repeated
 rows count as pages of their own.  Other columns are carried through unchanged.
 
+With `distinct`, pages of a host that hold the same lines count once, and `least` such pages are
+needed: a document's copies don't make its lines boilerplate, and are left to a stage for copies.
+
 All of it is DataFrame expressions.  Pages are exploded to (host, 64-bit line hash), which Spark
 aggregates before it shuffles, so a hot host or line arrives as one row from each task; only the
 hashes above the ratio (at most lines-per-page / ratio for each host) meet the pages again.  They
@@ -22,6 +25,8 @@ from .common import small_enough, stored
 RATIO = 0.1
 #: Hosts with fewer pages have no boilerplate, as every line would be one.
 MIN_PAGES = 10
+#: Distinct pages that a boilerplate line must be on where copies count once.
+LEAST = 5
 #: Boilerplate lines up to which they are broadcast (16 bytes and the host's name each).
 BROADCAST_ROWS = 500_000
 
@@ -30,22 +35,25 @@ def _lines(text):
     return F.filter(F.array_distinct(F.split(text, "\n")), lambda x: ~x.rlike(r"\A[ \t\r\f\x0b]*\z"))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False, least: int = 1) -> DataFrame:
     """(host, line hash, pages, host_pages) of each line above the ratio.
 
     A page adds one row per distinct line and one for itself, so one aggregation counts both.
     """
-    one = docs.select(F.col(host_col).alias("host"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(F.transform(_lines(F.col(text_col)), lambda x: F.xxhash64(x)), F.array().cast("array<bigint>")))).alias("line"))
+    pages = docs.select(F.col(host_col).alias("host"), F.coalesce(F.transform(_lines(F.col(text_col)), lambda x: F.xxhash64(x)), F.array().cast("array<bigint>")).alias("lines"))
+    if distinct:
+        pages = pages.groupBy("host", F.xxhash64(F.array_sort("lines")).alias("page")).agg(F.first("lines").alias("lines"))
+    one = pages.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "lines")).alias("line"))
     # counted without the host total first: a line on one page only can't be boilerplate of a host of min_pages / ratio
     counts = one.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("line").isNull() | (F.col("pages") > F.lit(ratio * min_pages)))
     counts = stored(counts)
     totals = counts.filter("line is null").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
-    return counts.filter("line is not null").join(totals, F.col("host").eqNullSafe(F.col("h"))).drop("h").filter((F.col("host_pages") >= min_pages) & (F.col("pages") > F.col("host_pages") * F.lit(ratio)))
+    return counts.filter("line is not null").join(totals, F.col("host").eqNullSafe(F.col("h"))).drop("h").filter((F.col("host_pages") >= min_pages) & (F.col("pages") > F.col("host_pages") * F.lit(ratio)) & (F.col("pages") >= least))
 
 
-def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS, distinct: bool = False, least: int = 1) -> DataFrame:
     """The documents with boilerplate lines dropped from the text, plus n_lines and n_dropped (lines, repeats included)."""
-    lines = stored(boilerplate(docs, host_col, text_col, ratio, min_pages).select("host", "line"))
+    lines = stored(boilerplate(docs, host_col, text_col, ratio, min_pages, distinct, least).select("host", "line"))
     small = small_enough(lines, broadcast_rows)
     bad = lines.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__bad"))
     docs = docs.join(F.broadcast(bad) if small else bad, F.col(host_col).eqNullSafe(F.col("__host")), "left")
