@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from textvec.llm import decontamination
+from textvec.llm import decontamination, language_id
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -71,3 +71,12 @@ def test_pipeline_keeps_one_of_many_copies(spark):
     assert not any("menu" in out[k] for k in range(25, 65))
     left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, docs, ""), "").collect()}
     assert 0 in left and not left & set(range(1, 25)) and 100 in left and 101 not in left
+
+
+def test_language_id_trains_on_distinct_texts(spark):
+    """A group of copies takes one place of the sample, wherever its hash stands."""
+    texts = ["text %d of few" % k for k in range(30)]
+    docs = spark.createDataFrame([("xx", t) for t in texts for _ in range(50)] + [(None, "none"), ("xx", None)], "lang string, text string").repartition(3)
+    for most, want in ((20, 20), (100, 30)):
+        got = [r["text"] for r in language_id.training_rows(docs, most).collect()]
+        assert len(got) == len(set(got)) == want

@@ -9,7 +9,7 @@ corrected count, relative to its count on its own training text, decides.
 
 A filter holds the character n-grams that are typical of its language: those whose frequency there
 is at least `TYPICAL` of their largest frequency in any language.  The filters are fitted on at
-most `per_language` labelled documents of each language, those of smallest hash of text; the bound
+most `per_language` distinct labelled texts of each language, those of smallest hash; the bound
 is a documented parameter, and prediction covers all rows and whole texts.
 
 Null texts and texts without a letter are `und` with score 0.  Rows with null language never train.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, stored
+from .common import arrow_map, hinted, stored
 
 SIZES = (2, 3, 4)
 #: Words in the filter, a power of two; 8 bytes each.
@@ -131,17 +131,20 @@ def fit(texts: list[tuple[str, str]], positions: int = POSITIONS, typical: float
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, text): at most per_language rows of each language, those of smallest hash of the text.
+    """(lang, text): at most per_language distinct texts of each language, those of smallest hash.
 
-    The ranking runs over (lang, hash) only, with a limit per task before the shuffle.
+    Copies count once: hashes are ranked, without the texts, and each one chosen brings one text.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    hashes = stored(rows.select("lang", "h").distinct())
     # the least hashes of a language are below this bound whatever the size, so few rows are ranked
-    cuts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    cuts = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     cut = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("n")) - F.lit(2.0**63)
-    few = rows.join(F.broadcast(cuts.select(F.col("lang").alias("l"), cut.alias("cut"))), F.col("lang") == F.col("l")).filter(F.col("h").cast("double") <= F.col("cut"))
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.length("text"))))
-    return ranked.filter(F.col("rank") <= per_language).select("lang", "text")
+    few = hashes.join(cuts.select(F.col("lang").alias("l"), cut.alias("cut")), F.col("lang") == F.col("l")).filter(F.col("h").cast("double") <= F.col("cut"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = stored(ranked.filter(F.col("rank") <= per_language).select(F.col("lang").alias("l"), F.col("h").alias("h2")))
+    out = rows.join(hinted(chosen), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("h2")))
+    return out.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").select("lang", "text")
 
 
 def fitted(train: DataFrame) -> Filters:
