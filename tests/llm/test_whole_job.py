@@ -80,3 +80,14 @@ def test_language_id_trains_on_distinct_texts(spark):
     for most, want in ((20, 20), (100, 30)):
         got = [r["text"] for r in language_id.training_rows(docs, most).collect()]
         assert len(got) == len(set(got)) == want
+
+
+def test_language_id_of_70_languages(spark):
+    """Each language has letters of its own; all are predicted."""
+    rng = random.Random(4)
+    texts = lambda k: [" ".join("".join(chr(0x4E00 + 10 * k + rng.randrange(10)) for _ in range(4)) for _ in range(60)) for _ in range(6)]
+    rows = [("l%02d" % k, t) for k in range(70) for t in texts(k)]
+    filters = language_id.fit(rows)
+    assert [filters.predict(t)[0] for _, t in rows] == [lang for lang, _ in rows]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], DOCS)
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.language_id(docs, filters).collect()} == {k: lang for k, (lang, _) in enumerate(rows)}

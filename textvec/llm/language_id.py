@@ -1,7 +1,7 @@
 """Language ID by language-bitmask n-gram filters.
 
-One Bloom filter per language, bit-sliced: all share the hash positions, and the word at a position
-has one bit per language.  ANDing the words at an n-gram's positions gives, in one look-up, the set
+One Bloom filter per language, bit-sliced: all share the hash positions, and the words at a position
+have one bit per language, 64 to a word.  ANDing the words at an n-gram's positions gives, in one look-up, the set
 of all languages whose filter contains it.  The bits of each language are counted over the text's
 n-grams (a popcount per slice), the count is corrected for the filter's false positives
 (c' = (c - f n) / (1 - f), f measured from the filter's fill), and the language with the largest
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import arrow_map, hinted, stored
 
 SIZES = (2, 3, 4)
-#: Words in the filter, a power of two; 8 bytes each.
+#: Positions in the filter, a power of two; 8 bytes each for every 64 languages.
 POSITIONS = 1 << 20
 HASHES = 2
 TYPICAL = 0.4
@@ -67,11 +67,11 @@ def _places(h: np.ndarray, k: int, positions: int) -> np.ndarray:
 
 
 class Filters:
-    """Bit-sliced filters: words[position] has bit l set if language l has an n-gram there."""
+    """Bit-sliced filters: words[position, l // 64] has bit l % 64 set if language l has an n-gram there."""
 
     def __init__(self, languages: list[str], words: np.ndarray, hashes: int = HASHES):
         self.languages, self.words, self.hashes = languages, words, hashes
-        fill = np.array([np.count_nonzero(words & np.uint64(1 << k)) / len(words) for k in range(len(languages))])
+        fill = np.array([np.count_nonzero(words[:, k // 64] & np.uint64(1 << k % 64)) / len(words) for k in range(len(languages))])
         #: Of n-grams that weren't added, the share that a filter still contains.
         self.false = fill**hashes
         self.usual = np.ones(len(languages))
@@ -88,8 +88,11 @@ class Filters:
         if not len(h):
             return np.zeros(len(self.languages))
         masks = self.masks(h)
-        sets, times = np.unique(masks, return_counts=True) if len(masks) > 64 else (masks, np.ones(len(masks)))
-        raw = np.array([times[(sets & np.uint64(1 << k)) != 0].sum() for k in range(len(self.languages))], dtype=float)
+        raw = np.zeros(len(self.languages))
+        for j in range(masks.shape[1]):
+            sets, times = np.unique(masks[:, j], return_counts=True) if len(masks) > 64 else (masks[:, j], np.ones(len(masks)))
+            for k in range(64 * j, min(64 * j + 64, len(raw))):
+                raw[k] = times[(sets & np.uint64(1 << k % 64)) != 0].sum()
         return np.maximum(0, (raw / len(h) - self.false) / (1 - self.false))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -103,29 +106,28 @@ class Filters:
 
 def fit(texts: list[tuple[str, str]], positions: int = POSITIONS, typical: float = TYPICAL, min_count: int = MIN_COUNT) -> Filters:
     """Filters of (language, text) pairs."""
-    languages = sorted({lang for lang, _ in texts})[:64]
+    by_language: dict[str, list[str]] = {}
+    for lang, text in texts:
+        by_language.setdefault(lang, []).append(text)
+    languages = sorted(by_language)
+    words = np.zeros((positions, max(1, -(-len(languages) // 64))), dtype=np.uint64)
     if not languages:
-        return Filters([], np.zeros(positions, dtype=np.uint64))
+        return Filters([], words)
     found = {}
     for lang in languages:
-        h = [ngram_hashes(t) for own, t in texts if own == lang]
-        found[lang] = np.unique(np.concatenate(h) if h else np.empty(0, np.uint64), return_counts=True)
+        found[lang] = np.unique(np.concatenate([ngram_hashes(t) for t in by_language[lang]]), return_counts=True)
     every = np.unique(np.concatenate([g for g, _ in found.values()]))
-    rates = np.zeros((len(languages), len(every)))
-    often = np.zeros((len(languages), len(every)), dtype=bool)
+    most = np.zeros(len(every))
+    for g, c in found.values():
+        at = np.searchsorted(every, g)
+        most[at] = np.maximum(most[at], c / max(1, c.sum()))
     for k, lang in enumerate(languages):
         g, c = found[lang]
-        at = np.searchsorted(every, g)
-        rates[k, at] = c / max(1, c.sum())
-        often[k, at] = c >= min_count
-    words = np.zeros(positions, dtype=np.uint64)
-    most = rates.max(axis=0)
-    for k in range(len(languages)):
-        h = every[(rates[k] >= typical * most) & often[k]]
+        h = g[(c / max(1, c.sum()) >= typical * most[np.searchsorted(every, g)]) & (c >= min_count)]
         for j in range(HASHES):
-            np.bitwise_or.at(words, _places(h, j, positions), np.uint64(1 << k))
+            np.bitwise_or.at(words[:, k // 64], _places(h, j, positions), np.uint64(1 << k % 64))
     out = Filters(languages, words)
-    own = np.array([np.mean([out.counts(t)[k] for la, t in texts if la == lang][:200]) for k, lang in enumerate(languages)])
+    own = np.array([np.mean([out.counts(t)[k] for t in by_language[lang][:200]]) for k, lang in enumerate(languages)])
     out.usual = np.maximum(own, 1e-6)
     return out
 
