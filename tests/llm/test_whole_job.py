@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from textvec.llm import decontamination, language_id
+from textvec.llm.embedding_dedup import embedding_dedup
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -91,3 +94,19 @@ def test_language_id_of_70_languages(spark):
     assert [filters.predict(t)[0] for _, t in rows] == [lang for lang, _ in rows]
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], DOCS)
     assert {r["doc_id"]: r["lang_pred"] for r in language_id.language_id(docs, filters).collect()} == {k: lang for k, (lang, _) in enumerate(rows)}
+
+
+def test_embedding_dedup_far_links_of_a_large_table(spark):
+    """Pairs just within the threshold, of which a small sample holds next to none."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(6000, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turn = rng.normal(size=base.shape)
+    turn -= (turn * base).sum(1, keepdims=True) * base
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.902 * base + (1 - 0.902**2) ** 0.5 * turn])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    links = sum(int((x[k : k + 1000] @ x.T >= 0.9).sum()) for k in range(0, len(x), 1000)) - len(x)
+    found = sum(r["n_links"] for r in embedding_dedup(df, sample=400).collect())
+    print("links found", found, "of", links)
+    assert 0.985 * links <= found <= links

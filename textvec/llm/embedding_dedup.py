@@ -4,7 +4,7 @@ Vectors are scaled to length 1 and cut in two halves, each with a codebook of it
 cell is its pair of nearest codewords.  From each cell that holds vectors, multi-sequence traversal
 visits cells in order of summed codeword distances, as many as bring the recall to its target:
 `recall` of the links among the sampled vectors, and `turned` of copies of sampled vectors turned
-by angles spread evenly from none to the threshold's, the farthest that a link can be.  Two cells
+by the threshold's angle, the farthest that a link can be, whatever links the sample holds.  Two cells
 are compared if either visits the other, so each pair is met once, and every pair found is verified
 in double precision.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components, links_forest
 
-THRESHOLD, RECALL, TURNED, SAMPLE, BLOCK = 0.9, 0.999, 0.9, 8_192, 3072
+THRESHOLD, RECALL, TURNED, SAMPLE, BLOCK = 0.9, 0.999, 0.995, 8_192, 3072
 #: Vectors that a cell shall hold on average, and the most codewords of a half.
 PER_CELL, MOST_CODEWORDS = 160, 192
 
@@ -117,7 +117,7 @@ class MultiIndex:
         turn = rng.normal(size=x.shape)
         turn -= (turn * x).sum(1, keepdims=True) * x
         turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
-        angle = np.linspace(0, np.arccos(threshold), len(x))[rng.permutation(len(x)), None]
+        angle = np.arccos(threshold)
         out = 1
         for a, b, target in ((x[found[:, 0]], sample[found[:, 1]], recall), (x, np.cos(angle) * x + np.sin(angle) * turn, turned)):
             if len(a):
