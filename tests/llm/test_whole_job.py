@@ -110,3 +110,13 @@ def test_embedding_dedup_far_links_of_a_large_table(spark):
     found = sum(r["n_links"] for r in embedding_dedup(df, sample=400).collect())
     print("links found", found, "of", links)
     assert 0.985 * links <= found <= links
+
+
+def test_unigram_ids_of_whole_texts(spark, tmp_path):
+    """Two texts that differ after their first 20,000 words have different ids, and all of them."""
+    from textvec.plans import texts
+
+    same = "one two three " * 7000
+    spark.createDataFrame([(1, same + "four"), (2, same + "five six")], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in texts.QUERIES["unigram_ids"](spark, str(tmp_path)).collect()}
+    assert got[1]["digest"] != got[2]["digest"] and min(r["n"] for r in got.values()) > 21_000

@@ -135,7 +135,7 @@ _add("token_usage", lambda s, d: _ids("wordpiece", 32, s, d).agg(F.count(F.lit(1
 _add("bpe_ids", partial(_ids, "bpe", 1 << 30))
 _add("qwen_ids", partial(_ids, "qwen", 1 << 30))
 _add("gemma_ids", partial(_ids, "gemma", 1 << 30))
-_add("unigram_ids", partial(_ids, "sentencepiece", 512))
+_add("unigram_ids", partial(_ids, "sentencepiece", 1 << 30))
 
 
 def fairseq_map(spark: SparkSession, sf_dir: str) -> DataFrame:
