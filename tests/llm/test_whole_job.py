@@ -3,10 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from textvec.llm import decontamination, language_id
 from textvec.llm.embedding_dedup import embedding_dedup
+from textvec.llm.jaccard_join import jaccard_join
+from textvec.llm.shingles import ngrams, word_hashes
+from textvec.llm.substring_dedup import substring_dedup
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -120,3 +124,29 @@ def test_unigram_ids_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, same + "four"), (2, same + "five six")], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in texts.QUERIES["unigram_ids"](spark, str(tmp_path)).collect()}
     assert got[1]["digest"] != got[2]["digest"] and min(r["n"] for r in got.values()) > 21_000
+
+
+def thue_morse(a, b, n):
+    """n letters in which a and b alternate so that polynomial hashes modulo a power of two collide with their complement."""
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_long_words_do_not_collide(spark):
+    """Two different words of 1,024 letters are two words for all operators that hash words."""
+    one, two = thue_morse("a", "b", 1024), thue_morse("b", "a", 1024)
+    docs = spark.createDataFrame([(1, one), (2, two)], DOCS)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join(docs).collect()} == {1: 1, 2: 2}
+    rest = ["w%d" % k for k in range(63)]
+    docs = spark.createDataFrame([(1, " ".join([*rest[:32], one, *rest[32:]])), (2, " ".join([*rest[:32], two, *rest[32:]]))], DOCS)
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup(docs).collect()} == {1: 0, 2: 0}
+    got = matches(spark, [one + " alpha beta", two + " gamma delta"], [(7, one)])
+    assert got == {(0, 7)}
+
+
+def test_word_sequences_do_not_collide():
+    """Windows of two words in the order of Thue and Morse, and of their complement, differ."""
+    text = " ".join(thue_morse("a", "b", 4096))
+    h, counts = word_hashes(pa.array([text]))
+    w = text.split()
+    for n in (2, 3, 5, 8, 50):
+        assert len(np.unique(ngrams(h, n))) == len({tuple(w[k : k + n]) for k in range(len(w) - n + 1)})

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from .common import LOWER
 
@@ -16,6 +17,8 @@ _MIX1, _MIX2, _BASE, _STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D04
 _FOLD = np.frombuffer(LOWER, dtype=np.uint8)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Masks of the lowest k bytes.
+_CUT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -25,20 +28,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
-#: Bytes of one run of prefix sums.
-SEGMENT = 1 << 19
-_powers = {False: np.ones(1, dtype=np.uint64), True: np.ones(1, dtype=np.uint64)}
-_INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """q^0 to q^(n-1), or of its inverse."""
-    if len(_powers[inverse]) < n:
-        out = np.full(max(n, 2 * len(_powers[inverse])), _INVERSE if inverse else _STEP, dtype=np.uint64)
-        out[0] = 1
-        _powers[inverse] = np.multiply.accumulate(out)
-    return _powers[inverse][:n]
+#: Bytes up to which words are hashed eight bytes at a time, all words at once; longer ones one by one.
+LANES = 64
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,36 +62,39 @@ def word_hashes(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.nd
     last[:-1] &= ~word[1:]
     last[begins[begins > 0] - 1] = word[begins[begins > 0] - 1]
     ends = np.flatnonzero(last) + 1
-    h = np.empty(len(starts), dtype=np.uint64)
-    k = 0
-    while k < len(starts):
-        # prefix sums of b_i q^i over a segment of whole words; a word's sum is brought to q^0
-        base = starts[k]
-        stop = max(k + 1, int(np.searchsorted(ends, base + SEGMENT, side="right")))
-        n = int(ends[stop - 1] - base)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data[base : base + n]] * powers(n), out=total[1:])
-        at = starts[k:stop] - base
-        h[k:stop] = (total[ends[k:stop] - base] - total[at]) * powers(n, True)[at]
-        k = stop
+    size = ends - starts
     counts += np.diff(np.searchsorted(starts, offsets))
-    # the length keeps words apart that differ in leading zeros of the sum only
-    return mixed(h + (ends - starts).astype(np.uint64) * _BASE), counts
+    # eight bytes at any place as one number; a word's last number is cut to its own bytes
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    h = mixed(size.astype(np.uint64) * _BASE)
+    left = np.where(size <= LANES, size, 0)
+    some = np.flatnonzero(left)
+    at, left = starts[some], left[some]
+    while len(some):
+        own = lanes[at] & _CUT[np.minimum(left, 8)]
+        h[some] = mixed(h[some] ^ own)
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LANES).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return h, counts
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash for each n consecutive words, over the batch as a whole (texts' ends included)."""
+    """A hash for each n consecutive words, over the batch as a whole (texts' ends included).
+
+    Runs of 1, 2, 4, ... words are joined two by two and mixed each time; two runs of the largest
+    such size, which may overlap, make n.
+    """
     if len(h) < n:
         return np.empty(0, np.uint64)
-    if n <= 8:
-        out = np.zeros(len(h) - n + 1, dtype=np.uint64)
-        for k in range(n):
-            out = out * _STEP + h[k : len(h) - n + 1 + k]
-        return mixed(out)
-    # prefix sums of h_i q^i; a window's sum is brought to q^0 by the inverse power
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * powers(len(h)), out=total[1:])
-    return mixed((total[n:] - total[:-n]) * powers(len(h) - n + 1, True))
+    size, out = 1, h
+    while size * 2 <= n:
+        out = mixed(out[:-size] * _STEP + out[size:])
+        size *= 2
+    return mixed(out[: len(h) - n + 1] * _STEP + out[n - size : n - size + len(h) - n + 1]) if size < n else out
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
