@@ -1,4 +1,4 @@
-"""Segmentation: hand cases, and the heap against a round-based contraction."""
+"""Segmentation: hand cases, and merges and best segmentations against plain definitions."""
 
 import random
 import time
@@ -17,19 +17,21 @@ def wp(words, **more):
 
 
 def test_wordpiece_cases():
-    t = wp(["play", "##ing", "hello", "world"])
-    assert t.encode("playing hello", 64) == [2, 4, 5, 6, 3]
-    assert t.encode("a" * 101, 64) == [2, 1, 3]
-    assert t.encode("", 64) == [2, 3]
-    assert t.encode("hello hello hello", 3) == [2, 6, 3]
-    assert t.encode("hello", 0) == [2, 3]
+    t = wp(["over", "##take", "##n", "lamp", "sea"])
+    assert t.encode("sea lamp overtaken", 64) == [2, 8, 7, 4, 5, 6, 3]
+    assert t.encode("z" * 300, 64) == t.encode("lampz", 64) == [2, 1, 3]
+    assert t.encode("sea" * 33, 64)[1:-1] == [1] and wp(["s" * 100]).encode("s" * 100, 9) == [2, 4, 3]
+    assert t.encode(" \n", 64) == t.encode("", 64) == [2, 3]
+    assert t.encode("lamp sea lamp sea", 4) == [2, 7, 8, 3]
+    assert t.encode("lamp", 0) == t.encode("lamp", 1) == [2, 3]
 
 
 def test_wordpiece_accents_and_scripts():
-    t = wp(["cafe", "你", "好", "€100", "$", "100"])
-    assert t.encode("Café", 9) == t.encode("Café", 9) == [2, 4, 3]
-    assert t.encode("你好界", 9) == [2, 5, 6, 1, 3]
-    assert t.encode("€100 $100", 9) == [2, 7, 8, 9, 3]
+    t = wp(["uber", "grun", "雪", "山", "£7", "£", "7"])
+    assert t.encode("ÜBER grün", 9) == t.encode("U\u0308ber gru\u0308n", 9) == [2, 4, 5, 3]
+    assert t.encode("山雪川7", 9) == [2, 7, 6, 1, 10, 3]
+    assert t.encode("£7, £ 7", 9) == [2, 8, 1, 9, 10, 3]
+    assert wp(["über"], lower=False).encode("über", 9) == [2, 4, 3]
 
 
 @pytest.mark.parametrize("text", ["ca\x0bfe", "ca\x0cfe", "ca­fe", "ca​fe", "ca﻿fe", "cafe", "caf�e"])
@@ -53,17 +55,28 @@ def rounds(symbols, ranks):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="thenrasiodg", max_size=40))
-def test_heap_equals_rounds(word):
-    ranks = {m: k for k, m in enumerate(vocab.bpe_merges())}
-    assert segment.merge_by_rank(list(word), ranks) == rounds(word, ranks)
+@given(st.text(alphabet="thenrasiodg", max_size=90))
+def test_merges_equal_rounds(word):
+    own = segment.Merges(vocab.bpe_merges())
+    want = rounds(word, own.ranks)
+    assert own(list(word)) == own._long(list(word)) == want
+    assert [p for part in own.cut(list(word)) for p in own(part)] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab", max_size=40), st.permutations(["a b", "a a", "ab a", "aa a", "b a", "ab ab", "aa aa", "ba b", "aaa b", "b b"]))
+def test_merges_of_any_order(word, merges):
+    """Also where a merge makes a pair of lower rank than its own, and where places overlap."""
+    own = segment.Merges([tuple(m.split()) for m in merges])
+    want = rounds(word, own.ranks)
+    assert own._short(list(word)) == want and (not word or own._long(list(word)) == want)
 
 
 def test_long_word_is_fast():
-    ranks = {m: k for k, m in enumerate(vocab.bpe_merges())}
+    own = segment.Merges(vocab.bpe_merges())
     word = "".join(random.Random(1).choice("thenras") for _ in range(50_000))
     start = time.time()
-    segment.merge_by_rank(list(word), ranks)
+    own(list(word))
     assert time.time() - start < 2
 
 
@@ -93,6 +106,25 @@ def test_unigram():
         segment.Unigram([("a", 0, 4)])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab▁x", max_size=9), st.booleans())
+def test_unigram_is_the_best_segmentation(text, inner):
+    """Against all segmentations; pieces with a mark inside, too."""
+    pieces = [("<unk>", 0, 2), ("a", -1.1, 1), ("b", -1.7, 1), ("▁", -0.9, 1), ("ab", -2.9, 1), ("▁ab", -3.05, 1), ("bab", -3.3, 1), ("aa", -1.95, 1)]
+    own = segment.Unigram(pieces + ([("a▁b", -1.3, 1)] if inner else []))
+    scores = {t: s for t, s, k in pieces + [("a▁b", -1.3, 1)] * inner if k == 1}
+
+    def best(s):
+        if not s:
+            return 0.0
+        every = [best(s[:-n]) + scores[s[-n:]] for n in range(1, len(s) + 1) if s[-n:] in scores]
+        return max(every + ([best(s[:-1]) + own.unk_score] if s[-1] not in scores else []))
+
+    got = own.segments(text)
+    assert "".join(t for t, _ in got) == text
+    assert abs(sum(scores[t] if k != own.unk else len(t) * own.unk_score for t, k in got) - best(text)) < 1e-9
+
+
 def test_byte_fallback():
     own, _ = tokenizer("gemma")
     assert own.pieces("☃") == ["<0xE2>", "<0x98>", "<0x83>"]

@@ -1,17 +1,56 @@
-"""Sub-word segmentation cores: plain Python without Spark, one text at a time, with a cache per word."""
+"""Sub-word segmentation cores: plain Python without Spark.
+
+Texts are cut where no segment can cross, and each distinct piece is segmented once per worker.
+"""
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import regex
 
 from ..functions import text as patterns
 
 
+#: Distinct words that a worker remembers before it starts anew.
+KEPT = 200_000
+
+
+def remembered(kept: dict, key: str, make: Callable[[str], list]) -> list:
+    """What make(key) gives, made once."""
+    out = kept.get(key)
+    if out is None:
+        if len(kept) >= KEPT:
+            kept.clear()
+        out = kept[key] = make(key)
+    return out
+
+
+class _Basic(dict):
+    """For str.translate: what each character becomes before a text is split at white space."""
+
+    alone = regex.compile("[" + patterns.PUNCT + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), patterns.CJK) + "]")
+
+    def __init__(self, marks: bool):
+        self.marks = marks
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        kind = unicodedata.category(c)
+        if c in "\t\n\r" or kind[0] == "Z":
+            out = " "
+        elif c == "\ufffd" or kind in ("Cc", "Cf", "Co", "Cs") or (kind == "Mn" and not self.marks):
+            out = ""
+        else:
+            out = f" {c} " if self.alone.match(c) else c
+        self[point] = out
+        return out
+
+
 class WordPiece:
     """Greedy longest prefix; a word that doesn't split wholly, or is over `longest` characters, is unknown."""
 
@@ -20,60 +59,31 @@ class WordPiece:
             raise ValueError(f"vocabulary lacks {', '.join(missing)}")
         self.vocab, self.lower, self.longest = vocab, lower, longest
         self.cls, self.sep, self.unk = vocab[cls], vocab[sep], vocab[unk]
+        self.most = max(map(len, vocab))
+        self.basic = _Basic(marks=not lower)
         self._kept: dict[str, list[int]] = {}
 
-    @staticmethod
-    def _alone(c: str) -> bool:
-        o = ord(c)
-        if 33 <= o <= 47 or 58 <= o <= 64 or 91 <= o <= 96 or 123 <= o <= 126 or unicodedata.category(c)[0] == "P":
-            return True
-        return any(a <= o <= b for a, b in _IDEOGRAPHS)
-
     def words(self, text: str) -> list[str]:
         if self.lower:
-            text = unicodedata.normalize("NFD", text.lower())
-        out, own = [], []
-        for c in text:
-            kind = unicodedata.category(c)
-            if kind == "Mn" and self.lower:
-                continue
-            if c in "\t\n\r" or kind[0] == "Z":
-                flush = None
-            elif c == "�" or kind in ("Cc", "Cf", "Co", "Cs"):
-                continue
-            elif self._alone(c):
-                flush = c
-            else:
-                own.append(c)
-                continue
-            if own:
-                out.append("".join(own))
-                own = []
-            if flush:
-                out.append(flush)
-        if own:
-            out.append("".join(own))
-        return out
+            text = text.lower()
+            if not text.isascii():
+                text = unicodedata.normalize("NFD", text)
+        return text.translate(self.basic).split()
 
     def word(self, word: str) -> list[int]:
-        if word in self._kept:
-            return self._kept[word]
-        out, at = [], 0
-        if len(word) <= self.longest:
-            while at < len(word):
-                for end in range(len(word), at, -1):
-                    piece = word[at:end] if at == 0 else "##" + word[at:end]
-                    if piece in self.vocab:
-                        out.append(self.vocab[piece])
-                        at = end
-                        break
-                else:
-                    break
-        if at < len(word):
-            out = [self.unk]
-        if len(self._kept) > 200_000:
-            self._kept.clear()
-        self._kept[word] = out
+        return remembered(self._kept, word, self._split)
+
+    def _split(self, word: str) -> list[int]:
+        if len(word) > self.longest:
+            return [self.unk]
+        out: list[int] = []
+        rest, mark = word, ""
+        while rest:
+            n = next((n for n in range(min(len(rest), self.most), 0, -1) if mark + rest[:n] in self.vocab), 0)
+            if not n:
+                return [self.unk]
+            out.append(self.vocab[mark + rest[:n]])
+            rest, mark = rest[n:], "##"
         return out
 
     def encode(self, text: str, max_len: int) -> list[int]:
@@ -87,38 +97,94 @@ class WordPiece:
         return [*out[: max_len - 1], self.sep]
 
 
-_IDEOGRAPHS = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
+class Merges:
+    """A ranked merge table, applied to sequences of symbols: least rank first, leftmost first."""
 
+    #: Symbols up to which a sequence is looked through anew after each merge.
+    SHORT = 64
 
-def merge_by_rank(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Contract the pair of least rank, leftmost first, until none is left: a heap over a linked list."""
-    n = len(symbols)
-    after, before, alive = [*range(1, n), -1], list(range(-1, n - 1)), [True] * n
-    parts = list(symbols)
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or j < 0 or parts[i] != a or parts[j] != b:
-            continue
-        parts[i], alive[j], after[i] = a + b, False, after[j]
-        if after[i] >= 0:
-            before[after[i]] = i
-        for k in (before[i], i):
-            if k >= 0 and after[k] >= 0 and (r := ranks.get((parts[k], parts[after[k]]))) is not None:
-                heapq.heappush(heap, (r, k, parts[k], parts[after[k]]))
-    return [p for p, a in zip(parts, alive, strict=True) if a]
+    def __init__(self, merges: list[tuple[str, str]]):
+        self.ranks: dict[tuple[str, str], int] = {}
+        for k, m in enumerate(merges):
+            self.ranks.setdefault(m, k)
+        #: Characters that some merge joins; between others no merge ever reaches.
+        self.joints = {(a[-1], b[0]) for a, b in self.ranks}
+
+    def __call__(self, symbols: list[str]) -> list[str]:
+        return self._short(list(symbols)) if len(symbols) <= self.SHORT else self._long(symbols)
+
+    def cut(self, symbols: list[str]) -> list[list[str]]:
+        """The sequence in parts that merge each on its own."""
+        ends = [k + 1 for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (a[-1], b[0]) not in self.joints]
+        return [symbols[a:b] for a, b in zip([0, *ends], [*ends, len(symbols)], strict=True)]
+
+    def _short(self, parts: list[str]) -> list[str]:
+        none = len(self.ranks)
+        while len(parts) > 1:
+            found = [self.ranks.get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+            if (least := min(found)) == none:
+                break
+            k = found.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def _long(self, symbols: list[str]) -> list[str]:
+        """Rank by rank over arrays: all places of the least rank at once, as far as none of them makes a pair of lower rank."""
+        names = list(dict.fromkeys(symbols))
+        number = {x: k for k, x in enumerate(names)}
+        ids = np.array([number[x] for x in symbols], dtype=np.int64)
+        none = len(self.ranks)
+        known: dict[tuple[int, int], int] = {}
+
+        def ranked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            pairs, at = np.unique(left << 32 | right, return_inverse=True)
+            own = []
+            for pair in pairs.tolist():
+                key = (pair >> 32, pair & 0xFFFFFFFF)
+                if key not in known:
+                    known[key] = self.ranks.get((names[key[0]], names[key[1]]), none)
+                own.append(known[key])
+            return np.array(own, dtype=np.int64)[at]
+
+        rank = ranked(ids[:-1], ids[1:])
+        while len(ids) > 1 and (least := int(rank.min())) < none:
+            at = np.flatnonzero(rank == least)
+            # of places that overlap (a run of one symbol) every other one, from the left
+            run = np.cumsum(np.append(True, np.diff(at) > 1))
+            at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
+            joined = names[ids[at[0]]] + names[ids[at[0] + 1]]
+            if joined not in number:
+                number[joined] = len(names)
+                names.append(joined)
+            new, fresh, values, kept = self._joined(ids, at, number[joined], ranked)
+            # pairs with a right neighbour that is itself joined later on
+            between = ids[at[:-1] + 2]
+            if len(at) > 1 and ((values < least).any() or (ranked(np.full(len(between), number[joined]), between) < least).any()):
+                # one of them makes a pair of lower rank: only the leftmost is sure to be next
+                new, fresh, values, kept = self._joined(ids, at[:1], number[joined], ranked)
+            rank = np.append(rank, none)[kept][: len(new) - 1]
+            rank[fresh] = values
+            ids = new
+        return [names[k] for k in ids.tolist()]
+
+    @staticmethod
+    def _joined(ids: np.ndarray, at: np.ndarray, symbol: int, ranked) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids with places `at` and the next ones joined; its new pairs, their ranks, and which old places are left."""
+        new = ids.copy()
+        new[at] = symbol
+        kept = np.ones(len(ids), dtype=bool)
+        kept[at + 1] = False
+        new = new[kept]
+        spots = at - np.arange(len(at))
+        fresh = np.unique(np.concatenate([spots[spots > 0] - 1, spots[spots < len(new) - 1]]))
+        return new, fresh, ranked(new[fresh], new[fresh + 1]), kept
 
 
 class ByteBPE:
     """Byte-level BPE with added tokens and framing (RoBERTa, ModernBERT, Qwen)."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], added: list[tuple[str, int, bool, bool]] = (), prefix: str | None = "<s>", suffix: str = "</s>", unk: str | None = None, nfc: bool = False, pattern: str = patterns.GPT2):
-        self.vocab = vocab
-        self.ranks: dict[tuple[str, str], int] = {}
-        for k, m in enumerate(merges):
-            self.ranks.setdefault(m, k)
+        self.vocab, self.merges = vocab, Merges(merges)
         self.table = patterns.byte_table()
         self.prefix = None if prefix is None else vocab[prefix]
         self.suffix = vocab[suffix]
@@ -131,12 +197,11 @@ class ByteBPE:
         self._kept: dict[str, list[int]] = {}
 
     def word(self, word: str) -> list[int]:
-        if word not in self._kept:
-            parts = merge_by_rank([self.table[b] for b in word.encode("utf-8")], self.ranks)
-            if len(self._kept) > 200_000:
-                self._kept.clear()
-            self._kept[word] = [i for p in parts if (i := self.vocab.get(p, self.unk)) is not None]
-        return self._kept[word]
+        return remembered(self._kept, word, self._merged)
+
+    def _merged(self, word: str) -> list[int]:
+        parts = self.merges([self.table[b] for b in word.encode("utf-8")])
+        return [i for p in parts if (i := self.vocab.get(p, self.unk)) is not None]
 
     def _segment(self, text: str, budget: int, out: list[int]) -> None:
         for w in self.pattern.findall(text):
@@ -161,20 +226,21 @@ class FallbackBPE:
     """BPE over the whole text with spaces as marks; unknown characters become byte tokens."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], bos: str = "<bos>", eos: str = "<eos>", unk: str = "<unk>"):
-        self.vocab = vocab
-        self.ranks: dict[tuple[str, str], int] = {}
-        for k, m in enumerate(merges):
-            self.ranks.setdefault(m, k)
+        self.vocab, self.merges = vocab, Merges(merges)
         self.bos, self.eos, self.unk = vocab[bos], vocab[eos], vocab[unk]
+        self.bytes = [f"<0x{b:02X}>" for b in range(256)]
+        self._kept: dict[str, list[str]] = {}
+
+    def _symbols(self, text: str) -> list[str]:
+        return [x for c in text for x in ((c,) if c in self.vocab else map(self.bytes.__getitem__, c.encode("utf-8")))]
 
     def pieces(self, text: str) -> list[str]:
-        symbols: list[str] = []
-        for c in text.replace(" ", "▁"):
-            symbols += [c] if c in self.vocab else [f"<0x{b:02X}>" for b in c.encode("utf-8")]
-        return merge_by_rank(symbols, self.ranks)
+        # no merge reaches over the end of such a part, so each distinct one is merged once
+        parts = self.merges.cut(self._symbols(text.replace(" ", "▁")))
+        return [p for part in parts for p in remembered(self._kept, "\x00".join(part), lambda key: self.merges(key.split("\x00")))]
 
     def encode(self, text: str, max_len: int) -> list[int]:
-        ids = [self.vocab.get(p, self.unk) for p in self.pieces(text)]
+        ids = [self.vocab.get(p, self.unk) for p in self.pieces(text)] if text else []
         return [*[self.bos, *ids][: max(1, max_len - 1)], self.eos]
 
 
@@ -190,9 +256,18 @@ class Unigram:
         self.ids = {t: k for k, (t, _, kind) in enumerate(pieces) if kind == 1}
         self.scores = [s for _, s, _ in pieces]
         self.unk = next(k for k, p in enumerate(pieces) if p[2] == 2)
-        self.longest = max((len(t) for t in self.ids), default=1)
         self.unk_score = min((s for _, s, kind in pieces if kind == 1), default=0.0) - 10.0
         self.size = len(pieces) + 2
+        self.single = {t for t in self.ids if len(t) == 1}
+        #: Pieces from their last character on; "" leads to the piece's number.
+        self.tree: dict = {}
+        for t, k in self.ids.items():
+            node = self.tree
+            for c in reversed(t):
+                node = node.setdefault(c, {})
+            node[""] = k
+        self.by_word = not any("▁" in t[1:] for t in self.ids)
+        self._kept: dict[str, list[tuple[str, int]]] = {}
         self.charsmap = charsmap or {}
         self.longest_rule = max(map(len, self.charsmap), default=0)
 
@@ -216,33 +291,38 @@ class Unigram:
         return "▁" + text.replace(" ", "▁") if text else ""
 
     def segments(self, s: str) -> list[tuple[str, int]]:
-        best = [0.0] + [-math.inf] * len(s)
-        back = [(0, self.unk)] * (len(s) + 1)
-        for i in range(len(s)):
-            if best[i] == -math.inf:
-                continue
-            single = False
-            for j in range(i + 1, min(len(s), i + self.longest) + 1):
-                k = self.ids.get(s[i:j])
-                if k is not None:
-                    single |= j == i + 1
-                    if best[i] + self.scores[k] > best[j]:
-                        best[j], back[j] = best[i] + self.scores[k], (i, k)
-            if not single and best[i] + self.unk_score > best[i + 1]:
-                best[i + 1], back[i + 1] = best[i] + self.unk_score, (i, self.unk)
+        """The pieces of best total score, with their numbers; ties go to the longer last piece."""
+        # where no piece holds a mark but in front, every mark begins a piece
+        words = [w for w in re.split("(?=▁)", s) if w] if self.by_word else [s] if s else []
         out: list[tuple[str, int]] = []
-        at = len(s)
-        while at > 0:
-            start, k = back[at]
-            out.append((s[start:at], k))
-            at = start
-        joined: list[tuple[str, int]] = []
-        for text, k in reversed(out):
-            if k == self.unk and joined and joined[-1][1] == self.unk:
-                joined[-1] = (joined[-1][0] + text, k)
-            else:
-                joined.append((text, k))
-        return joined
+        for text, k in (x for w in words for x in remembered(self._kept, w, self._best)):
+            if out and k == self.unk == out[-1][1]:
+                text = out.pop()[0] + text
+            out.append((text, k))
+        return out
+
+    def _best(self, s: str) -> list[tuple[str, int]]:
+        # total[j], last[j]: best score of the first j characters, and their last piece
+        total, last = [0.0], [0]
+        size = [0]
+        for end in range(1, len(s) + 1):
+            # pieces that end here, from the shortest: down the tree of reversed pieces
+            most, piece, length = -math.inf, self.unk, 1
+            node, n = self.tree, 0
+            if s[end - 1] not in self.single:
+                most = total[end - 1] + self.unk_score
+            while n < end and (node := node.get(s[end - 1 - n])) is not None:
+                n += 1
+                if (k := node.get("")) is not None and total[end - n] + self.scores[k] >= most:
+                    most, piece, length = total[end - n] + self.scores[k], k, n
+            total.append(most)
+            last.append(piece)
+            size.append(length)
+        out, end = [], len(s)
+        while end:
+            out.append((s[end - size[end] : end], last[end]))
+            end -= size[end]
+        return out[::-1]
 
     @staticmethod
     def outer_id(k: int) -> int:
