@@ -11,24 +11,20 @@ MAX_BATCH, MAX_BODY = 256, 32 << 20
 NO_INPUT, EMPTY, BAD_JSON, BAD_INPUT = "missing input", "input is empty", "invalid JSON", "input must be a string or an array of strings"
 
 
-def inputs(body: Column) -> Column:
-    """The texts of a request: `input` as a string or an array of strings, else null."""
-    whole = F.get_json_object(body, "$.input")
-    many = F.from_json(whole, "array<string>")
-    text = F.from_json(body, "input string").getField("input")
-    listed = F.substring(F.ltrim(whole), 1, 1) == "["
-    quoted = body.rlike(r'"input"\s*:\s*"')
-    strings = body.rlike(r'"input"\s*:\s*\[\s*("(\\.|[^"\\])*"\s*(,\s*"(\\.|[^"\\])*"\s*)*)?\]')
-    return F.when(quoted, F.array(text)).when(listed & strings, many)
-
-
-def problem(body: Column, texts: Column, max_batch: int = MAX_BATCH) -> Column:
+def texts_of(given: Column) -> Column:
+    """The texts of a request's input, a variant: a string or an array of strings, else null; nulls count as empty."""
+    kind = F.schema_of_variant(given)
+    one, many = F.try_variant_get(given, "$", "string"), F.try_variant_get(given, "$", "array<string>")
+    return F.when(kind.isin("STRING", "VOID"), F.array(F.coalesce(one, F.lit("")))).when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.transform(many, lambda t: F.coalesce(t, F.lit(""))))
+
+
+def problem(body: Column, document: Column, given: Column, texts: Column, max_batch: int = MAX_BATCH) -> Column:
     """The message with which a request is refused, null where it is served."""
-    valid = F.from_json(body, "map<string,string>").isNotNull() & body.rlike(r"(?s)\A\s*\{.*\}\s*\z")
+    kind = F.coalesce(F.schema_of_variant(document), F.lit(""))
     return (
         F.when(F.octet_length(body) > MAX_BODY, "request body is too large")
-        .when(~F.coalesce(valid, F.lit(False)), BAD_JSON)
-        .when(~body.rlike(r'"input"\s*:'), NO_INPUT)
+        .when(~(kind.startswith("OBJECT") | (kind == "VOID")), BAD_JSON)
+        .when(given.isNull(), NO_INPUT)
         .when(texts.isNull(), BAD_INPUT)
         .when(F.size(texts) == 0, EMPTY)
         .when(F.size(texts) > max_batch, F.concat(F.lit("batch of "), F.size(texts), F.lit(f" exceeds max-batch {max_batch}")))
@@ -44,8 +40,14 @@ def health(model: str, dim: int) -> Column:
 
 
 def parse(requests: DataFrame, body_col: str = "body", max_batch: int = MAX_BATCH) -> DataFrame:
-    """requests with `texts` and `error`."""
-    return requests.withColumn("texts", inputs(F.col(body_col))).withColumn("error", problem(F.col(body_col), F.col("texts"), max_batch))
+    """requests with `texts` and `error`.
+
+    The body is parsed once, to a variant, and decided by its type.  A body that repeats a key, or holds
+    a string of over 20 million characters, counts as invalid JSON.
+    """
+    rows = requests.withColumn("__document", F.try_parse_json(body_col)).withColumn("__input", F.try_variant_get("__document", "$.input", "variant"))
+    rows = rows.withColumn("texts", texts_of(F.col("__input")))
+    return rows.withColumn("error", problem(F.col(body_col), F.col("__document"), F.col("__input"), F.col("texts"), max_batch)).drop("__document", "__input")
 
 
 def envelope(model: str, vectors: Column, tokens: Column) -> Column:
