@@ -211,6 +211,43 @@ def test_serving_errors(spark):
     assert got == [serving.BAD_JSON, serving.BAD_JSON, serving.NO_INPUT, serving.BAD_INPUT, serving.BAD_INPUT, serving.EMPTY, "batch of 3 exceeds max-batch 2", None, None]
 
 
+def test_request_bodies(spark):
+    """The variant decides by type: nested inputs don't count, nulls are empty texts, long bodies are no matter."""
+    long = "x" * 1_000_000
+    bodies = ['{"meta": {"input": "a"}}', '{"input": null}', '{"input": [null, "b"]}', '{"input": ["a", 1]}', '{"input": {"a": "b"}}', "null", '"text"', "", None, json.dumps({"input": long}), json.dumps({"input": [long, "\\ \" é\n"]}), json.dumps({"input": [["a"]]})]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    got = {r["k"]: (r["texts"], r["error"]) for r in serving.parse(rows).collect()}
+    assert [got[k][1] for k in range(12)] == [serving.NO_INPUT, None, None, serving.BAD_INPUT, serving.BAD_INPUT, serving.NO_INPUT, serving.BAD_JSON, serving.BAD_JSON, serving.BAD_JSON, None, None, serving.BAD_INPUT]
+    assert got[1][0] == [""] and got[2][0] == ["", "b"] and got[9][0] == [long] and got[10][0] == [long, '\\ " é\n']
+
+
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_bench_stats_of_many_rows(spark, partitions):
+    """Ranks over ranges equal a sorted list: ties, a null key, keys of very different size, missing values."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        n = 400_000
+        key = F.when(F.col("id") % 10 < 7, "large").when(F.col("id") % 10 < 9, "even").when(F.col("id") % 1000 == 999, "few")
+        value = F.when(F.col("id") % 97 == 5, F.lit(None)).otherwise(F.floor(F.pmod(F.xxhash64("id"), F.lit(500_000)) / 3).cast("double"))
+        runs = spark.range(n).select(key.alias("key"), value.alias("sec"), F.lit("more").alias("note")).cache()
+        own = {}
+        for r in runs.collect():
+            if r["sec"] is not None:
+                own.setdefault(r["key"], []).append(r["sec"])
+        got = {r["key"]: r for r in pipeline.bench_stats(runs, ["key"]).collect()}
+        assert set(got) == set(own) == {"large", "even", "few", None}
+        for k, values in own.items():
+            values.sort()
+            m = len(values)
+            assert (got[k]["runs"], got[k]["median"], got[k]["p10"], got[k]["p90"]) == (m, values[m // 2], values[m // 10], values[9 * m // 10])
+        ranked = pipeline.ordered(runs.filter("sec is not null"), ["key"], "sec")
+        assert ranked.count() == sum(map(len, own.values())) == ranked.select("key", "rank").distinct().count()
+        runs.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_streams_equal_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("1", '{"input": ["hello", "there"]}'), ("2", "{")], "request_id string, body string").write.json(src)

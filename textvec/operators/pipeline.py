@@ -2,7 +2,8 @@
 
 Row-preserving steps are scalar Arrow UDF columns, so filters and column pruning pass below them to
 the scan; only embed_tokens changes the number of rows, by posexplode above such a column.  An
-encoder is broadcast once and prepared once per Python worker; each text is encoded on its own.
+encoder is broadcast once and prepared once per Python worker; texts of an Arrow batch that have
+equally many tokens are encoded together.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import vec
+from ..sources.shared import stored
 from . import nn, segment, vocab
 from .config import agrees
 
@@ -107,15 +109,18 @@ def _embed_udf(df: DataFrame, embedder: Embedder, kind, run):
         own = shared.value
         tok, enc = own.ready()
         for texts in batches:
-            yield texts.map(lambda t: run(tok, enc, own, t), na_action="ignore")
+            out = np.full(len(texts), None, dtype=object)
+            said = np.flatnonzero(texts.notna())
+            for k, result in zip(said, run(enc, [tok.encode(t, own.spec.max_len) for t in texts.iloc[said]]), strict=True):
+                out[k] = result
+            yield pd.Series(out)
 
     return embed_
 
 
 def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding") -> DataFrame:
     """One vector per row; a null text has a null vector, an empty one that of the framing tokens."""
-    udf = _embed_udf(df, embedder, _VECTOR, lambda tok, enc, own, t: enc.pooled(tok.encode(t, own.spec.max_len)))
-    return df.withColumn(out, udf(text_col))
+    return df.withColumn(out, _embed_udf(df, embedder, _VECTOR, lambda enc, ids: enc.all_pooled(ids))(text_col))
 
 
 def embed_once(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding") -> DataFrame:
@@ -128,9 +133,9 @@ def embed_tokens(df: DataFrame, embedder: Embedder, id_col: str = "doc_id", text
     """(id, pos, token_id, hidden): full width, whatever the embedder's dim."""
     kind = T.ArrayType(T.StructType([T.StructField("token_id", T.LongType()), T.StructField("hidden", _VECTOR)]))
 
-    def run(tok, enc, own, text):
-        ids = tok.encode(text, own.spec.max_len)
-        return [{"token_id": i, "hidden": h} for i, h in zip(ids, enc.tokens(ids), strict=True)]
+    def run(enc, sequences):
+        for ids, states in zip(sequences, enc.all_tokens(sequences), strict=True):
+            yield [{"token_id": i, "hidden": h} for i, h in zip(ids, states, strict=True)]
 
     rows = df.select(id_col, _embed_udf(df, embedder, kind, run)(text_col).alias("tokens"))
     return rows.select(id_col, F.posexplode("tokens").alias("pos", "t")).select(id_col, F.col("pos").cast("long").alias("pos"), "t.token_id", "t.hidden")
@@ -159,7 +164,7 @@ def try_embed(df: DataFrame, embedder: Embedder, text_col: str = "text", out: st
 def register(spark, embedder: Embedder, name: str = "embed") -> None:
     """SQL functions <name>(text) and <name>_ids(text)."""
     some = spark.range(0)
-    spark.udf.register(name, _embed_udf(some, embedder, _VECTOR, lambda tok, enc, own, t: enc.pooled(tok.encode(t, own.spec.max_len))))
+    spark.udf.register(name, _embed_udf(some, embedder, _VECTOR, lambda enc, ids: enc.all_pooled(ids)))
     spark.udf.register(name + "_ids", ids_udf(some, embedder.kind, embedder.spec.max_len))
 
 
@@ -184,18 +189,28 @@ def validate(golden: DataFrame, got: DataFrame, key: str, tolerance: float = 1e-
 def ordered(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with `rank` from 0 within keys in order of value, and `n` rows of the key; no task sees a whole key.
 
-    Rows are dealt by ranges of (keys, value); counts of each range and key (few rows) give offsets.
+    Rows are dealt by ranges of (keys, value), a row number breaking ties, and written with the number
+    of their range, so that counts of each range and key (few rows) give offsets for the same ranges.
     """
-    dealt = df.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("__part", F.spark_partition_id())
-    dealt = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(value)))
+    ranges = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*[F.col(k) for k in keys], F.col(value), F.col("__tie"))
+    dealt = stored(ranges.withColumn("__part", F.spark_partition_id()))
+    ranked = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(value, "__tie")))
     counts = dealt.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy("__part")
-    offsets = counts.withColumn("__before", F.sum("__n").over(w) - F.col("__n")).withColumn("n", F.sum("__n").over(Window.partitionBy(*keys))).drop("__n")
-    return dealt.join(offsets, ["__part", *keys]).withColumn("rank", F.col("__rn") - 1 + F.col("__before")).drop("__part", "__rn", "__before")
+    w = Window.partitionBy(*keys)
+    offsets = counts.withColumn("__before", F.sum("__n").over(w.orderBy("__part")) - F.col("__n")).withColumn("n", F.sum("__n").over(w))
+    offsets = offsets.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__before", "n")
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return ranked.join(offsets, same).withColumn("rank", F.col("__rn") - 1 + F.col("__before")).select(*df.columns, "n", "rank")
 
 
 def bench_stats(runs: DataFrame, keys: list[str], value: str = "sec") -> DataFrame:
-    """median, p10 and p90 by index (n/2, n/10, 9n/10 of the sorted runs), and their spread in per cent."""
+    """median, p10 and p90 by index (n/2, n/10, 9n/10 of the sorted runs), and their spread in per cent.
+
+    Runs without a value don't count; runs whose key is null form a key of their own.
+    """
+    runs = runs.select(*keys, value).filter(F.col(value).isNotNull())
     at = lambda k: F.floor(F.col("n") * k / 10).cast("long")
     picked = ordered(runs, keys, value).filter((F.col("rank") == at(5)) | (F.col("rank") == at(1)) | (F.col("rank") == at(9)))
     out = picked.groupBy(*keys).agg(F.max("n").alias("runs"), *(F.max(F.when(F.col("rank") == at(k), F.col(value))).alias(name) for k, name in ((5, "median"), (1, "p10"), (9, "p90"))))
@@ -209,3 +224,16 @@ def ab_compare(runs: DataFrame, value: str = "sec") -> DataFrame:
     wide = wide.withColumn("ratio", F.col("A") / F.col("B"))
     every = wide.groupBy().agg(F.max("ratio").alias("hi"), F.min("ratio").alias("lo"))
     return wide.join(F.broadcast(every), F.lit(True)).withColumn("drifts", F.col("hi") / F.col("lo") > 1.1).drop("hi", "lo")
+
+
+def ab_verdict(runs: DataFrame, value: str = "sec") -> DataFrame:
+    """One row over both orders: medians and their ratio, spreads, and what to distrust.
+
+    parity: the medians differ by less than the larger spread; unstable_a, unstable_b: an engine's
+    medians of the two orders differ by over 10 %.
+    """
+    one = lambda stats, column: stats.groupBy().agg(*(F.max(F.when(F.col("engine") == e, F.col(c))).alias(f"{n}_{e.lower()}") for e in "AB" for n, c in column))
+    both = one(bench_stats(runs, ["engine"], value), [("median", "median"), ("spread", "spread")])
+    orders = bench_stats(runs, ["engine", "order"], value).groupBy("engine").agg((F.max("median") / F.min("median") - 1 > 0.1).alias("unstable"))
+    out = both.join(F.broadcast(one(orders, [("unstable", "unstable")])), F.lit(True)).withColumn("ratio", F.col("median_a") / F.col("median_b"))
+    return out.withColumn("parity", 100 * F.abs(F.col("ratio") - 1) < F.greatest("spread_a", "spread_b"))

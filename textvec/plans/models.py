@@ -138,6 +138,19 @@ def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENGINES = "(SELECT value, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS engine, event_id % 2 AS \"order\" FROM events WHERE value IS NOT NULL)"
 _add("ab_compare", ab_compare, f"WITH s AS ({_STATS.format(keys='engine, \"order\"', source=_ENGINES)}), w AS (SELECT \"order\", max(median) FILTER (engine = 'A') AS a, max(median) FILTER (engine = 'B') AS b FROM s GROUP BY 1), r AS (SELECT *, a / b AS ratio FROM w) SELECT \"order\", round(a, 4) AS a, round(b, 4) AS b, round(ratio, 4) AS ratio, (SELECT max(ratio) / min(ratio) FROM r) > 1.1 AS drifts FROM r")
 
+
+def ab_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir).select(F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("engine"), (F.col("event_id") % 2).alias("order"), "sec")
+    out = pipeline.ab_verdict(runs)
+    return out.select(*(F.round(c, 4).alias(c) for c in ("median_a", "median_b", "spread_a", "spread_b", "ratio")), "unstable_a", "unstable_b", "parity")
+
+
+_SPREAD = "100 * (p90 - p10) / median"
+_add("ab_verdict", ab_verdict, f"""WITH s AS ({_STATS.format(keys='engine', source=_ENGINES)}), o AS ({_STATS.format(keys='engine, "order"', source=_ENGINES)}),
+w AS (SELECT max(median) FILTER (engine = 'A') AS a, max(median) FILTER (engine = 'B') AS b, max({_SPREAD}) FILTER (engine = 'A') AS sa, max({_SPREAD}) FILTER (engine = 'B') AS sb FROM s),
+u AS (SELECT bool_or(u) FILTER (engine = 'A') AS ua, bool_or(u) FILTER (engine = 'B') AS ub FROM (SELECT engine, max(median) / min(median) - 1 > 0.1 AS u FROM o GROUP BY 1))
+SELECT round(a, 4) AS median_a, round(b, 4) AS median_b, round(sa, 4) AS spread_a, round(sb, 4) AS spread_b, round(a / b, 4) AS ratio, ua AS unstable_a, ub AS unstable_b, 100 * abs(a / b - 1) < greatest(sa, sb) AS parity FROM w, u""")
+
 # Configuration rules over literal rows.
 
 _MODES = ['{"pooling_mode_mean_tokens": true}', '{"pooling_mode_cls_token": true, "pooling_mode_mean_tokens": false}', '{"pooling_mode_lasttoken": "1"}', '{"pooling_mode_max_tokens": true}', '{"pooling_mode_mean_tokens": true, "pooling_mode_cls_token": 1}', '{"word_embedding_dimension": 8}', '{"pooling_mode_cls_token": "False", "pooling_mode_mean_tokens": 1}']
