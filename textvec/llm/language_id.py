@@ -10,10 +10,14 @@ corrected count, relative to its count on its own training text, decides.
 A filter holds the character n-grams that are typical of its language: those whose frequency there
 is at least `TYPICAL` of their largest frequency in any language.  The filters are fitted on at
 most `per_language` distinct labelled texts of each language, those of smallest hash; the bound
-is a documented parameter, and prediction covers all rows and whole texts.
+is a documented parameter, and prediction covers all rows and whole texts.  Executors count the
+n-grams of each language, choose the typical ones, set the bits and calibrate; the driver gets the
+filters alone, 8 MB for every 64 languages, and one row per language.
 
 Null texts and texts without a letter are `und` with score 0.  Rows with null language never train.
-With no training rows every text is `und`.  Ties go to the language first in the alphabet.
+With no training rows, as in an empty table, every text is `und`.  Ties go to the language first in
+the alphabet.  Repeated rows give repeated results, and train once.  Texts of any length are read
+whole.  Columns in `keep` are carried along; one named like a result's column gets `_in` appended.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,7 +39,10 @@ TYPICAL = 0.4
 #: n-grams rarer than this in a language's training text aren't added.
 MIN_COUNT = 3
 PER_LANGUAGE = 1500
-#: Characters of a training text that are not needed beyond so many documents' worth; texts train whole.
+#: Bytes of training text whose n-grams are counted at once.
+PIECE = 1 << 20
+#: Positions of the filters in one row on their way to the driver.
+ROW = 4096
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 _LETTER = regex.compile(r"\p{L}")
@@ -104,34 +111,78 @@ class Filters:
         return self.languages[best], float(own[best] / total) if total > 0 else 1.0 / len(self.languages)
 
 
-def fit(texts: list[tuple[str, str]], positions: int = POSITIONS, typical: float = TYPICAL, min_count: int = MIN_COUNT) -> Filters:
-    """Filters of (language, text) pairs."""
-    by_language: dict[str, list[str]] = {}
-    for lang, text in texts:
-        by_language.setdefault(lang, []).append(text)
-    languages = sorted(by_language)
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, gram, c): how often each n-gram stands in a batch's texts of a language."""
+    by: dict[str, list[np.ndarray]] = {}
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        by.setdefault(lang, []).append(ngram_hashes(text))
+    langs, grams, counts = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for lang, found in by.items():
+        g, c = np.unique(np.concatenate(found), return_counts=True)
+        langs += [lang] * len(g)
+        grams.append(g)
+        counts.append(c)
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(counts))], names=["lang", "gram", "c"])
+
+
+def typical_ngrams(train: DataFrame, typical: float = TYPICAL, min_count: int = MIN_COUNT) -> tuple[list[str], DataFrame]:
+    """The languages, and (language number, gram) of the n-grams that their filters hold."""
+    counts = stored(arrow_map(train, _counted, "lang string, gram long, c long", limit=PIECE).groupBy("lang", "gram").agg(F.sum("c").alias("c")))
+    totals = sorted((r["lang"], r["total"]) for r in counts.groupBy("lang").agg(F.sum("c").alias("total")).collect())
+    languages = [lang for lang, _ in totals]
+    if not languages:
+        return [], counts.select(F.lit(0).alias("l"), "gram")
+    numbers = train.sparkSession.createDataFrame([(lang, k, float(n)) for k, (lang, n) in enumerate(totals)], "lang string, l int, total double")
+    shares = counts.join(F.broadcast(numbers), "lang").select("gram", F.struct("l", "c", (F.col("c") / F.col("total")).alias("share")).alias("own"))
+    # as many entries of a gram as there are languages, at most
+    of = shares.groupBy("gram").agg(F.max("own.share").alias("most"), F.collect_list("own").alias("owns"))
+    good = of.select("gram", F.explode(F.filter("owns", lambda o: (o["share"] >= F.lit(typical) * F.col("most")) & (o["c"] >= min_count))).alias("own"))
+    return languages, good.select("own.l", "gram")
+
+
+def _rows_of_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    words = np.zeros(ROW, dtype=np.int64)
+    words[np.asarray(table["place"]) % ROW] = np.asarray(table["word"])
+    return pa.table({"row": [key[0].as_py()], "slice": [key[1].as_py()], "words": [words.tobytes()]}, schema=pa.schema([("row", pa.int64()), ("slice", pa.int32()), ("words", pa.binary())]))
+
+
+def fitted(train: DataFrame, positions: int = POSITIONS, typical: float = TYPICAL, min_count: int = MIN_COUNT) -> Filters:
+    """Filters of a frame (lang, text) of bounded size."""
+    train = stored(train)
+    languages, grams = typical_ngrams(train, typical, min_count)
     words = np.zeros((positions, max(1, -(-len(languages) // 64))), dtype=np.uint64)
     if not languages:
         return Filters([], words)
-    found = {}
-    for lang in languages:
-        found[lang] = np.unique(np.concatenate([ngram_hashes(t) for t in by_language[lang]]), return_counts=True)
-    every = np.unique(np.concatenate([g for g, _ in found.values()]))
-    most = np.zeros(len(every))
-    for g, c in found.values():
-        at = np.searchsorted(every, g)
-        most[at] = np.maximum(most[at], c / max(1, c.sum()))
-    for k, lang in enumerate(languages):
-        g, c = found[lang]
-        h = g[(c / max(1, c.sum()) >= typical * most[np.searchsorted(every, g)]) & (c >= min_count)]
-        for j in range(HASHES):
-            np.bitwise_or.at(words[:, k // 64], _places(h, j, positions), np.uint64(1 << k % 64))
+    place = lambda k: F.shiftrightunsigned("gram", 20 * k).bitwiseAND(F.lit(positions - 1).cast("long"))
+    bits = grams.select("l", F.explode(F.array(*(place(k) for k in range(HASHES)))).alias("place"))
+    bits = bits.groupBy("place", F.floor(F.col("l") / 64).cast("int").alias("slice")).agg(F.bit_or(F.expr("shiftleft(1L, l % 64)")).alias("word"))
+    rows = bits.groupBy(F.floor(F.col("place") / ROW).alias("row"), "slice").applyInArrow(_rows_of_words, "row long, slice int, words binary")
+    for r in rows.toLocalIterator():
+        words[r["row"] * ROW : (r["row"] + 1) * ROW, r["slice"]] = np.frombuffer(r["words"], np.uint64)
     out = Filters(languages, words)
-    own = np.array([np.mean([out.counts(t)[k] for t in by_language[lang][:200]]) for k, lang in enumerate(languages)])
-    out.usual = np.maximum(own, 1e-6)
+    # how much of a language's own text its filter contains, on average
+    shared = train.sparkSession.sparkContext.broadcast((languages, words))
+    kept: dict = {}
+
+    def own_share(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if "own" not in kept:
+            kept["own"] = Filters(*shared.value)
+        own = kept["own"]
+        said = batch.column("lang").to_pylist()
+        share = [float(own.counts(t)[own.languages.index(lang)]) for lang, t in zip(said, batch.column("text").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(said, pa.string()), pa.array(share, pa.float64())], names=["lang", "share"])
+
+    means = {r["lang"]: r["mean"] for r in arrow_map(train, own_share, "lang string, share double").groupBy("lang").agg(F.avg("share").alias("mean")).collect()}
+    # rounded, as sums depend on the order of rows
+    out.usual = np.maximum(np.round([means[lang] for lang in languages], 9), 1e-6)
     return out
 
 
+def fit(texts: list[tuple[str, str]], **more) -> Filters:
+    """Filters of (language, text) pairs."""
+    return fitted(SparkSession.getActiveSession().createDataFrame(texts, "lang string, text string"), **more)
+
+
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, text): at most per_language distinct texts of each language, those of smallest hash.
 
@@ -146,12 +197,7 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, text_col: s
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     chosen = stored(ranked.filter(F.col("rank") <= per_language).select(F.col("lang").alias("l"), F.col("h").alias("h2")))
     out = rows.join(hinted(chosen), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("h2")))
-    return out.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").select("lang", "text")
-
-
-def fitted(train: DataFrame) -> Filters:
-    """Filters of a frame (lang, text) of bounded size."""
-    return fit([(r["lang"], r["text"]) for r in train.toLocalIterator()])
+    return out.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def language_id(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -161,7 +207,9 @@ def language_id(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_
     the text's n-grams, relative to training text of its language (about 1 for ordinary text).
     """
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.words, filters.usual))
-    schema = "doc_id long, lang_pred string, score double, evidence double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    own_names = ["doc_id", "lang_pred", "score", "evidence"]
+    names = [f"{c}_in" if c in own_names else c for c in keep]
+    schema = "doc_id long, lang_pred string, score double, evidence double" + "".join(f", `{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
     kept: dict = {}
 
     def predict(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -178,6 +226,6 @@ def language_id(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_
             best, total = int(np.argmax(c)), float(c.sum())
             out.append((own.languages[best], float(c[best]) / total if total > 0 else 1.0 / len(c), float(c[best])))
         lang, score, evidence = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(evidence, pa.float64()), *(batch.column(c) for c in keep)], names=["doc_id", "lang_pred", "score", "evidence", *keep])
+        return pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(evidence, pa.float64()), *(batch.column(n) for n in names)], names=[*own_names, *names])
 
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"), *keep), predict, schema, by="__text")
+    return arrow_map(docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"), *(docs[c].alias(n) for n, c in zip(names, keep, strict=True))), predict, schema, by="__text")
