@@ -138,7 +138,7 @@ def test_byte_bpe(spark, docs):
     tiktoken = pytest.importorskip("tiktoken")
     with open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("own", pat_str=byte_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    enc = tiktoken.Encoding("own", pat_str=byte_bpe.public_pattern(), mergeable_ranks=ranks, special_tokens={})
     more = ["x" * 2000, "it's  we'll\n\n \t a", "日本語🎉 é", " a", "a ", "\x1c b", "1234567 89"]
     rows = corpus() + [(1000 + k, t) for k, t in enumerate(more)]
     got = byte_bpe.encode_decode(frame(spark, rows), digests=False).collect()
@@ -150,6 +150,27 @@ def test_byte_bpe(spark, docs):
             assert list(r["ids"]) == enc.encode_ordinary(t) and r["decoded"] == t
 
 
+def test_byte_bpe_decodes_its_ids():
+    """One wrong id, one other text: decoding knows nothing but the ids."""
+    own = byte_bpe._codec(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    texts = ["some words, and others", "", "more of them"]
+    ids, counts = own.encode_texts(texts)
+    assert own.decode(ids, counts) == [t.encode() for t in texts]
+    wrong = ids.copy()
+    wrong[3] = 77
+    got = own.decode(wrong, counts)
+    assert got[0] == b"".join(own.tokens[i] for i in wrong[: counts[0]].tolist()) != texts[0].encode() and got[2] == texts[2].encode()
+
+
+def test_byte_bpe_long_words():
+    """Recursive query and heap give the same ids for words of a letter, of many letters, and around LONG bytes."""
+    own = byte_bpe._codec(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    rng = random.Random(8)
+    words = [("x" * n).encode() for n in (2, 3, 127, 128, 129, 700, byte_bpe.LONG)] + ["".join(rng.choice("etaoinshr") for _ in range(n)).encode() for n in (50, 200, 900)]
+    assert [w.tolist() for w in own.encode(words)] == [own.by_heap(w) if w not in own.ranks else [own.ranks[w]] for w in words]
+    assert own.encode([b"ab" * 200_000])[0].size > 0
+
+
 def test_token_counts(spark, docs):
     own = token_counts.tokenizer(tokenizer_path("byte_bpe_50k.json"))
     encode = lambda t: own.encode(t, add_special_tokens=False)

@@ -1,21 +1,21 @@
 """Byte-level BPE encoding and decoding, by DuckDB recursive queries inside each partition.
 
 A batch of documents is cut into pre-tokens by the vocabulary's pattern; its distinct pre-tokens
-that the worker doesn't know yet become token-position rows (word, pos, id), one per byte.  A
+that the worker doesn't know yet become token-position rows (word, ord, id), one per byte.  A
 recursive query joins neighbours with the merge table (left id, right id, merged id = rank) and in
 each round contracts every word's leftmost pair of least rank, until no word has a pair that
-merges; positions are renumbered as it goes, so that neighbours meet by equality.  Ordered
-aggregations over the ids that are left, joined with the vocabulary, give ids and decoded bytes.
-
-A pre-token that is a token of the vocabulary is that token, as in the tiktoken library.  Words
-over `LONG` bytes would take a round for each byte, each over all of its bytes; for them alone a
-heap contracts the same pairs in the same order.
-
-Texts are first cut where one space stands between two characters that aren't white space: the
-pattern always begins a match there, so each distinct piece is cut into pre-tokens once.
-
-Nulls count as empty: no tokens, no bytes.  Repeated rows give repeated results; an empty table
-gives none; other columns are not read.
+merges; words that are done leave the recursion, and positions are renumbered as it goes, so that
+neighbours meet by equality.  An ordered aggregation gives each word's ids.  The ids of each document
+are then decoded as such: joined with the vocabulary and aggregated in their order, whatever they
+were made from.
+
+A pre-token that is a token of the vocabulary is that token, as in the tiktoken library.  A pre-token
+of over `LONG` bytes (a run of so many letters without a space) would take a round for each byte,
+each over all of its bytes; for them alone a heap contracts the same pairs in the same order.
+
+Nulls count as empty: no tokens, no bytes.  Ties of rank go to the leftmost pair.  Repeated rows give
+repeated results; an empty table gives none; texts of any length are read whole; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,32 +28,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, digest, raw_bytes, tokenizer_path
-from .token_counts import stable_pieces
 
-#: The pre-token pattern of the public byte-level vocabularies (a fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG = 128  # positions take 8 bits in the query
-#: Words and pieces that a worker remembers: the newest so many at least, twice as many at most.
-KEPT = 300_000
-#: Words of one recursive query.
-WORDS = 15_000
+#: Bytes of a pre-token up to which it goes through the recursive query.
+LONG = 1024
+#: Words that a worker remembers: the newest so many at least, twice as many at most.
+KEPT = 200_000
+#: Rows that one recursive query makes at most, about: half the square of a word's bytes for each word.
+ROWS = 2_000_000
+#: Bytes of text handled at once.
+PIECE = 3 << 20
 
 _RECURSION = """
 WITH RECURSIVE state(word, ord, id, round) AS (
-    SELECT word, pos, id, 0 FROM start
+    SELECT word, ord, id, 0 FROM start
   UNION ALL
-    SELECT s.word, s.ord - CAST(s.ord > (b.best & 255) AS INT), CASE WHEN s.ord = (b.best & 255) THEN CAST(b.best >> 8 AS INT) ELSE s.id END, s.round + 1
+    SELECT s.word, s.ord - CAST(s.ord > (b.best & 4294967295) AS INT), CASE WHEN s.ord = (b.best & 4294967295) THEN CAST(b.best >> 32 AS INT) ELSE s.id END, s.round + 1
     FROM state s
-    JOIN (SELECT a.word, min((CAST(m.merged AS BIGINT) << 8) | a.ord) AS best
+    JOIN (SELECT a.word, min((CAST(m.merged AS BIGINT) << 32) | a.ord) AS best
           FROM state a JOIN state n ON n.word = a.word AND n.ord = a.ord + 1 JOIN merges m ON m.l = a.id AND m.r = n.id
           GROUP BY a.word) b ON s.word = b.word
-    WHERE s.ord <> (b.best & 255) + 1
+    WHERE s.ord <> (b.best & 4294967295) + 1
 ),
 ends AS (SELECT word, max(round) AS round FROM state GROUP BY word)
-SELECT word, string_agg(CAST(id AS VARCHAR), ',' ORDER BY ord) AS ids, CAST(count(*) AS INT) AS n, string_agg(hex, '' ORDER BY ord) AS hex
-FROM state JOIN ends USING (word, round) JOIN vocabulary USING (id) GROUP BY word
+SELECT word, list(id ORDER BY ord) AS ids FROM state JOIN ends USING (word, round) GROUP BY word
 """
-_DECODE = "SELECT word, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (id) GROUP BY word"
+_DECODE = "SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (id) GROUP BY doc"
 
 
 class Codec:
@@ -66,19 +65,18 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: b for b, i in self.ranks.items()}
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = regex.compile(public_pattern())
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         own = pa.table({"l": left, "r": right, "merged": merged})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM own")
         own = pa.table({"id": pa.array(list(self.tokens), pa.int32()), "hex": pa.array([b.hex() for b in self.tokens.values()], pa.string())})
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM own")
-        self.words: dict[str, tuple[str, int, bytes]] = {}
-        self.old_words: dict[str, tuple[str, int, bytes]] = {}
-        self.pieces: dict[str, tuple[str, int, bytes]] = {}
-        self.old_pieces: dict[str, tuple[str, int, bytes]] = {}
+        #: Ids of each word that is known: those of the newest words, and of those before.
+        self.words: dict[str, np.ndarray] = {}
+        self.old_words: dict[str, np.ndarray] = {}
 
     def by_heap(self, word: bytes) -> list[int]:
         """The same contraction order for one long word."""
@@ -106,63 +104,73 @@ class Codec:
             i = after[i]
         return out
 
-    def encode(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
-        """Comma-joined ids of each word, their number, and what they decode to."""
+    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word."""
         out: list = [None] * len(words)
-        rest, long = [], []
+        rest = []
         for k, w in enumerate(words):
             if (r := self.ranks.get(w)) is not None:
-                out[k] = (str(r), 1, self.tokens[r])
+                out[k] = np.array([r], dtype=np.int32)
             elif len(w) > LONG:
-                long.append(k)
+                out[k] = np.array(self.by_heap(w), dtype=np.int32)
             else:
                 rest.append(k)
-        for k in long:
-            ids = self.by_heap(words[k])
-            out[k] = (",".join(map(str, ids)), len(ids), self.decode([ids])[0])
-        for at in range(0, len(rest), WORDS):
-            some = rest[at : at + WORDS]
+        # words of like length take as many rounds
+        rest.sort(key=lambda k: len(words[k]))
+        ends = np.cumsum([len(words[k]) * (len(words[k]) + 1) // 2 for k in rest])
+        at = 0
+        while at < len(rest):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROWS, side="right")))
+            some = rest[at:to]
             sizes = np.array([len(words[k]) for k in some], dtype=np.int64)
             data = np.frombuffer(b"".join(words[k] for k in some), dtype=np.uint8)
-            start = pa.table({"word": np.repeat(np.array(some, dtype=np.int32), sizes), "pos": (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32), "id": self.first[data]})  # noqa: F841
+            start = pa.table({"word": np.repeat(np.array(some, dtype=np.int32), sizes), "ord": (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32), "id": self.first[data]})  # noqa: F841
             got = self.db.sql(_RECURSION).to_arrow_table()
-            for k, ids, n, text in zip(*(got.column(c).to_pylist() for c in ("word", "ids", "n", "hex")), strict=True):
-                out[k] = (ids, n, bytes.fromhex(text))
+            lists = got.column("ids").combine_chunks()
+            flat, offsets = np.asarray(lists.values, dtype=np.int32), np.asarray(lists.offsets)
+            for k, a, b in zip(got.column("word").to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
+                out[k] = flat[a:b].copy()
+            at = to
         return out
 
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
-        """The bytes of each sequence of ids, by ordered aggregation."""
-        out = [b""] * len(sequences)
-        sizes = np.array([len(s) for s in sequences], dtype=np.int64)
-        if not sizes.sum():
-            return out
-        flat = np.fromiter((i for s in sequences for i in s), dtype=np.int32, count=int(sizes.sum()))
-        ids = pa.table({"word": np.repeat(np.arange(len(sequences), dtype=np.int32), sizes), "pos": np.arange(len(flat), dtype=np.int32), "id": flat})  # noqa: F841
-        got = self.db.sql(_DECODE).to_arrow_table()
-        for k, text in zip(got.column("word").to_pylist(), got.column("hex").to_pylist(), strict=True):
-            out[k] = bytes.fromhex(text)
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of sequences of ids, one after another, of so many ids each: by ordered aggregation."""
+        out = [b""] * len(counts)
+        if len(ids):
+            ids = pa.table({"doc": np.repeat(np.arange(len(counts), dtype=np.int32), counts), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})  # noqa: F841
+            got = self.db.sql(_DECODE).to_arrow_table()
+            for k, text in zip(got.column("doc").to_pylist(), got.column("hex").to_pylist(), strict=True):
+                out[k] = bytes.fromhex(text)
         return out
 
-    def _learn_words(self, words: set[str]) -> None:
-        for w in words & self.old_words.keys():
-            self.words[w] = self.old_words[w]
-        new = [w for w in words if w not in self.words]
-        self.words.update(zip(new, self.encode([w.encode("utf-8") for w in new]), strict=True))
-
-    def learn(self, pieces: set[str]) -> None:
-        """Afterwards self.pieces has ids, number and decoded bytes of each of them."""
-        if len(self.pieces) > KEPT:
-            self.old_pieces, self.pieces = self.pieces, {}
+    def learn(self, words: set[str]) -> None:
+        """Afterwards self.words has the ids of each of them."""
         if len(self.words) > KEPT:
             self.old_words, self.words = self.words, {}
-        pieces = {p for p in pieces if p not in self.pieces}
-        for p in pieces & self.old_pieces.keys():
-            self.pieces[p] = self.old_pieces[p]
-        new = {p: self.pattern.findall(p) for p in pieces if p not in self.pieces}
-        self._learn_words({w for ws in new.values() for w in ws if w not in self.words})
-        for p, ws in new.items():
-            own = [self.words[w] for w in ws]
-            self.pieces[p] = own[0] if len(own) == 1 else (",".join(o[0] for o in own), sum(o[1] for o in own), b"".join(o[2] for o in own))
+        new = []
+        for w in words:
+            if w not in self.words:
+                if (own := self.old_words.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.words[w] = own
+        self.words.update(zip(new, self.encode([w.encode("utf-8") for w in new]), strict=True))
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after another, and their numbers."""
+        cut = [self.pattern.findall(t) for t in texts]
+        self.learn({w for ws in cut for w in ws})
+        own = [list(map(self.words.__getitem__, ws)) for ws in cut]
+        counts = np.array([sum(map(len, o)) for o in own], dtype=np.int64)
+        every = [x for o in own for x in o]
+        return (np.concatenate(every) if every else np.empty(0, np.int32)), counts
+
+
+def public_pattern() -> str:
+    """The pre-token pattern that belongs to the public vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 _codecs: dict[str, Codec] = {}
@@ -184,19 +192,18 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = _codec(path)
-        cut = [stable_pieces(raw.decode("utf-8")) if raw else [] for raw in raw_bytes(batch.column("text"))]
-        own.learn({p for c in cut for p in c})
-        # per document: ids, numbers and bytes of its pieces
-        found = [tuple(zip(*map(own.pieces.__getitem__, c), strict=True)) or ((), (), ()) for c in cut]
-        ids = [",".join(f[0]) for f in found]
-        n = pa.array([sum(f[1]) for f in found], pa.int64())
-        decoded = [b"".join(f[2]) for f in found]
+        flat, counts = own.encode_texts([(raw or b"").decode("utf-8") for raw in raw_bytes(batch.column("text"))])
+        decoded = own.decode(flat, counts)
+        ends = np.cumsum(counts)
+        n = pa.array(counts, pa.int64())
         if digests:
-            out = [pa.array([digest(i.encode()) for i in ids], pa.string()), pa.array(list(map(digest, decoded)), pa.string())]
+            said = list(map(str, flat.tolist()))
+            ids = [digest(",".join(said[a:b]).encode()) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            out = [pa.array(ids, pa.string()), pa.array(list(map(digest, decoded)), pa.string())]
         else:
-            out = [pa.array([[int(x) for x in i.split(",")] if i else [] for i in ids], pa.list_(pa.int32())), pa.array([d.decode("utf-8") for d in decoded], pa.string())]
+            out = [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat, pa.int32())), pa.array([d.decode("utf-8") for d in decoded], pa.string())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *out], names=["doc_id", "n_tokens", *names])
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, f"doc_id long, n_tokens long, {kinds}", limit=6 << 20)
+    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, f"doc_id long, n_tokens long, {kinds}", limit=PIECE)
