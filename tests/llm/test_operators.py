@@ -3,9 +3,13 @@
 import base64
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from textvec.llm import byte_bpe, decontamination, language_id, licenses, line_dedup, pii, token_counts
 from textvec.llm.common import tokenizer_path
@@ -195,6 +199,59 @@ def test_pii(spark):
     assert pii.pii(frame(spark, rows).limit(0)).count() == 0
 
 
+def plain_spans(text):
+    """The base spans by the contract's own patterns."""
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for place, (kind, pattern) in enumerate(kinds.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            double = sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits)))
+            fits = {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda: 12 <= len(digits) <= 19 and double % 10 == 0, "phone": lambda: 9 <= len(digits) <= 15}  # noqa: B023
+            if fits[kind]():
+                out.append((m.start(), place, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def test_pii_base_columns(spark, sf_dir):
+    """Every base column of the query against the contract's patterns on whole texts."""
+    from textvec.llm.queries import op2_pii
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in op2_pii(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        want = plain_spans(t or "")
+        assert [got[k][f"n_{kind}"] for kind in pii.KINDS] == [sum(w[0] == kind for w in want) for kind in pii.KINDS]
+        said = ["%s:%d:%d" % w for w in want]
+        assert got[k]["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest() and set(said) <= set(got[k]["spans"].split(",")) | {""}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1.@-+ (%é29", max_size=40))
+def test_pii_base_spans_equal_the_patterns(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_pii_discovers_unseen_identifiers(spark):
+    """Names, handles, odd numbers, keys and secrets in contexts that seeds have taught; longer than any window, too."""
+    long, key = "k" * 400, "0123456789abcdef" * 3
+    rows = [(k, f"é please write to user{k}@mail.example.com today") for k in range(20)] + [(20 + k, f"call us at +1 (555) 200-{1000 + k} now") for k in range(20)]
+    rows += [(40 + k, f'api_token = "{key}{k}" set') for k in range(8)] + [(60, f"é please write to {long} today, please write to Jane"), (61, "call us at 1-800-FLOWERS now"), (62, 'api_token = "hunter2hunter2" set'), (63, "write the paper to end it"), (64, f"a {key} alone"), (60, "another text")]
+    rows += [(70 + k, f"w{k} went to v{k} soon") for k in range(50)]
+    found = {(r["doc_id"], s["kind"], t[s["start"] : s["end"]]) for r, t in ((r, dict(rows[:-53])[r["doc_id"]] if r["doc_id"] < 60 else [t for i, t in rows if i == r["doc_id"]][0]) for r in pii.pii(frame(spark, rows)).collect()) for s in r["added"]}
+    planted = {(60, "email_like", long), (61, "phone_like", "1-800-FLOWERS"), (62, "secret_like", "hunter2hunter2"), *((40 + k, "secret_like", f"{key}{k}") for k in range(8))}
+    assert len(found & planted) >= 0.9 * len(planted) and not {f for f in found if f[0] in (63, 64) or f[0] >= 70}
+
+
+def test_pii_of_long_texts():
+    """Long runs with and without an at sign, long numbers: no step back over them."""
+    start = time.time()
+    for text in ("x" * 1_000_000 + "@", "9" * 1_000_000, "@" * 300_000, "1." * 400_000, "+" * 300_000, "a@b" * 200_000):
+        pii.base_spans(text)
+    assert time.time() - start < 20 and pii.base_spans("x" * 100_000 + "@y.z") == [("email", 0, 100_004)]
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License."), (2, "relesed undr the MIT\nlicense"), (3, None), (4, "general public license general public license"), (5, "mitlicense"), (6, "")]
     got = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, rows)).collect()}

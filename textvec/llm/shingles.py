@@ -42,28 +42,27 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the texts of a column; fold: A-Z count as a-z."""
-    data, offsets = text_buffer(column)
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts that stand one after another, and the number of each text's; space: the bytes between words."""
     counts = np.zeros(len(offsets) - 1, dtype=np.int64)
     if not len(data):
-        return np.empty(0, np.uint64), counts
-    if fold:
-        data = _FOLD[data]
-    word = ~_SPACE[data]
+        return np.empty(0, np.int64), np.empty(0, np.int64), counts
+    word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     begins = offsets[:-1][offsets[:-1] < len(data)]
     first[begins] = word[begins]
     starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.empty(0, np.uint64), counts
     last = word.copy()
     last[:-1] &= ~word[1:]
     last[begins[begins > 0] - 1] = word[begins[begins > 0] - 1]
-    ends = np.flatnonzero(last) + 1
-    size = ends - starts
     counts += np.diff(np.searchsorted(starts, offsets))
+    return starts, np.flatnonzero(last) + 1, counts
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span."""
+    size = ends - starts
     # eight bytes at any place as one number; a word's last number is cut to its own bytes
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     padded[: len(data)] = data
@@ -79,7 +78,14 @@ def word_hashes(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.nd
         some, at, left = some[more], at[more] + 8, left[more] - 8
     for k in np.flatnonzero(size > LANES).tolist():
         h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
-    return h, counts
+    return h
+
+
+def word_hashes(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the texts of a column; fold: A-Z count as a-z."""
+    data, offsets = text_buffer(column)
+    starts, ends, counts = word_spans(data, offsets)
+    return span_hashes(_FOLD[data] if fold else data, starts, ends), counts
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
