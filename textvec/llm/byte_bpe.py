@@ -173,6 +173,7 @@ def public_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: Those of the task that runs; a worker gives their memory back at its end.
 _codecs: dict[str, Codec] = {}
 
 
@@ -182,6 +183,10 @@ def _codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _forget() -> None:
+    _codecs.clear()
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, digests: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, and ids and decoded bytes of the whole text.
 
@@ -206,4 +211,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, f"doc_id long, n_tokens long, {kinds}", limit=PIECE)
+    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, f"doc_id long, n_tokens long, {kinds}", limit=PIECE, done=_forget)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import os
 import re
-import tempfile
-import uuid
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import dropped, fresh_path, shared_folder, stored
+
+__all__ = ["arrow_map", "bitmap", "digest", "dropped", "fresh_path", "hinted", "in_bitmap", "pieces", "raw_bytes", "shared_folder", "small_enough", "stored", "table", "tidied", "tokenizer_path"]
+
 #: A-Z to a-z, everything else unchanged.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -23,41 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset (tests, local runs) a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="textvec-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a frame made by stored(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/stored-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def raw_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     if isinstance(column, pa.ChunkedArray):
@@ -79,8 +50,26 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             start = stop
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text", limit: int = 8 << 20) -> DataFrame:
-    """mapInArrow with batches of bounded bytes."""
+def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], done: Callable[[], None] | None = None) -> Callable:
+    """fn for mapInArrow, giving its memory back at the end of each task: workers live on, and others need the room."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            if done is not None:
+                done()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text", limit: int = 8 << 20, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with batches of bounded bytes; done() is called at the end of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, by, limit):
@@ -88,7 +77,32 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run, done), schema)
+
+
+def bitmap(df: DataFrame, bits: int = 26) -> np.ndarray:
+    """2^bits bits, those set that the low bits of a column of hashes name: of fixed size, however many there are.
+
+    Executors make the words; the driver gets at most 2^bits / 8 bytes.
+    """
+    place = df.select(F.col(df.columns[0]).cast("long").bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("p"))
+    words = place.groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("word"))
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        row = np.zeros(4096, dtype=np.int64)
+        row[np.asarray(table["at"]) % 4096] = np.asarray(table["word"])
+        return pa.table({"row": [key[0].as_py()], "words": [row.tobytes()]}, schema=pa.schema([("row", pa.int64()), ("words", pa.binary())]))
+
+    out = np.zeros((max(1, (1 << bits) // (64 * 4096)), 4096), dtype=np.uint64)
+    for r in words.groupBy(F.shiftright("at", 12).alias("row")).applyInArrow(packed, "row long, words binary").toLocalIterator():
+        out[r["row"]] = np.frombuffer(r["words"], np.uint64)
+    return out.reshape(-1)
+
+
+def in_bitmap(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a bitmap; of others next to none are."""
+    place = h & np.uint64(len(words) * 64 - 1)
+    return words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) != 0
 
 
 def digest(data: bytes) -> str:

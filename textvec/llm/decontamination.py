@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import pieces, stored, tidied
 from .shingles import word_hashes
 
 STRIDE, RANK, EXTRA = 16, 96, 16
@@ -49,7 +49,7 @@ SLICE, SLICE_WORDS = 2000, 40_000
 #: Words of candidates' surroundings looked up at once.
 LOOKED_UP = 4 << 20
 #: Bytes of text hashed at once; the arrays take some 50 times as much.
-PIECE = 2 << 20
+PIECE = 1 << 20
 MATCHES = "doc_id long, item_id long, lcs double, answer double, cosine double"
 
 
@@ -341,7 +341,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).filter("text is not null")
     found = spark.createDataFrame([], MATCHES)
-    rows = benchmark.select(benchmark[item_col].cast("long").alias("k"), benchmark[item_text_col].alias("t")).filter("t is not null").toLocalIterator()
+    rows = benchmark.select(benchmark[item_col].cast("long").alias("k"), benchmark[item_text_col].alias("t")).filter("t is not null").orderBy("k", "t").toLocalIterator()
 
     def slices() -> Iterator[Items]:
         some, size = [], 0
@@ -358,17 +358,17 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         if not items.ids:
             continue
         shared = spark.sparkContext.broadcast(items)
-        n, df = _added(docs.select("text").mapInArrow(_frequencies(shared), "n long, sums binary"), False)
+        n, df = _added(docs.select("text").mapInArrow(tidied(_frequencies(shared)), "n long, sums binary"), False)
         if not n:
             continue
         idf, rare = weights_of(items, n, df)
         width = min(rank + EXTRA, len(items.terms))
         test = np.random.default_rng(11).normal(size=(len(items.terms), width))
         weights = spark.sparkContext.broadcast((idf, test))
-        passages, sketch = _added(docs.select("text").mapInArrow(_ranges(shared, weights), "n long, sums binary"), True)
+        passages, sketch = _added(docs.select("text").mapInArrow(tidied(_ranges(shared, weights)), "n long, sums binary"), True)
         basis = fitted_space(items, idf, test, passages, sketch.reshape(len(items.terms), width), min(rank, width))
         targets, lengths = targets_of(items, idf, basis)
         space = spark.sparkContext.broadcast((idf, rare, basis, targets, lengths))
-        found = found.unionByName(docs.mapInArrow(_search(shared, space, cosine, lcs, loose, answer), MATCHES))
+        found = found.unionByName(docs.mapInArrow(tidied(_search(shared, space, cosine, lcs, loose, answer)), MATCHES))
     best = found.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("answer").alias("answer"), F.max("cosine").alias("cosine"))
     return stored(best)

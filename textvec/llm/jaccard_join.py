@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hinted, pieces, stored
+from .common import arrow_map, hinted, pieces, stored, tidied
 from .components import components, links_forest
 from .shingles import inside, mixed, ngrams, word_hashes
 
@@ -222,7 +222,7 @@ class _Verifier:
         pairs = stored(pairs)
         sets = self.sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         joined = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens2")), "b")
-        return stored(joined.select("a", "b", "tokens", "tokens2").mapInArrow(_measure, "a long, b long, inter long, union long")), sets
+        return stored(joined.select("a", "b", "tokens", "tokens2").mapInArrow(tidied(_measure), "a long, b long, inter long, union long")), sets
 
 
 def _differences(loose: int):
@@ -252,7 +252,7 @@ def families_of(edges: DataFrame, sets: DataFrame, loose: int = LOOSE, rounds: i
     for k in range(rounds):
         tied = components(open_).withColumnRenamed("component", "family")
         centres = sets.select(F.col("id").alias("family"), F.col("tokens").alias("centre"))
-        own = stored(tied.join(sets, "id").join(centres, "family").select("id", "family", "tokens", "centre").mapInArrow(_differences(loose), "id long, family long, n long, delta binary"))
+        own = stored(tied.join(sets, "id").join(centres, "family").select("id", "family", "tokens", "centre").mapInArrow(tidied(_differences(loose)), "id long, family long, n long, delta binary"))
         out = own if out is None else out.unionByName(own)
         if k + 1 < rounds:
             taken = stored(own.select("id"))
@@ -328,7 +328,7 @@ def family_links(families: DataFrame, per_cent: int, tasks: int) -> DataFrame:
     keys = stored(blocks.select("family", "part").join(other.select("family", "part2"), "family").filter("part < part2"))
     pairs = keys.join(blocks, ["family", "part"]).join(other, ["family", "part2"])
     schema = "a long, b long"
-    return stored(alone.mapInArrow(_compare(per_cent), schema).unionByName(pairs.mapInArrow(_compare(per_cent), schema)))
+    return stored(alone.mapInArrow(tidied(_compare(per_cent)), schema).unionByName(pairs.mapInArrow(tidied(_compare(per_cent)), schema)))
 
 
 def _sizes_fit(per_cent: int):
@@ -340,7 +340,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     size = sketch_size(docs)
-    scanned = stored(docs.mapInArrow(_sets(n, size), _SETS))
+    scanned = stored(docs.mapInArrow(tidied(_sets(n, size)), _SETS))
     sets = scanned.filter("row is null").select("doc_id", "n", "key", "key2")
     linkable = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = stored(linkable.groupBy("key", "key2").agg(F.min("doc_id").alias("least")))

@@ -122,10 +122,14 @@ def _counter(path: str, huge: int):
     return count
 
 
+def _forget() -> None:
+    _workers.clear()
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, huge: int = HUGE) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row: UTF-8 bytes, and tokens as the library counts them.
 
     No shuffle: one pass, column-pruned, with batches of bounded bytes.
     """
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _counter(path, huge), "doc_id long, n_bytes long, n_tokens long")
+    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _counter(path, huge), "doc_id long, n_bytes long, n_tokens long", done=_forget)
