@@ -138,6 +138,24 @@ def test_embedding_dedup(spark):
     assert embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_lengths_and_repeated_ids(spark):
+    """Each length links among itself; a row that repeats an id has the result of its own vector."""
+    rows = [(k, [1.0, 0.1 * k, 0.0, 1.0]) for k in range(6)] + [(10, [1.0, 0.0]), (11, [1.0, 0.01]), (12, [1.0, 0.0]), (20, [3.0]), (21, [-1.0]), (22, [0.5]), (30, [1.0, 2.0, 3.0]), (40, []), (12, [0.0, 1.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=2).collect())
+    want = []
+    for k, (i, v) in enumerate(rows):
+        near = {k}
+        while True:
+            more = {b for a in near for b, (_, w) in enumerate(rows) if w and len(w) == len(rows[a][1]) and np.dot(rows[a][1], w) >= 0.9 * np.linalg.norm(rows[a][1]) * np.linalg.norm(w)}
+            if more <= near:
+                break
+            near |= more
+        direct = sum(1 for b, (_, w) in enumerate(rows) if b != k and w and len(w) == len(v) and np.dot(v, w) >= 0.9 * np.linalg.norm(v) * np.linalg.norm(w)) if v else 0
+        least = min(rows[b][0] for b in near)
+        want.append((i, direct, least, i == least))
+    assert got == sorted(want)
+
+
 def test_byte_bpe(spark, docs):
     tiktoken = pytest.importorskip("tiktoken")
     with open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
