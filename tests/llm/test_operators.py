@@ -206,6 +206,17 @@ def test_token_counts(spark, docs):
             assert token_counts.resynchronised(encode, t, chunk, overlap) == encode(t).ids
 
 
+def test_token_counts_of_huge_texts():
+    """Texts over the default size: overlapping chunks count what the library counts, long runs without a boundary, too."""
+    own = token_counts.tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    encode = lambda t: own.encode(t, add_special_tokens=False)
+    rng = random.Random(10)
+    prose = words(rng, 20_000)
+    texts = [prose, prose[:50_000] + "x" * 30_000 + prose[:50_000], "ab" * 25_000, "é\n\n  " * 12_000, prose[:40_000] + "<|endoftext|>" + prose[:40_000], " " * 60_000]
+    for t in texts:
+        assert len(t) > token_counts.HUGE and token_counts.resynchronised(encode, t) == encode(t).ids
+
+
 def test_pii(spark):
     text = "mail a.b+c@x-y.example.com now 4111 1111 1111 1111 or +1 (555) 123-4567 at 10.0.0.255 not 10.0.0.256"
     assert [k for k, _, _ in pii.base_spans(text)] == ["email", "card", "phone", "ip"]
@@ -279,6 +290,74 @@ def test_licenses(spark):
     assert got[3]["first_word"] is None and got[5]["n_base"] == 0 and got[6]["n_words"] == 0
 
 
+def test_licenses_hide_nothing(spark):
+    """An edited notice beside an exact one, a word that goes on where a window ends, repeated rows, clashing names."""
+    rows = [(1, "relesed under the mit license released under the mit license"), (2, "all rigts reserved all rights reserved"), (3, "all rights reservedxyz"), (4, "all rights reserve"), (1, "x")]
+    df = spark.createDataFrame([(i, t, "q", 1) for i, t in rows], "doc_id long, text string, spans string, score int")
+    got = sorted((r["doc_id"], [(s["label"], s["start"], s["end"], s["edits"]) for s in r["spans"]]) for r in licenses.license_scan(df).collect())
+    assert got == [(1, []), (1, [("mit", 0, 29, 1), ("mit", 30, 60, 0)]), (2, [("all-rights-reserved", 0, 18, 1), ("all-rights-reserved", 19, 38, 0)]), (3, []), (4, [("all-rights-reserved", 0, 18, 1)])]
+    assert licenses.license_scan(df.limit(0)).count() == 0
+
+
+def edits_of(notice, text):
+    """The least edit distance of the notice to any run of whole words."""
+    words, best = text.split(), len(notice)
+    for a in range(len(words)):
+        row = list(range(len(notice) + 1))
+        said = ""
+        for b in range(a, min(len(words), a + 30)):
+            for c in ("" if b == a else " ") + words[b]:
+                new = [row[0] + 1]
+                for k, x in enumerate(notice):
+                    new.append(min(new[-1] + 1, row[k + 1] + 1, row[k] + (x != c)))
+                row = new
+                said += c
+            best = min(best, row[-1])
+            if len(said) > len(notice) + 12:
+                break
+    return best
+
+
+def test_licenses_against_all_edit_distances(spark):
+    """Labels of edited notices in prose: those that plain dynamic programming finds."""
+    rng = random.Random(9)
+    notices = [("a", "released under the mit license"), ("b", "subject to the terms of the mozilla public license"), ("c", "all rights reserved")]
+    rows = []
+    for k in range(60):
+        parts = [words(rng, 6)]
+        for label, t in notices:
+            if rng.random() < 0.6:
+                own = list(t)
+                for _ in range(rng.randrange(6)):
+                    at = rng.randrange(len(own))
+                    own[at : at + rng.randrange(2)] = rng.choice(["", "q", "zz"])
+                parts += ["".join(own), words(rng, 5)]
+        rows.append((k, " ".join(parts)))
+    got = {r["doc_id"]: set(r["labels"]) for r in licenses.license_scan(frame(spark, rows), notices=notices, base={}).collect()}
+    for k, t in rows:
+        assert got[k] == {label for label, notice in notices if edits_of(notice, " ".join(t.split())) <= len(notice) // licenses.PER_EDIT}, (k, t)
+
+
+def test_licenses_base_columns(spark, sf_dir):
+    """Every base column of the query, by the contract's words, on whole texts."""
+    from textvec.llm.queries import op10_license_scan
+
+    got = {r["doc_id"]: r for r in op10_license_scan(spark, sf_dir).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        places = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        own = got[r["doc_id"]]
+        assert (own["n_words"], own["n_base"], own["first_word"], own["last_word"], own["base_labels"]) == (len(w), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None), ",".join(sorted({x for _, x in places})))
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    rows = [(k, "menu\nbody %d" % k, "h", "kept", 7) for k in range(12)] + [(20, "", "h", "x", 1), (20, "", "h", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines string, bad int").withColumnRenamed("bad", "host")
+    got = line_dedup.line_dedup(df).collect()
+    assert len(got) == 14 and {(r["n_lines"], r["n_lines_in"], r["host"]) for r in got if r["doc_id"] < 12} == {(2, "kept", 7)}
+    assert all(r["text"] == f"body {r['doc_id']}" for r in got if r["doc_id"] < 12) and [r["text"] for r in got if r["doc_id"] == 20] == ["", ""]
+
+
 def test_line_dedup(spark):
     rows = [(k, f"menu\nbody {k}\n\nmenu" if k < 12 else None if k == 12 else f"other {k}", "h" if k < 13 else None) for k in range(16)]
     df = spark.createDataFrame([(i, t, s, "q") for i, t, s in rows], "doc_id long, text string, source string, line string")

@@ -6,12 +6,20 @@ automaton over all pieces locates them, and the regex library's bounded-error ma
 the surroundings of each hit and reports span and edits.  Texts are normalised to lower-case words
 joined by one space first, so that line breaks and punctuation in a notice don't count.
 
-Nulls count as empty (no words, no places, score 0).  Repeated rows give repeated results; columns
-other than the two named ones are not read.
+Every place where a piece stands is a window of its own, in which the best match is looked for, so that
+a better match elsewhere hides none.  Of found matches that overlap, the one of fewest edits for its
+length stays; ties go to the longer one, then to the earlier one, then to the label first in the
+alphabet.
+
+Nulls and empty texts have no words, no places and score 0.  Repeated rows give repeated results; an
+empty table gives none.  Texts of any length are read whole.  Columns other than the two named ones,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -25,26 +33,59 @@ FOLD = bytes(32 if b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <
 #: Phrases whose places are counted, and their labels (fixed by the query's contract).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+_CC = {"by": "attribution", "by-sa": "attribution sharealike", "by-nd": "attribution noderivatives", "by-nc": "attribution noncommercial", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
+_SPDX = "mit apache-2.0 gpl-2.0 gpl-3.0 lgpl-2.1 lgpl-3.0 agpl-3.0 mpl-2.0 bsd-2-clause bsd-3-clause isc epl-2.0 cc0-1.0 unlicense bsl-1.0 zlib"
+
+
+def _families() -> list[tuple[str, str]]:
+    """Notices that follow a rule: versions of the GNU and Creative Commons licenses, SPDX lines."""
+    out = []
+    for label, name, versions in (("gpl", "gnu general public license", "2 3"), ("lgpl", "gnu lesser general public license", "2.1 3"), ("agpl", "gnu affero general public license", "3")):
+        for v in versions.split():
+            v = v.replace(".", " ")
+            out += [(label, f"licensed under the {name} version {v}"), (label, f"terms of the {name} version {v}")]
+        out += [(label, f"under the terms of the {name} as published by the free software foundation"), (label, f"you should have received a copy of the {name}"), (label, name) if label != "gpl" else (label, f"this program is free software under the {name}")]
+    for code, name in _CC.items():
+        short = code.replace("-", " ")
+        out += [(f"cc-{code}", f"creative commons {name} {v} 0 {where} license") for v in "34" for where in ("international", "unported")]
+        out += [(f"cc-{code}", f"licensed under cc {short} {v} 0") for v in "234"] + [(f"cc-{code}", f"creativecommons org licenses {short} 4 0")]
+    out += [("spdx-" + x, "spdx license identifier " + x.replace("-", " ").replace(".", " ")) for x in _SPDX.split()]
+    return out
+
+
 #: Notices that are searched with errors: label, words.
 NOTICES = [
     ("mit", "released under the mit license"),
+    ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "licensed under the gnu general public license version 3"),
-    ("gpl", "licensed under the gnu general public license version 2"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
+    ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "distributed under the license is distributed on an as is basis"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
     ("mpl", "subject to the terms of the mozilla public license"),
+    ("epl", "made available under the terms of the eclipse public license"),
+    ("cddl", "common development and distribution license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("bsl", "distributed under the boost software license version 1 0"),
+    ("artistic", "this is free software under the artistic license"),
+    ("psf", "python software foundation license agreement"),
+    ("ofl", "licensed under the sil open font license"),
+    ("odbl", "made available under the open database license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nd", "licensed under cc by nd 4 0"),
+    ("wtfpl", "do what the fuck you want to public license"),
     ("cc0", "licensed under cc0 1 0 universal"),
+    ("cc0", "waived all copyright and related or neighboring rights"),
     ("cc", "licensed under a creative commons attribution"),
+    ("public-domain", "this work is in the public domain"),
     ("all-rights-reserved", "all rights reserved"),
+    ("all-rights-reserved", "no part of this publication may be reproduced"),
+    ("proprietary", "proprietary and confidential"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+    *_families(),
 ]
 #: One edit for so many characters of a notice.
 PER_EDIT = 12
@@ -73,28 +114,22 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) in the normalised text, the best of overlapping ones."""
-        windows: dict[int, list[list[int]]] = {}
-        for last, (size, of) in self.automaton.iter(text):
-            for k, at in of:
-                _, notice, edits = self.notices[k]
-                start = last - size + 1 - at
-                a, b = max(0, start - edits - 1), min(len(text), start + len(notice) + edits + 1)
-                mine = windows.setdefault(k, [])
-                if mine and a <= mine[-1][1]:
-                    mine[-1] = [min(a, mine[-1][0]), max(b, mine[-1][1])]
-                else:
-                    mine.append([a, b])
-        found = []
-        for k, areas in windows.items():
-            label, notice, _ = self.notices[k]
-            for a, b in areas:
-                for m in self.patterns[k].finditer(text, a, b):
-                    found.append((sum(m.fuzzy_counts) / len(notice), -(m.end() - m.start()), m.start(), m.end(), label, sum(m.fuzzy_counts)))
-        out: list[tuple[str, int, int, int]] = []
-        for _, _, start, end, label, edits in sorted(found):
-            if all(end <= s or start >= e for _, s, e, _ in out):
-                out.append((label, start, end, edits))
-        return sorted(out, key=lambda x: x[1:])
+        windows = {(k, last - size + 1 - at) for last, (size, of) in self.automaton.iter(text) for k, at in of}
+        found = set()
+        for k, start in windows:
+            label, notice, edits = self.notices[k]
+            # wide enough that a match can't end with the window, but in the middle of a word
+            a, b = max(0, start - edits - 1), min(len(text), start + len(notice) + 2 * edits + 2)
+            if (m := self.patterns[k].search(text, a, b)) and (m.end() < b or b == len(text) or text[b] == " "):
+                n = sum(m.fuzzy_counts)
+                found.add((n / len(notice), m.start() - m.end(), m.start(), label, n))
+        out: list[tuple[int, int, str, int]] = []
+        for _, size, start, label, n in sorted(found):
+            end = start - size
+            at = bisect.bisect_left(out, (start,))
+            if (not at or out[at - 1][1] <= start) and (at == len(out) or out[at][0] >= end):
+                out.insert(at, (start, end, label, n))
+        return [(label, start, end, n) for start, end, label, n in out]
 
 
 def base_places(words: bytes, phrases: dict[str, str]) -> list[tuple[int, str]]:

@@ -3,8 +3,10 @@
 For each host (here `source`), the pages that contain a line are divided by the pages of the host;
 lines above `ratio` are boilerplate of that host and are dropped from its pages.  Lines are what
 stands between line feeds; blank lines are kept and never counted; a line counts once per page.
-Rows with a null host form a host of their own; null texts stay null, with no lines.  Repeated
-rows count as pages of their own.  Other columns are carried through unchanged.
+Rows with a null host form a host of their own; null texts stay null, with no lines, and empty texts
+stay empty.  Repeated rows count as pages of their own.  A line just at the ratio stays.  An empty
+table gives an empty result.  Texts of any length are read whole.  Other columns are carried through
+unchanged; one that is named n_lines or n_dropped already gets `_in` appended.
 
 With `distinct`, pages of a host that hold the same lines count once, and `least` such pages are
 needed: a document's copies don't make its lines boilerplate, and are left to a stage for copies.
@@ -31,6 +33,14 @@ LEAST = 5
 BROADCAST_ROWS = 500_000
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def _lines(text):
     return F.filter(F.array_distinct(F.split(text, "\n")), lambda x: ~x.rlike(r"\A[ \t\r\f\x0b]*\z"))
 
@@ -55,11 +65,14 @@ def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     """The documents with boilerplate lines dropped from the text, plus n_lines and n_dropped (lines, repeats included)."""
     lines = stored(boilerplate(docs, host_col, text_col, ratio, min_pages, distinct, least).select("host", "line"))
     small = small_enough(lines, broadcast_rows)
-    bad = lines.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__bad"))
-    docs = docs.join(F.broadcast(bad) if small else bad, F.col(host_col).eqNullSafe(F.col("__host")), "left")
+    for name in {"n_lines", "n_dropped"} & set(docs.columns):
+        docs = docs.withColumnRenamed(name, unused(f"{name}_in", docs))
+    host, bad, kept = (unused(name, docs) for name in ("host", "bad", "kept"))
+    lists = lines.groupBy(F.col("host").alias(host)).agg(F.collect_set("line").alias(bad))
+    docs = docs.join(F.broadcast(lists) if small else lists, F.col(host_col).eqNullSafe(F.col(host)), "left")
     split = F.split(F.col(text_col), "\n")
-    keep = lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(x)) | x.rlike(r"\A[ \t\r\f\x0b]*\z")
-    kept = F.when(F.col("__bad").isNull(), split).otherwise(F.filter(split, keep))
-    out = docs.withColumn("__kept", kept).withColumn("n_lines", F.coalesce(F.size(F.filter(split, lambda x: ~x.rlike(r"\A[ \t\r\f\x0b]*\z"))), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split) - F.size("__kept")).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col))).drop("__kept", "__bad", "__host")
+    keep = lambda x: ~F.array_contains(F.col(bad), F.xxhash64(x)) | x.rlike(r"\A[ \t\r\f\x0b]*\z")
+    docs = docs.withColumn(kept, F.when(F.col(bad).isNull(), split).otherwise(F.filter(split, keep)))
+    out = docs.withColumn("n_lines", F.coalesce(F.size(F.filter(split, lambda x: ~x.rlike(r"\A[ \t\r\f\x0b]*\z"))), F.lit(0)).cast("long"))
+    out = out.withColumn("n_dropped", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split) - F.size(kept)).cast("long"))
+    return out.withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop(kept, bad, host)

@@ -92,8 +92,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spans: label:start:end:edits of each fuzzy match, places in the lower-case words joined by one space."""
     out = license_scan(table(spark, sf_dir, "documents"))
-    return out.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ",")).drop("spans")
+    said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"])), ",")
+    return out.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ",")).withColumn("spans", said)
 
 
 QUERIES = {
