@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
@@ -223,13 +224,26 @@ def load(folder: str) -> Config:
     return derive(read("config.json"), read("tokenizer_config.json"), read("1_Pooling", "config.json"), read("modules.json"), read("2_Dense", "config.json", default={}), os.path.isfile(os.path.join(folder, "sentencepiece.bpe.model")), os.path.basename(folder.rstrip("/")))
 
 
-def resolve(ref: str) -> str:
-    """A local folder for a reference; names of remote models are refused here, there being no network source."""
-    if ref.startswith("hf:"):
-        raise ValueError(f"{ref}: remote models are not fetched; give a local folder")
-    if os.path.isdir(ref):
-        return ref
-    raise FileNotFoundError(f"{ref} is no folder" + (" (it looks like a remote model id)" if "/" in ref else ""))
+def resolve(ref: str, cache: str | None = None) -> str:
+    """The local folder of a reference: a folder, or a model id (org/name, or hf:org/name) that the cache holds.
+
+    An org/name whose first part is a local folder is a missing local path, not a model id; with hf:
+    it always is one.  There is no network source, so an id that the cache lacks is an error.
+    """
+    name = ref.removeprefix("hf:")
+    if not ref.startswith("hf:"):
+        if os.path.isdir(ref):
+            return ref
+        if os.path.exists(ref):
+            raise NotADirectoryError(f"{ref} is no folder")
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9._-]+", name) or ".." in name:
+        raise ValueError(f"{ref!r} is neither a model folder nor a model id (org/name)")
+    if not ref.startswith("hf:") and os.path.isdir(os.path.dirname(name)):
+        raise FileNotFoundError(f"{name} doesn't exist, but {os.path.dirname(name)} does: taken for a local path; 'hf:{name}' means the model id")
+    folder = os.path.join(cache, name.replace("/", "--")) if cache else ""
+    if folder and os.path.isdir(folder):
+        return folder
+    raise FileNotFoundError(f"{name} isn't in the cache, and models aren't fetched; give a local folder")
 
 
 def agrees(vocab: int, rows: int, kind: str) -> bool:
@@ -265,9 +279,14 @@ def tokenizer_files(model_type: Column, tokenizer_class: Column) -> Column:
 
 
 def pooling_of(doc: Column) -> Column:
-    """pooling_mode over a JSON column: the mode, or null where it is refused."""
-    flags = F.from_json(doc, "map<string,string>")
-    on = F.map_filter(flags, lambda k, v: k.startswith("pooling_mode_") & v.isNotNull() & ~v.isin("", "false", "False", "0", "0.0", "null") & ~v.rlike(r"^[\[{]"))
+    """pooling_mode over a JSON column: the mode, or null where it is refused.
+
+    A flag is on by its JSON type: true, a number but 0, a string but "", "false" and "False"; so the string "0" is on.
+    """
+    flags = F.try_variant_get(F.try_parse_json(doc), "$", "map<string,variant>")
+    kind = F.schema_of_variant
+    text, number = (lambda v, t=t: F.try_variant_get(v, "$", t) for t in ("string", "double"))
+    on = F.map_filter(flags, lambda k, v: k.startswith("pooling_mode_") & F.coalesce(F.when(kind(v) == "STRING", ~text(v).isin("", "false", "False")).when(kind(v).isin("BOOLEAN", "BIGINT", "DOUBLE") | kind(v).startswith("DECIMAL"), F.coalesce(number(v), F.try_variant_get(v, "$", "boolean").cast("double")) != 0), F.lit(False)))
     key = F.map_keys(on)[0]
     modes = F.create_map(*(F.lit(x) for kv in _POOLING.items() for x in kv))
     return F.when(F.size(on) == 1, F.element_at(modes, key))

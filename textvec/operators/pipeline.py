@@ -63,12 +63,16 @@ class Embedder:
     dim: int = 0
     values: dict[str, np.ndarray] | None = None
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
+    #: A tokenizer of its own, in place of the synthetic one of its kind; the model's name.
+    own: object = None
+    name: str = ""
 
     def __post_init__(self):
-        _, size = tokenizer(self.kind)
+        size = tokenizer(self.kind)[1] if self.own is None else self.spec.vocab
         if not agrees(size, self.spec.vocab, {"gemma": "gemma", "sentencepiece": "sentencepiece"}.get(self.kind, self.spec.arch)):
             raise ValueError(f"a vocabulary of {size} doesn't fit a table of {self.spec.vocab}")
-        self.width = nn.Encoder(self.spec, self.values, self.mode, self.dim).dim
+        encoder = nn.Encoder(self.spec, self.values, self.mode, self.dim)
+        self.width, self.mode_active = encoder.dim, encoder.mode_active
 
     @classmethod
     def tiny(cls, arch: str, **more) -> Embedder:
@@ -78,7 +82,7 @@ class Embedder:
 
     def ready(self) -> tuple:
         if self.key not in _workers:
-            _workers[self.key] = (tokenizer(self.kind)[0], nn.Encoder(self.spec, self.values, self.mode, self.dim))
+            _workers[self.key] = (tokenizer(self.kind)[0] if self.own is None else self.own, nn.Encoder(self.spec, self.values, self.mode, self.dim))
         return _workers[self.key]
 
     def encode(self, text: str) -> list[int]:
@@ -101,6 +105,11 @@ def tokenize(df: DataFrame, kind: str = "wordpiece", max_len: int = 64, text_col
     return df.withColumn(out, ids_udf(df, kind, max_len)(text_col))
 
 
+def tokenize_with(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "ids") -> DataFrame:
+    """Token ids of a model's own tokenizer, as embed() sees them."""
+    return df.withColumn(out, _embed_udf(df, embedder, _IDS, lambda enc, ids: ids)(text_col))
+
+
 def _embed_udf(df: DataFrame, embedder: Embedder, kind, run):
     shared = df.sparkSession.sparkContext.broadcast(embedder)
 
@@ -118,8 +127,14 @@ def _embed_udf(df: DataFrame, embedder: Embedder, kind, run):
     return embed_
 
 
-def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding") -> DataFrame:
-    """One vector per row; a null text has a null vector, an empty one that of the framing tokens."""
+def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding", workers: int = 0) -> DataFrame:
+    """One vector per row; a null text has a null vector, an empty one that of the framing tokens.
+
+    workers: at most so many tasks encode at once; 0 for as many as there are partitions.
+    """
+    if workers < 0:
+        raise ValueError("workers can't be negative")
+    df = df.coalesce(workers) if workers else df
     return df.withColumn(out, _embed_udf(df, embedder, _VECTOR, lambda enc, ids: enc.all_pooled(ids))(text_col))
 
 
@@ -161,6 +176,13 @@ def try_embed(df: DataFrame, embedder: Embedder, text_col: str = "text", out: st
     return df.withColumn(out, embed_(text_col))
 
 
+def first_error(results: DataFrame, order_col: str, result_col: str = "result") -> str | None:
+    """The message of the first failing row in order, as a call over a list of texts reports it; None without one."""
+    error = F.col(result_col).getField("error")
+    row = results.filter(error.isNotNull()).agg(F.min_by(error, order_col).alias("error")).first()
+    return row["error"]
+
+
 def register(spark, embedder: Embedder, name: str = "embed") -> None:
     """SQL functions <name>(text) and <name>_ids(text)."""
     some = spark.range(0)

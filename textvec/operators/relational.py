@@ -73,3 +73,39 @@ def softmax_rows(scores: DataFrame, *keys: str, column: str = "s") -> DataFrame:
     """Softmax in long form, over a window."""
     w = Window.partitionBy(*keys)
     return scores.withColumn("e", F.exp(F.col(column) - F.max(column).over(w))).withColumn("a", F.col("e") / F.sum("e").over(w)).drop("e")
+
+
+def literal(x) -> Column:
+    """A small vector or matrix as a constant."""
+    return F.array(*(literal(row) for row in x)) if getattr(x[0], "ndim", 0) else F.array(*(F.lit(float(v)) for v in x))
+
+
+def bert_states(ids: DataFrame, spec, values: dict) -> DataFrame:
+    """Hidden states (sid, pos, v) of a small BERT over token rows (sid, pos, id), in double precision, by joins and windows alone.
+
+    The token table is joined, broadcast; the other weights are constants of the plan, so this is for
+    widths of a few dozen at most.  Attention shuffles by sequence; everything else stays in its row.
+    """
+    width, dim = spec.hidden, spec.dim_head
+    # what a kernel needs more than once is bound once
+    norm = lambda v, name: vec.let(v, lambda x: vec.layer_norm(x, literal(values[name + ".g"]), literal(values[name + ".b"]), spec.eps))
+    dense = lambda v, name: vec.let(v, lambda x: vec.add(vec.linear(x, literal(values[name])), literal(values[name + ".bias"])))
+    table = ids.sparkSession.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(values["embed"])], "id long, e array<double>")
+    x = ids.join(F.broadcast(table), "id").withColumn("v", vec.add(vec.add(F.col("e"), F.element_at(literal(values["position"]), F.col("pos").cast("int") + 1)), literal(values["type"][0])))
+    x = x.select("sid", "pos", norm(F.col("v"), "embed_norm").alias("v"))
+    for k in range(spec.layers):
+        p = f"layer{k}."
+        rows = x.select("sid", "pos", *(dense(F.col("v"), p + c).alias(c) for c in "qkv"))
+        of = lambda column: heads(rows.select("sid", "pos", F.col(column).alias("v")), spec.heads, dim)  # noqa: B023, E731
+        keys = of("k").join(of("v").withColumnRenamed("v", "u"), ["sid", "pos", "head"])
+        mixed = attention(of("q"), keys, dim).groupBy("sid", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("head") * dim + F.col("d")).alias("o"), "value"))), lambda r: r["value"]).alias("a"))
+        x = x.join(mixed, ["sid", "pos"]).select("sid", "pos", norm(vec.add(F.col("v"), dense(F.col("a"), p + "o")), p + "attn_norm").alias("v"))
+        x = x.select("sid", "pos", "v", vec.gelu(dense(F.col("v"), p + "up")).alias("u"))
+        x = x.select("sid", "pos", norm(vec.add(F.col("v"), dense(F.col("u"), p + "down")), p + "mlp_norm").alias("v"))
+    return x
+
+
+def bert_vectors(states: DataFrame) -> DataFrame:
+    """(sid, v): states averaged and brought to length 1."""
+    pooled = mean_pool(states).groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda r: r["value"]).alias("v"))
+    return pooled.select("sid", vec.l2_normalize(F.col("v")).alias("v"))

@@ -118,6 +118,11 @@ def parse_tokenizer_json(doc: dict, need_bytes: bool = False) -> TokenizerJson:
     return out
 
 
+def load_tokenizer_json(path: str, need_bytes: bool = False) -> TokenizerJson:
+    with open(path, encoding="utf-8") as f:
+        return parse_tokenizer_json(json.load(f), need_bytes)
+
+
 def _fields(data: bytes):
     """(number, wire type, value) of a protobuf message."""
     at = 0

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..functions.weights import weight_sql
-from ..operators import config, nn, pipeline, serving
+from ..functions.weights import embedding_sql, weight_sql
+from ..operators import config, nn, pipeline, relational, serving
 from ..sources import pack, safetensors
+from . import texts
 from .texts import documents
-from .vectors import X, embeddings, r4
+from .vectors import X, embeddings, gelu_sql, r4
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,6 +101,48 @@ def quant_mode_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("quant_mode_drift", quant_mode_drift, "SELECT true AS w8_close, true AS full_close, true AS w8_differs, true AS full_differs")
 
+# A small BERT by joins and windows alone, against the same in SQL.
+
+TINY = nn.tiny("bert", pipeline.tokenizer("wordpiece")[1], hidden=8, layers=1, heads=2, inter=16, max_len=32)
+
+
+def tiny_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pipeline.tokenize(documents(spark, sf_dir), "wordpiece", TINY.max_len)
+    rows = ids.select(F.col("doc_id").alias("sid"), F.posexplode("ids").alias("pos", "id"))
+    return relational.bert_states(rows, TINY, nn.closed_form(TINY, float))
+
+
+def embed_tiny_bert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = relational.bert_vectors(tiny_states(spark, sf_dir)).select(F.col("sid").alias("doc_id"), F.posexplode("v").alias("j", "x"))
+    return out.select("doc_id", F.col("j").cast("long").alias("j"), r4(F.col("x")).alias("value"))
+
+
+def embed_tokens_tiny_bert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tiny_states(spark, sf_dir).select(F.col("sid").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.posexplode("v").alias("j", "x"))
+    return out.select("doc_id", "pos", F.col("j").cast("long").alias("j"), r4(F.col("x")).alias("value"))
+
+
+def _tiny_sql(result: str) -> str:
+    w = lambda name, o, i: weight_sql(nn.salt_of(name), o, i)
+    linear = lambda name, source, width: f"SELECT doc_id, pos, o AS j, sum(x * ({w(name, 'o', 'j')})) + any_value({w(name + '.bias', '0', 'o')}) AS x FROM {source}, range({width}) r(o) GROUP BY doc_id, pos, o"
+    normed = lambda name, source: f"(SELECT doc_id, pos, j, c / sqrt(avg(c * c) OVER (PARTITION BY doc_id, pos) + {TINY.eps}) * (1.0::DOUBLE + {w(name + '.g', '0', 'j')}) + {w(name + '.b', '0', 'j')} AS x FROM (SELECT *, x - avg(x) OVER (PARTITION BY doc_id, pos) AS c FROM {source}))"
+    added = lambda a, b: f"(SELECT doc_id, pos, j, {a}.x + {b}.x AS x FROM {a} JOIN {b} USING (doc_id, pos, j))"
+    return f"""WITH {texts.SEGMENTED}, t AS (SELECT doc_id, unnest(cut) AS id, generate_subscripts(cut, 1) - 1 AS pos FROM framed),
+e AS (SELECT doc_id, pos, j, {embedding_sql('id', 'j')} + {w('position', 'pos', 'j')} + {w('type', '0', 'j')} AS x FROM t, range(8) r(j)),
+n AS {normed('embed_norm', 'e')},
+q AS ({linear('layer0.q', 'n', 8)}), k AS ({linear('layer0.k', 'n', 8)}), v AS ({linear('layer0.v', 'n', 8)}),
+s AS (SELECT q.doc_id, q.pos, q.j // 4 AS head, k.pos AS kp, sum(q.x * k.x) * 0.5::DOUBLE AS s FROM q JOIN k ON q.doc_id = k.doc_id AND q.j = k.j GROUP BY 1, 2, 3, 4),
+p AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id, pos, head)) AS p FROM s), a AS (SELECT *, p / sum(p) OVER (PARTITION BY doc_id, pos, head) AS a FROM p),
+c AS (SELECT a.doc_id, a.pos, v.j, sum(a.a * v.x) AS x FROM a JOIN v ON a.doc_id = v.doc_id AND a.kp = v.pos AND a.head = v.j // 4 GROUP BY 1, 2, 3),
+o AS ({linear('layer0.o', 'c', 8)}), n1 AS {normed('layer0.attn_norm', added('n', 'o'))},
+u AS ({linear('layer0.up', 'n1', 16)}), g AS (SELECT doc_id, pos, j, {gelu_sql('x')} AS x FROM u), d AS ({linear('layer0.down', 'g', 8)}),
+h AS {normed('layer0.mlp_norm', added('n1', 'd'))}, m AS (SELECT doc_id, j, avg(x) AS x FROM h GROUP BY 1, 2)
+{result}"""
+
+
+_add("embed_tiny_bert", embed_tiny_bert, _tiny_sql("SELECT doc_id, j, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 4) + 0.0 AS value FROM m"))
+_add("embed_tokens_tiny_bert", embed_tokens_tiny_bert, _tiny_sql("SELECT doc_id, pos, j, round(x, 4) + 0.0 AS value FROM h"))
+
 # Validation and benchmark figures.
 
 
@@ -153,7 +196,7 @@ SELECT round(a, 4) AS median_a, round(b, 4) AS median_b, round(sa, 4) AS spread_
 
 # Configuration rules over literal rows.
 
-_MODES = ['{"pooling_mode_mean_tokens": true}', '{"pooling_mode_cls_token": true, "pooling_mode_mean_tokens": false}', '{"pooling_mode_lasttoken": "1"}', '{"pooling_mode_max_tokens": true}', '{"pooling_mode_mean_tokens": true, "pooling_mode_cls_token": 1}', '{"word_embedding_dimension": 8}', '{"pooling_mode_cls_token": "False", "pooling_mode_mean_tokens": 1}']
+_MODES = ['{"pooling_mode_mean_tokens": true}', '{"pooling_mode_cls_token": true, "pooling_mode_mean_tokens": false}', '{"pooling_mode_lasttoken": "1"}', '{"pooling_mode_max_tokens": true}', '{"pooling_mode_mean_tokens": true, "pooling_mode_cls_token": 1}', '{"word_embedding_dimension": 8}', '{"pooling_mode_cls_token": "False", "pooling_mode_mean_tokens": 1}', '{"pooling_mode_cls_token": "0"}', '{"pooling_mode_cls_token": "0", "pooling_mode_mean_tokens": true}', '{"pooling_mode_cls_token": 0, "pooling_mode_mean_tokens": 0.5}']
 _REFS = ["org/name", "org/name.v1_2-x", "org", "/abs/path", "a/b/c", "../x/y", "org/..", "-a/b", "a/", "/b", "a b/c", "o1/n", "org/na me", "a/b..c"]
 _SHARDS = ["model-00001-of-00002.safetensors", "", ".", "..", "a/b", "..\\x", "...", "x"]
 _CONFIGS = [("bert", 512, 0), ("mpnet", 514, 1), ("roberta", 514, 1), ("modernbert", 8192, 0), ("qwen3", 32768, 0), ("roberta", 130, 5)]
@@ -173,7 +216,7 @@ def _literal(rows: list, schema: str, *columns):
 
 
 _add("pooling_allowlist", _literal(_MODES, "doc string", ("mode", lambda: config.pooling_of(F.col("doc")))), f"""WITH m(doc) AS (VALUES {_values([(m,) for m in _MODES])}), k AS (SELECT doc, unnest(json_keys(doc)) AS k FROM m),
-o AS (SELECT doc, k FROM k WHERE k LIKE 'pooling_mode_%' AND coalesce(doc ->> k, '') NOT IN ('', 'false', 'False', '0'))
+o AS (SELECT doc, k FROM k WHERE k LIKE 'pooling_mode_%' AND CASE json_type(doc, k) WHEN 'VARCHAR' THEN doc ->> k NOT IN ('', 'false', 'False') WHEN 'BOOLEAN' THEN doc ->> k = 'true' ELSE CAST(doc ->> k AS DOUBLE) <> 0 END)
 SELECT m.doc, CASE WHEN count(o.k) = 1 THEN CASE any_value(o.k) WHEN 'pooling_mode_mean_tokens' THEN 'mean' WHEN 'pooling_mode_cls_token' THEN 'cls' WHEN 'pooling_mode_lasttoken' THEN 'lasttoken' END END AS mode FROM m LEFT JOIN o USING (doc) GROUP BY 1""")
 _add("model_id_check", _literal(_REFS, "ref string", ("ok", lambda: config.model_id_ok(F.col("ref")))), f"SELECT ref, regexp_full_match(ref, '[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9._-]+') AND NOT contains(ref, '..') AS ok FROM (VALUES {_values([(r,) for r in _REFS])}) t(ref)")
 _add("shard_name_check", _literal(_SHARDS, "name string", ("ok", lambda: config.shard_name_ok(F.col("name")))), f"SELECT name, name NOT IN ('', '.', '..') AND NOT contains(name, '/') AND NOT contains(name, chr(92)) AS ok FROM (VALUES {_values([(s,) for s in _SHARDS])}) t(name)")
@@ -187,7 +230,15 @@ def tensor_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "arch string, name string, shape array<int>").select("arch", "name", F.array_join("shape", "x").alias("shape"), vec.elements(F.transform("shape", lambda d: d.cast("long"))).alias("elements"))
 
 
-_add("tensor_manifest", tensor_manifest)
+_ONCE = {"bert": "embed 100x32, position 64x32, type 1x32, embed_norm.g 32, embed_norm.b 32", "qwen3": "embed 100x32, final_norm.g 32", "gemma": "embed 100x32, final_norm.g 32, dense1 48x32, dense2 32x48", "nomic": "embed 100x32, type 1x32, embed_norm.g 32, embed_norm.b 32"}
+_EACH = {
+    "bert": "q 32x32, k 32x32, v 32x32, o 32x32, q.bias 32, k.bias 32, v.bias 32, o.bias 32, up 64x32, up.bias 64, down 32x64, down.bias 32, attn_norm.g 32, attn_norm.b 32, mlp_norm.g 32, mlp_norm.b 32",
+    "qwen3": "q 64x32, k 32x32, v 32x32, o 32x64, gate 64x32, up 64x32, down 32x64, in_norm.g 32, pre_mlp_norm.g 32, q_norm.g 16, k_norm.g 16",
+    "gemma": "q 64x32, k 16x32, v 16x32, o 32x64, gate 64x32, up 64x32, down 32x64, in_norm.g 32, post_norm.g 32, pre_mlp_norm.g 32, post_mlp_norm.g 32, q_norm.g 16, k_norm.g 16",
+    "nomic": "q 32x32, k 32x32, v 32x32, o 32x32, gate 64x32, up 64x32, down 32x64, attn_norm.g 32, attn_norm.b 32, mlp_norm.g 32, mlp_norm.b 32",
+}
+_MANIFEST = lambda of: ", ".join(f"('{a}', '{n}', '{s}')" for a, text in of.items() for n, s in (x.split() for x in text.split(", ")))
+_add("tensor_manifest", tensor_manifest, f"WITH m AS (SELECT * FROM (VALUES {_MANIFEST(_ONCE)}) a(arch, name, shape) UNION ALL SELECT arch, 'layer' || k || '.' || name, shape FROM (VALUES {_MANIFEST(_EACH)}) b(arch, name, shape), range(2) r(k)) SELECT arch, name, shape, CAST(list_product(list_transform(string_split(shape, 'x'), lambda d: CAST(d AS BIGINT))) AS BIGINT) AS elements FROM m")
 
 # Serving, over `conversations`: each turn is a request.
 

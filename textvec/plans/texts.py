@@ -102,7 +102,7 @@ SELECT doc_id, len(parts) + n_added AS n, n_added FROM s""")
 
 _PIECES = vocab.wordpiece_vocab()
 _QUOTED = ", ".join("({}, '{}', {}, {})".format(k, (p[2:] if p.startswith("##") and len(p) > 2 else p).replace("'", "''"), "true" if p.startswith("##") and len(p) > 2 else "false", len(p[2:] if p.startswith("##") and len(p) > 2 else p)) for k, p in enumerate(_PIECES) if p not in vocab.SPECIALS)
-_SEGMENTED = f"""
+SEGMENTED = f"""
 RECURSIVE vocab(id, body, more, n) AS (VALUES {_QUOTED}),
 tokens AS (SELECT doc_id, unnest(items) AS word, generate_subscripts(items, 1) AS k FROM (SELECT doc_id, {_BASIC} AS items FROM documents)),
 words AS (SELECT DISTINCT word FROM tokens),
@@ -126,12 +126,12 @@ def _ids(kind: str, max_len: int, spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def _ids_sql(column: str) -> str:
-    return f"WITH {_SEGMENTED} SELECT doc_id, len({column}) AS n, sha256(array_to_string({column}, ',')) AS digest FROM framed"
+    return f"WITH {SEGMENTED} SELECT doc_id, len({column}) AS n, sha256(array_to_string({column}, ',')) AS digest FROM framed"
 
 
 _add("wordpiece_ids", partial(_ids, "wordpiece", 1 << 30), _ids_sql("whole"))
 _add("wordpiece_truncated", partial(_ids, "wordpiece", 32), _ids_sql("cut"))
-_add("token_usage", lambda s, d: _ids("wordpiece", 32, s, d).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("tokens")), f"WITH {_SEGMENTED} SELECT count(*) AS texts, CAST(sum(len(cut)) AS BIGINT) AS tokens FROM framed")
+_add("token_usage", lambda s, d: _ids("wordpiece", 32, s, d).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("tokens")), f"WITH {SEGMENTED} SELECT count(*) AS texts, CAST(sum(len(cut)) AS BIGINT) AS tokens FROM framed")
 _add("bpe_ids", partial(_ids, "bpe", 1 << 30))
 _add("qwen_ids", partial(_ids, "qwen", 1 << 30))
 _add("gemma_ids", partial(_ids, "gemma", 1 << 30))
@@ -152,7 +152,15 @@ def vocab_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, size long")
 
 
-_add("vocab_size", vocab_size)
+_list = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+_SIZES = f"""WITH g AS (SELECT {_list(vocab.GROUPS)} AS g, {_list([chr(c) for c in range(33, 127)])} AS ascii, {_list("äöüßéèêçñáíóúà")} AS more),
+u AS (SELECT *, list_distinct(g) AS d, list_distinct(list_transform(g, lambda x: x[1:2])) AS pairs, list_distinct(list_filter(g, lambda x: len(x) = 3)) AS threes, list_distinct(list_filter(g, lambda x: len(x) = 2)) AS twos FROM g)
+SELECT unnest(['wordpiece', 'bpe', 'gemma', 'sentencepiece']) AS kind, CAST(unnest([
+  5 + 26 + 10 + 32 + 36 + 2 * len(g),
+  4 + 256 + len(list_distinct(list_concat(pairs, threes))) + len(twos) + 1,
+  4 + 256 + len(list_distinct(flatten([['▁'], ascii, more, [chr(10)], pairs, threes, list_transform(twos, lambda x: '▁' || x)]))),
+  2 + 3 + len(list_distinct(flatten([['▁'], g, list_transform(g, lambda x: '▁' || x), ascii, more])))]) AS BIGINT) AS size FROM u"""
+_add("vocab_size", vocab_size, _SIZES)
 
 
 def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,4 +171,4 @@ def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "j").agg((F.round(F.sum("x"), 4) + F.lit(0.0)).alias("total")).select("doc_id", F.col("j").cast("long").alias("j"), "total")
 
 
-_add("embedding_lookup", embedding_lookup, f"WITH {_SEGMENTED}, r AS (SELECT doc_id, unnest(cut) AS id FROM framed) SELECT doc_id, j, round(sum({embedding_sql('id', 'j')}), 4) + 0.0 AS total FROM r, range(8) b(j) GROUP BY 1, 2")
+_add("embedding_lookup", embedding_lookup, f"WITH {SEGMENTED}, r AS (SELECT doc_id, unnest(cut) AS id FROM framed) SELECT doc_id, j, round(sum({embedding_sql('id', 'j')}), 4) + 0.0 AS total FROM r, range(8) b(j) GROUP BY 1, 2")

@@ -66,7 +66,7 @@ def _erf_sql(x: str) -> str:
     return _ERF.replace("z", f"(({x}) / sqrt(2.0::DOUBLE))")
 
 
-def _gelu_sql(x: str) -> str:
+def gelu_sql(x: str) -> str:
     return f"0.5::DOUBLE * {x} * (1.0::DOUBLE + {_erf_sql(x)})"
 
 
@@ -98,12 +98,12 @@ _add("layer_norm", partial(_kernel, lambda v: vec.layer_norm(v, lit_vector(2, H,
 _add("rms_norm", partial(_kernel, lambda v: vec.rms_norm(v, lit_vector(2, H, 1.0), EPS)), _windowed("1 AS one", f"x / sqrt(avg(x * x) OVER w + {EPS}) * (1.0::DOUBLE + {weight_sql(2, '0', 'j')})"))
 _add("rms_norm_unit_offset", partial(_kernel, lambda v: vec.rms_norm(v, vec.unit_offset(lit_vector(4, H)), EPS)), _windowed("1 AS one", f"x / sqrt(avg(x * x) OVER w + {EPS}) * (1.0::DOUBLE + {weight_sql(4, '0', 'j')})"))
 _add("softmax", partial(_kernel, vec.softmax), _windowed("exp(x - max(x) OVER w) AS e", "e / sum(e) OVER w"))
-_add("gelu_erf", partial(_kernel, lambda v: vec.gelu(F.transform(v, lambda x: x * 8.0))), _elementwise(_gelu_sql("(x * 8.0::DOUBLE)")))
+_add("gelu_erf", partial(_kernel, lambda v: vec.gelu(F.transform(v, lambda x: x * 8.0))), _elementwise(gelu_sql("(x * 8.0::DOUBLE)")))
 _add("erf", partial(_kernel, lambda v: F.transform(v, lambda x: vec.erf(x * 4.0))), _elementwise(_ERF.replace("z", "(x * 4.0::DOUBLE)")))
 _add("gelu_tanh", partial(_kernel, lambda v: vec.gelu_tanh(F.transform(v, lambda x: x * 8.0))), _elementwise(_tanh_sql("(x * 8.0::DOUBLE)")))
 _add("silu", partial(_kernel, vec.silu), _elementwise("x / (1.0::DOUBLE + exp(-x))"))
 _add("swiglu", partial(_kernel, lambda v: vec.swiglu(*vec.halves(v, H))), _gated("a.x / (1.0::DOUBLE + exp(-a.x))"))
-_add("geglu", partial(_kernel, lambda v: vec.geglu(*vec.halves(v, H))), _gated(_gelu_sql("a.x")))
+_add("geglu", partial(_kernel, lambda v: vec.geglu(*vec.halves(v, H))), _gated(gelu_sql("a.x")))
 _add("geglu_tanh", partial(_kernel, lambda v: vec.geglu(*vec.halves(v, H), tanh=True)), _gated(_tanh_sql("a.x")))
 
 # Pooling over sequences.
@@ -226,21 +226,33 @@ _add("quant_a8", quant_a8, f"WITH {X}{_AQ} SELECT vec_id, j AS pos, u AS q, roun
 
 
 def _quantized(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
-    w = _weight_rows(spark).withColumn("ws", vec.weight_scale(F.col("w"))).withColumn("wq", vec.quantize_weight(F.col("w"), F.col("ws"))).withColumnRenamed("id", "o")
+    scale = vec.weight_scale_double if full else vec.weight_scale
+    w = _weight_rows(spark).withColumn("ws", scale(F.col("w"))).withColumn("wq", vec.quantize_weight(F.col("w"), F.col("ws"))).withColumnRenamed("id", "o")
     x = embeddings(spark, sf_dir)
     packed = F.broadcast(w.agg(F.sort_array(F.collect_list(F.struct("o", "wq", "ws"))).alias("rows")))
     if full:
         x = x.withColumn("us", vec.activation_scale(F.col("v"))).withColumn("u", vec.quantize_activation(F.col("v"), F.col("us")))
-        one = lambda r: vec.full_int8_linear(F.col("u"), r["wq"], F.col("us"), r["ws"])
+        one = lambda r: vec.full_int8_linear(F.col("u"), r["wq"], F.col("us"), r["ws"].cast("float"))
     else:
         one = lambda r: vec.int8_linear(F.col("v"), r["wq"], r["ws"])
     # the weights are one row of fixed size, so this join is a column added to each vector
     return x.join(packed, F.lit(True)).withColumn("y", F.transform("rows", one))
 
 
+#: Full int8 quantises by the double quotient; the scale itself is kept in single precision.
+_WQ_FULL = f"w AS (SELECT o, i, {weight_sql(14, 'o', 'i')} AS w FROM range(32) a(o), range(64) b(i)), ws AS (SELECT *, max(abs(w)) OVER (PARTITION BY o) / 127.0::DOUBLE AS s FROM w), wq AS (SELECT o, i, w, CAST(s AS FLOAT) AS s, CAST(greatest(-127, least(127, round_even(w / s, 0))) AS BIGINT) AS q FROM ws)"
 _add("linear_w8", lambda s, d: _outputs(_quantized(s, d, False), F.col("y"), "vec_id"), f"WITH {X}, {_WQ} SELECT vec_id, o, round(sum(x * q) * CAST(any_value(wq.s) AS DOUBLE), 4) + 0.0 AS value FROM x JOIN wq ON x.j = wq.i GROUP BY 1, 2")
 _FULL = "f AS (SELECT xq.vec_id, wq.o, (sum(xq.u * wq.q) - 128 * sum(wq.q))::DOUBLE * CAST(any_value(xq.s) AS DOUBLE) * CAST(any_value(wq.s) AS DOUBLE) AS y, sum(xq.x * wq.w) AS z FROM xq JOIN wq ON xq.j = wq.i GROUP BY 1, 2)"
-_add("linear_w8a8", lambda s, d: _outputs(_quantized(s, d, True), F.col("y"), "vec_id"), f"WITH {X}{_AQ}, {_WQ}, {_FULL} SELECT vec_id, o, round(y, 4) + 0.0 AS value FROM f")
+_add("linear_w8a8", lambda s, d: _outputs(_quantized(s, d, True), F.col("y"), "vec_id"), f"WITH {X}{_AQ}, {_WQ_FULL}, {_FULL} SELECT vec_id, o, round(y, 4) + 0.0 AS value FROM f")
+
+
+def quant_w8_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of full int8: quotients by the double scale, the scale in single precision, and each row's sum."""
+    df = _weight_rows(spark).withColumn("s", vec.weight_scale_double(F.col("w"))).withColumn("q", vec.quantize_weight(F.col("w"), F.col("s")))
+    return df.select(F.col("id").alias("o"), F.array_join("q", ",").alias("q"), F.round(F.col("s").cast("float").cast("double") * 1000, 4).alias("scale"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+_add("quant_w8_full", quant_w8_full, f"WITH {_WQ_FULL} SELECT o, string_agg(q, ',' ORDER BY i) AS q, round(CAST(any_value(s) AS DOUBLE) * 1000, 4) AS scale, CAST(sum(q) AS BIGINT) AS total FROM wq GROUP BY o")
 
 
 def quant_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +262,7 @@ def quant_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", r4(F.array_max(gap)).alias("max_abs"), r4(vec.total(gap) / F.size(gap)).alias("mean_abs"), r4(vec.cosine(F.col("y"), F.col("z"))).alias("cosine"))
 
 
-_add("quant_drift", quant_drift, f"WITH {X}{_AQ}, {_WQ}, {_FULL} SELECT vec_id, round(max(abs(y - z)), 4) + 0.0 AS max_abs, round(avg(abs(y - z)), 4) + 0.0 AS mean_abs, round(sum(y * z) / (sqrt(sum(y * y)) * sqrt(sum(z * z))), 4) + 0.0 AS cosine FROM f GROUP BY 1")
+_add("quant_drift", quant_drift, f"WITH {X}{_AQ}, {_WQ_FULL}, {_FULL} SELECT vec_id, round(max(abs(y - z)), 4) + 0.0 AS max_abs, round(avg(abs(y - z)), 4) + 0.0 AS mean_abs, round(sum(y * z) / (sqrt(sum(y * y)) * sqrt(sum(z * z))), 4) + 0.0 AS cosine FROM f GROUP BY 1")
 
 
 def _decoded(f, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
 
+#: Columns of a pack.
+SCHEMA = "name string, dtype string, shape array<int>, values array<float>, source string"
+
 
 def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """One row: `name:size:mtime` of each file in order of name, joined by line feeds."""
@@ -22,15 +26,21 @@ def write_pack(tensors: DataFrame, path: str, source: str) -> None:
 
 
 def open_pack(spark: SparkSession, path: str, source: str | None = None) -> DataFrame | None:
-    """The tensors, or None where the pack is absent or was made from something else."""
+    """The tensors, or None where the pack is absent or was made from something else.
+
+    A pack that is there but can't be read, lacks columns, or whose values don't fit their shapes is an error.
+    """
     try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  an absent pack is rebuilt
-        return None
+        df = spark.read.schema(SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     first = df.select("source").first()
     if first is None or source is not None and first["source"] != source:
         return None
-    return df.drop("source")
+    fits = vec.elements(F.transform("shape", lambda d: d.cast("long"))) == F.size("values")
+    return df.withColumn("values", F.when(F.coalesce(fits, F.lit(False)), F.col("values")).otherwise(F.raise_error(F.concat(F.lit("pack: tensor "), F.coalesce("name", F.lit("without name")), F.lit(" doesn't fit its shape"))).cast("array<float>"))).drop("source")
 
 
 def cached_pack(spark: SparkSession, path: str, source: str, build) -> DataFrame:
