@@ -187,7 +187,7 @@ def register(spark, embedder: Embedder, name: str = "embed") -> None:
     """SQL functions <name>(text) and <name>_ids(text)."""
     some = spark.range(0)
     spark.udf.register(name, _embed_udf(some, embedder, _VECTOR, lambda enc, ids: enc.all_pooled(ids)))
-    spark.udf.register(name + "_ids", ids_udf(some, embedder.kind, embedder.spec.max_len))
+    spark.udf.register(name + "_ids", _embed_udf(some, embedder, _IDS, lambda enc, ids: ids))
 
 
 # Checks and figures.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pipeline import Embedder, embed, ids_udf
+from .pipeline import Embedder, embed, tokenize_with
 
 MAX_BATCH, MAX_BODY = 256, 32 << 20
 NO_INPUT, EMPTY, BAD_JSON, BAD_INPUT = "missing input", "input is empty", "invalid JSON", "input must be a string or an array of strings"
@@ -59,8 +59,7 @@ def serve(requests: DataFrame, embedder: Embedder, model: str, id_col: str = "re
     """(id, status, response): every request answered; usage counts framed, truncated tokens."""
     parsed = parse(requests, body_col, max_batch)
     good = parsed.filter("error is null").select(id_col, F.posexplode("texts").alias("index", "text"))
-    ids = ids_udf(requests, embedder.kind, embedder.spec.max_len)
-    rows = embed(good, embedder).withColumn("n", F.size(ids("text")))
+    rows = tokenize_with(embed(good, embedder), embedder).withColumn("n", F.size("ids")).drop("ids")
     done = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("index", "embedding"))).alias("rows"), F.sum("n").alias("tokens"))
     answers = done.select(id_col, F.lit(200).alias("status"), envelope(model, F.transform("rows", lambda r: r["embedding"]), F.col("tokens")).alias("response"))
     refused = parsed.filter("error is not null").select(id_col, F.lit(400).alias("status"), error_envelope(F.col("error")).alias("response"))
