@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, fresh_path, shared_folder, stored
 
-__all__ = ["arrow_map", "bitmap", "digest", "dropped", "fresh_path", "hinted", "in_bitmap", "pieces", "raw_bytes", "shared_folder", "small_enough", "stored", "table", "tidied", "tokenizer_path"]
+__all__ = ["arrow_map", "bitmap", "digest", "dropped", "fresh_path", "hinted", "in_bitmap", "pieces", "raw_bytes", "shared_folder", "small_batches", "small_enough", "stored", "table", "tidied", "tokenizer_path"]
 
 #: A-Z to a-z, everything else unchanged.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -50,6 +50,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             start = stop
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, on both sides of the pipe, where the session has Spark's default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, "8m")
+
+
 def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], done: Callable[[], None] | None = None) -> Callable:
     """fn for mapInArrow, giving its memory back at the end of each task: workers live on, and others need the room."""
 
@@ -70,6 +77,7 @@ def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], d
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text", limit: int = 8 << 20, done: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow with batches of bounded bytes; done() is called at the end of each task."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, by, limit):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, tidied
+from .common import pieces, small_batches, stored, tidied
 from .shingles import word_hashes
 
 STRIDE, RANK, EXTRA = 16, 96, 16
@@ -339,6 +339,7 @@ def _search(shared, space_of, cosine: float, lcs: float, loose: float, answer: f
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK, cosine: float = COSINE, lcs: float = LCS, loose: float = LOOSE, answer: float = ANSWER) -> DataFrame:
     """(doc_id, item_id, lcs, answer, cosine): one row for each document and item that it contains."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).filter("text is not null")
     found = spark.createDataFrame([], MATCHES)
     rows = benchmark.select(benchmark[item_col].cast("long").alias("k"), benchmark[item_text_col].alias("t")).filter("t is not null").orderBy("k", "t").toLocalIterator()

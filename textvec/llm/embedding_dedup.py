@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidied
+from .common import dropped, small_batches, stored, tidied
 from .components import components, links_forest
 
 THRESHOLD, RECALL, TURNED, SAMPLE, BLOCK = 0.9, 0.999, 0.995, 16_384, 3072
@@ -302,11 +302,14 @@ def links_of(classes: DataFrame, dim: int, kind, total: int, threshold: float, r
     rest = plan.join(chunks, ["cell2", "block2"]).select("block", "slice", F.lit(None).cast("binary").alias("cells"), "ids", "many", "raw", "meets", "cell2", "block2")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * len(number) * visits // (MEETS * 8) // max(1, block // PER_CELL))
     stream = heads.unionByName(rest).repartition(tasks, "block", "slice").sortWithinPartitions("block", "slice", F.col("cells").isNull())
-    return stored(stream.mapInArrow(tidied(_compare(threshold, kind)), "id long, n long, root long"))
+    out = stored(stream.mapInArrow(tidied(_compare(threshold, kind)), "id long, n long, root long"))
+    dropped(placed, blocks, chunks, plan)
+    return out
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, turned: float = TURNED, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
+    small_batches(vectors.sparkSession)
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     kind = np.float32 if single else np.float64
     vectors = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>" if single else "array<double>").alias("vector"))

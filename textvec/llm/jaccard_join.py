@@ -43,14 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hinted, pieces, stored, tidied
+from .common import arrow_map, dropped, hinted, pieces, small_batches, stored, tidied
 from .components import components, links_forest
 from .shingles import inside, mixed, ngrams, word_hashes
 
 #: Least and largest number of counters of the sketch, and bytes of input for each in between.
 SKETCH, LARGEST_SKETCH, PER_COUNTER = 1 << 21, 1 << 24, 64
 #: Bytes of text hashed at once; the arrays take some 50 times as much.
-PIECE = 2 << 20
+PIECE = 1 << 20
 MOST = 4
 #: Similarity to the centre, in per cent, that a family asks for, and how often those left out may found families.
 LOOSE, FAMILY_ROUNDS = 40, 2
@@ -338,6 +338,7 @@ def _sizes_fit(per_cent: int):
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, per_cent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id: smallest id reachable by links, itself included."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     size = sketch_size(docs)
     scanned = stored(docs.mapInArrow(tidied(_sets(n, size)), _SETS))
@@ -347,9 +348,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = spark.sparkContext.broadcast(frequency_sketch(scanned.filter("row is not null").select("row", "counters"), size))
     every = arrow_map(docs.filter("doc_id is not null"), _postings(n, per_cent, shared), "token long, id long, n int, ell byte, at int", limit=PIECE)
     # only one document of each class takes part
-    postings = stored(every.join(classes.select(F.col("least").alias("id")).distinct(), "id", "left_semi").distinct())
-    seen = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token"))
-    postings = stored(postings.join(seen, "token"))
+    whole = stored(every.join(classes.select(F.col("least").alias("id")).distinct(), "id", "left_semi").distinct())
+    seen = stored(whole.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token"))
+    postings = stored(whole.join(seen, "token"))
+    dropped(whole, seen)
     verifier = _Verifier(docs, n)
     # near copies meet through two pivots of each bucket: the least set, and one by hash
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent))
@@ -362,16 +364,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     families = families_of(measured.filter(100 * F.col("inter") >= LOOSE * F.col("union")).select("a", "b"), of_pairs)
     links = family_links(families, per_cent, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     families = families.select("id", "family")
+    dropped(of_pairs, pivots)
     # exact for the rest: pairs of different families that share as many prefix tokens as they must
     labelled = postings.join(families, "id", "left").withColumn("family", F.coalesce("family", "id"))
     several = stored(labelled.groupBy("token").agg(F.min("family").alias("c1"), F.max("family").alias("c2")).filter("c1 <> c2").select("token"))
     open_ = stored(labelled.join(several, "token"))
+    dropped(postings)
     other = open_.select("token", *(F.col(c).alias(c + "2") for c in ("id", "n", "ell", "at", "family")))
     overlap = F.ceil(F.lit(per_cent) * (F.col("n") + F.col("n2")) / F.lit(100 + per_cent))
     alike = (F.col("id") < F.col("id2")) & (F.col("family") != F.col("family2")) & _sizes_fit(per_cent) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= overlap - F.least("at", "at2"))
     must = F.least(F.col("ell") + overlap - F.ceil(F.col("n") * per_cent / 100), F.col("ell2") + overlap - F.ceil(F.col("n2") * per_cent / 100))
     pairs = open_.join(other, "token").filter(alike).groupBy(F.col("id").alias("a"), F.col("id2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(must).alias("must")).filter("shared >= must").select("a", "b")
-    rest, _ = verifier.measured(pairs)
+    rest, of_rest = verifier.measured(pairs)
+    dropped(open_, of_rest)
     links = links.unionByName(rest.filter(100 * F.col("inter") >= per_cent * F.col("union")).select("a", "b"))
     found = components(links).select(F.col("id").alias("least"), "component")
     of_class = stored(classes.join(found, "least", "left").select("key", "key2", F.coalesce("component", "least").alias("component")))

@@ -228,4 +228,4 @@ def language_id(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_
         lang, score, evidence = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(evidence, pa.float64()), *(batch.column(n) for n in names)], names=[*own_names, *names])
 
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"), *(docs[c].alias(n) for n, c in zip(names, keep, strict=True))), predict, schema, by="__text")
+    return arrow_map(docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"), *(docs[c].alias(n) for n, c in zip(names, keep, strict=True))), predict, schema, by="__text", limit=2 << 20)

@@ -5,7 +5,8 @@ are seeds of a kind of their own (secret), reported only where the contexts conf
 around seeds are lexical
 patterns: the word before, the two words before, the words before and after (lower case, digits all
 alike, punctuation at the ends of words left out).  Then Spark iterates.  A pattern that `support`
-distinct values of a kind stand in extracts all its instances from all texts, whatever they look
+distinct values of a kind stand in, and whose known values are `FLOOR` of all its values by a sketch
+of their number (common words, after which anything may stand, aren't), extracts all its instances from all texts, whatever they look
 like: names and handles as well as numbers.  On the graph of patterns and distinct values a pattern's
 score for a kind is the confidence of its values of that kind over all its values, plus one; a
 value's confidence is the noisy-or of its patterns' scores (seeds keep 1).  Values that reach
@@ -49,10 +50,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What a secret looks like: so many characters, of them so many letters and digits each.
 SECRET, LETTERS = re.compile(rb"[0-9A-Za-z_+/=-]{32,}"), 6
 ROUNDS, ACCEPT, PRECISE, SUPPORT = 2, 0.8, 0.6, 3
+#: Share of known values among a pattern's distinct values from which its instances are extracted; far below PRECISE.
+FLOOR = 0.1
 #: Steps of the graph's scores in each round.
 STEPS = 3
 #: Bytes of text looked at at once; the arrays take some 50 times as much.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Bytes of a value at least.
 SHORTEST = 3
 
@@ -255,7 +258,15 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     often = lambda known: known.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("pattern").distinct()
     texts = docs.filter("text is not null").select("text")
     scores = sure = edges = None
-    patterns = new = stored(often(seeds))
+
+    def worth(new: DataFrame, known: DataFrame) -> DataFrame:
+        """The patterns whose known values are FLOOR of all: counted by sketches, which combine before they shuffle."""
+        others = arrow_map(texts, _pairs(wanted(bitmap(new)), None), "pattern long, value long", limit=PIECE).groupBy("pattern").agg(F.approx_count_distinct("value", 0.2).alias("n"))
+        own = known.join(new, "pattern").groupBy("pattern").agg(F.count_distinct("value").alias("s"))
+        return stored(own.join(others, "pattern", "left").filter(F.col("s") >= FLOOR * (F.col("s") + F.coalesce("n", F.lit(0)))).select("pattern"))
+
+    seen = stored(often(seeds))
+    new = worth(seen, seeds)
     for k in range(rounds):
         found = arrow_map(texts, _pairs(wanted(bitmap(new)), None), "pattern long, value long", limit=PIECE).distinct().join(new, "pattern")
         edges = stored(found.unionByName(seeds.join(new, "pattern").select("pattern", "value")).unionByName(edges if edges is not None else found.limit(0)).distinct())
@@ -265,8 +276,10 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
             break
         around = arrow_map(texts, _pairs(None, wanted(bitmap(sure.select("value")))), "pattern long, value long", limit=PIECE).distinct()
         known = around.join(sure.select("value", "kind"), "value").select("kind", "value", "pattern").unionByName(seeds.select("kind", "value", "pattern")).distinct()
-        new = stored(often(known).join(patterns, "pattern", "left_anti"))
-        patterns = stored(patterns.unionByName(new))
+        known = stored(known)
+        more = stored(often(known).join(seen, "pattern", "left_anti"))
+        seen = stored(seen.unionByName(more))
+        new = worth(more, known)
         if new.isEmpty():
             break
     good = stored(scores.filter((F.col("score") >= precise) & (F.col("support") >= support)).select("pattern", F.col("kind").alias("k")))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, digest, raw_bytes, stored
+from .common import arrow_map, digest, dropped, raw_bytes, stored
 from .shingles import inside, mixed, ngrams, sliding_min, word_hashes
 
 WINDOW, PHRASE = 50, 8
@@ -242,12 +242,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = F.struct("key", "key2")
     recurring = own.groupBy("anchor").agg(F.min(of).alias("a"), F.max(of).alias("b")).filter("a <> b").select("anchor")
     lists = stored(own.join(stored(recurring), "anchor").groupBy("doc_id", "row").agg(F.collect_list("anchor").alias("recurring")))
+    dropped(own)
     size = lists.agg(F.sum(8 * F.size("recurring") + 64)).first()[0] or 0
     windows = stored(arrow_map(_keyed(docs, lists, size, broadcast_bytes), _candidates(window, phrase), "w long, w2 long, doc_id long, row long, spot int, n int", limit=PIECE))
     # confirmed: windows of two documents, with the document that owns them
     least = windows.groupBy("w", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "w2", "least")
     spots = windows.join(stored(least), ["w", "w2"]).groupBy("doc_id", "row").agg(F.collect_list(F.struct("spot", "least")).alias("spots"), F.max("n").alias("n"))
     runs = stored(spots.mapInArrow(_runs, "doc_id long, row long, n int, own array<int>, owners array<long>"))
+    dropped(windows, lists)
     owned = runs.filter(F.size("own") > 0).select("doc_id", "row", "own")
     size = owned.agg(F.sum(4 * F.size("own") + 64)).first()[0] or 0
     passages = stored(arrow_map(_keyed(docs, owned, size, broadcast_bytes), _passages(window, phrase), "owner long, passage string, places array<int>", limit=PIECE))
@@ -262,6 +264,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = passages.withColumn("shard", of_owner("owner")).join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("owner").alias("doc_id"), F.lit(0).cast("long").alias("row"), "places", F.col("passage").alias("text"))
     located = texts_of.unionByName(copies).groupBy("shard", "part").applyInArrow(_located(window, phrase), "doc_id long, row long, spans array<int>")
     spans = stored(located.filter(F.size("spans") > 0).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    dropped(passages, runs)
     size = spans.agg(F.sum(4 * F.size("spans") + 64)).first()[0] or 0
     cut = arrow_map(_keyed(docs, spans, size, broadcast_bytes), _cut, "doc_id long, row long, n_removed long, kept_sha256 string, kept string", limit=PIECE)
     if not texts:
