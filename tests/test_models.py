@@ -211,6 +211,15 @@ def test_serving_errors(spark):
     assert got == [serving.BAD_JSON, serving.BAD_JSON, serving.NO_INPUT, serving.BAD_INPUT, serving.BAD_INPUT, serving.EMPTY, "batch of 3 exceeds max-batch 2", None, None]
 
 
+def test_sql_functions(spark):
+    own = pipeline.Embedder.tiny("bert")
+    pipeline.register(spark, own, "tiny")
+    spark.createDataFrame([(1, "the others"), (2, None)], "k int, text string").createOrReplaceTempView("said")
+    rows = spark.sql("SELECT k, t.pos, t.token_id, t.hidden, tiny_ids(text) AS ids, tiny(text) AS v FROM said, LATERAL tiny_tokens(text) t ORDER BY pos").collect()
+    assert {r["k"] for r in rows} == {1} and [r["token_id"] for r in rows] == rows[0]["ids"] == own.encode("the others")
+    assert np.allclose([r["hidden"] for r in rows], own.ready()[1].tokens(own.encode("the others")), atol=1e-6) and len(rows[0]["v"]) == 32
+
+
 def test_request_bodies(spark):
     """The variant decides by type: nested inputs don't count, nulls are empty texts, long bodies are no matter."""
     long = "x" * 1_000_000

@@ -28,6 +28,16 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def decomposed(t: Column) -> Column:
+    """NFD; ASCII texts are in it already and don't go through Python."""
+    return F.coalesce(nfd(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
+
+
+def composed(t: Column) -> Column:
+    """NFC, likewise."""
+    return F.coalesce(nfc(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
+
+
 def strip_accents(decomposed: Column) -> Column:
     """Without non-spacing marks; the text must be in NFD."""
     return F.regexp_replace(decomposed, r"\p{Mn}", "")
@@ -45,7 +55,7 @@ def isolate_cjk(t: Column) -> Column:
 def basic_tokens(t: Column, lower: bool = True) -> Column:
     """Array of words and single punctuation marks, as a BERT tokenizer splits."""
     if lower:
-        t = strip_accents(nfd(F.lower(t)))
+        t = strip_accents(decomposed(F.lower(t)))
     return F.regexp_extract_all(clean_text(t), F.lit(BASIC), F.lit(0))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
@@ -59,45 +60,56 @@ class Config:
 SCHEMA = T.StructType([T.StructField(f.name, {"str": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType()}[f.type]) for f in fields(Config)])
 
 
-def _rules(c: Config) -> list[tuple[bool, str]]:
-    """(holds, message) in the order in which they are told."""
-    h, n = c.hidden_size, c.num_attention_heads
-    out = [
-        (min(h, c.num_hidden_layers, n, c.intermediate_size, c.vocab_size, c.max_position_embeddings) > 0, "architecture fields must be positive"),
-        (n > 0 and h % n == 0, "hidden_size must be divisible by num_attention_heads"),
-        (c.pooling in ("mean", "cls", "lasttoken"), f"pooling {c.pooling!r} is not supported"),
-        (c.tokenizer in ("", "sentencepiece", "gemma"), f"tokenizer {c.tokenizer!r} is not supported"),
-        (c.model_type in ("", "bert", "distilbert", "modernbert", "qwen3", "nomic_bert", "gemma3", "roberta", "mpnet"), f"model_type {c.model_type!r} is not supported"),
-    ]
-    even = c.head_dim > 0 and c.head_dim % 2 == 0
-    shared = c.num_key_value_heads > 0 and n > 0 and n % max(1, c.num_key_value_heads) == 0
-    out += {
-        "modernbert": [
-            (c.global_attn_every_n_layers >= 1, "global_attn_every_n_layers must be at least 1"),
-            (c.local_attention >= 2 and c.local_attention % 2 == 0, "local_attention must be even and at least 2"),
-            (c.global_rope_theta > 0 and c.local_rope_theta > 0, "rope thetas must be positive"),
-            (n > 0 and (h // max(1, n)) % 2 == 0, "the head dimension must be even"),
-        ],
-        "qwen3": [(even, "head_dim must be even and positive"), (shared, "heads must be divisible by key-value heads"), (c.rope_theta > 0, "rope_theta must be positive")],
-        "nomic_bert": [(even, "head_dim must be even and positive"), (c.head_dim * n == h, "head_dim times heads must be hidden_size"), (c.rope_theta > 0, "rope_theta must be positive")],
-        "gemma3": [
-            (even, "head_dim must be even and positive"),
-            (shared, "heads must be divisible by key-value heads"),
-            (c.sliding_window >= 1 and c.sliding_window_pattern >= 1, "sliding_window and its pattern must be positive"),
-            (c.query_pre_attn_scalar >= 1, "query_pre_attn_scalar must be positive"),
-            (c.global_rope_theta > 0 and c.local_rope_theta > 0, "rope thetas must be positive"),
-            (c.dense_hidden >= 1, "dense_hidden must be positive"),
-        ],
-        "roberta": [(c.pad_token_id >= 1, "pad_token_id must be at least 1"), (c.max_seq_len > 0, "pad_token_id leaves no positions")],
-        "mpnet": [(c.relative_attention_num_buckets == 32, "relative_attention_num_buckets must be 32"), (c.pad_token_id == 1, "pad_token_id must be 1")],
-    }.get(c.model_type, [])
-    return out
+@dataclass(frozen=True)
+class Rule:
+    """What a configuration of some model types (empty: of all) must fulfil, and how it is told."""
+
+    types: tuple[str, ...]
+    holds: Callable[[Config], bool]
+    message: str
+
+
+def _positive(*names: str) -> Callable[[Config], bool]:
+    return lambda c: all(getattr(c, n) > 0 for n in names)
+
+
+def _member(name: str, *values) -> Callable[[Config], bool]:
+    return lambda c: getattr(c, name) in values
+
+
+_ROTARY = ("qwen3", "nomic_bert", "gemma3")
+RULES = [
+    Rule((), _member("model_type", "", "bert", "distilbert", "modernbert", "qwen3", "nomic_bert", "gemma3", "roberta", "mpnet"), "model_type {model_type!r} is not supported"),
+    Rule((), _member("tokenizer", "", "sentencepiece", "gemma"), "tokenizer {tokenizer!r} is not supported"),
+    Rule((), _member("pooling", "mean", "cls", "lasttoken"), "pooling {pooling!r} is not supported"),
+    Rule((), _positive("hidden_size", "num_hidden_layers", "num_attention_heads", "intermediate_size", "vocab_size", "max_position_embeddings"), "architecture fields must be positive"),
+    Rule((), lambda c: c.num_attention_heads > 0 and c.hidden_size % c.num_attention_heads == 0, "hidden_size must be divisible by num_attention_heads"),
+    Rule(_ROTARY, lambda c: c.head_dim > 0 and c.head_dim % 2 == 0, "head_dim must be even and positive"),
+    Rule(("qwen3", "gemma3"), lambda c: c.num_key_value_heads > 0 and c.num_attention_heads % c.num_key_value_heads == 0, "heads must be divisible by key-value heads"),
+    Rule(("qwen3", "nomic_bert"), _positive("rope_theta"), "rope_theta must be positive"),
+    Rule(("nomic_bert",), lambda c: c.head_dim * c.num_attention_heads == c.hidden_size, "head_dim times heads must be hidden_size"),
+    Rule(("modernbert", "gemma3"), _positive("global_rope_theta", "local_rope_theta"), "rope thetas must be positive"),
+    Rule(("modernbert",), lambda c: (c.hidden_size // max(1, c.num_attention_heads)) % 2 == 0, "the head dimension must be even"),
+    Rule(("modernbert",), lambda c: c.local_attention >= 2 and c.local_attention % 2 == 0, "local_attention must be even and at least 2"),
+    Rule(("modernbert",), _positive("global_attn_every_n_layers"), "global_attn_every_n_layers must be at least 1"),
+    Rule(("gemma3",), _positive("sliding_window", "sliding_window_pattern"), "sliding_window and its pattern must be positive"),
+    Rule(("gemma3",), _positive("query_pre_attn_scalar"), "query_pre_attn_scalar must be positive"),
+    Rule(("gemma3",), _positive("dense_hidden"), "dense_hidden must be positive"),
+    Rule(("roberta",), _positive("pad_token_id"), "pad_token_id must be at least 1"),
+    Rule(("roberta",), _positive("max_seq_len"), "pad_token_id leaves no positions"),
+    Rule(("mpnet",), _member("relative_attention_num_buckets", 32), "relative_attention_num_buckets must be 32"),
+    Rule(("mpnet",), _member("pad_token_id", 1), "pad_token_id must be 1"),
+]
+
+
+def violated(c: Config) -> list[str]:
+    """Every rule that the configuration breaks."""
+    return [r.message.format(**vars(c)) for r in RULES if (not r.types or c.model_type in r.types) and not r.holds(c)]
 
 
 def validated(c: Config) -> Config:
-    for holds, message in _rules(c):
-        if not holds:
-            raise ValueError(f"{c.name or 'config'}: {message}")
+    if bad := violated(c):
+        raise ValueError(f"{c.name or 'config'}: {'; '.join(bad)}")
     if c.layer_norm_eps == 0:
         c.layer_norm_eps = 1e-12
     return c
@@ -108,8 +120,11 @@ def from_manifest(doc: dict) -> Config:
     return validated(Config(**{k: v for k, v in doc.items() if k in known}))
 
 
-def _truthy(v) -> bool:
-    return v if isinstance(v, bool) else v != 0 if isinstance(v, (int, float)) else v not in ("", "false", "False") if isinstance(v, str) else False
+def is_on(flag) -> bool:
+    """A flag's value by its JSON type: a string is on but where it is empty or spells false."""
+    if isinstance(flag, str):
+        return flag not in ("", "false", "False")
+    return isinstance(flag, (bool, int, float)) and flag != 0
 
 
 _POOLING = {"pooling_mode_mean_tokens": "mean", "pooling_mode_cls_token": "cls", "pooling_mode_lasttoken": "lasttoken"}
@@ -117,12 +132,43 @@ _POOLING = {"pooling_mode_mean_tokens": "mean", "pooling_mode_cls_token": "cls",
 
 def pooling_mode(doc: dict) -> str:
     """The one pooling mode that is on; any other pooling_mode_* key that is on is refused."""
-    on = [k for k, v in doc.items() if k.startswith("pooling_mode_") and _truthy(v)]
+    on = [k for k, v in doc.items() if k.startswith("pooling_mode_") and is_on(v)]
     if len(on) != 1 or on[0] not in _POOLING:
         raise ValueError(f"pooling {sorted(on)} is not exactly one of mean, cls, lasttoken")
     return _POOLING[on[0]]
 
 
+# What a checkpoint's config.json may say, by model type: fields that must be given, that must be off or
+# absent, that must not be given at all, and those with values that may be given (None: absent).
+_GELU = {"hidden_act": (None, "", "gelu")}
+NEEDED = {"distilbert": ("dim", "n_layers", "n_heads", "hidden_dim"), "roberta": ("pad_token_id",), "xlm-roberta": ("pad_token_id",), "mpnet": ("pad_token_id", "relative_attention_num_buckets")}
+OFF = {
+    "distilbert": ("sinusoidal_pos_embds",), "modernbert": ("norm_bias", "attention_bias", "mlp_bias"), "qwen3": ("attention_bias", "use_sliding_window", "sliding_window"),
+    "gemma3": ("attention_bias", "attn_logit_softcapping", "final_logit_softcapping"),
+    "nomic_bert": ("prenorm", "causal", "use_rms_norm", "rotary_emb_interleaved", "qkv_proj_bias", "mlp_fc1_bias", "mlp_fc2_bias"),
+}
+ABSENT = {"qwen3": ("rope_scaling",), "gemma3": ("rope_scaling",), "nomic_bert": ("rotary_scaling_factor",)}
+VALUES = {
+    "bert": _GELU, "roberta": _GELU, "xlm-roberta": _GELU, "mpnet": _GELU, "distilbert": {"activation": (None, "", "gelu")}, "modernbert": _GELU | {"hidden_activation": (None, "", "gelu")},
+    "qwen3": {"hidden_act": (None, "", "silu")}, "gemma3": _GELU | {"hidden_activation": (None, "", "gelu_pytorch_tanh"), "use_bidirectional_attention": (True,)},
+    "nomic_bert": {"rotary_emb_fraction": (None, 1), "activation_function": (None, "", "swiglu"), "hidden_act": (None, "", "silu")},
+}
+#: The names under which a model type gives its sizes, where it has its own.
+SIZES = {"distilbert": {"hidden_size": "dim", "num_hidden_layers": "n_layers", "num_attention_heads": "n_heads", "intermediate_size": "hidden_dim"}}
+
+
+def refusals(kind: str, hf: dict) -> list[str]:
+    """Everything in a checkpoint's config.json that would change results or isn't there."""
+    if kind not in SUPPORTED:
+        return [f"model_type {kind!r} is not supported"]
+    given = lambda k: hf.get(k) not in (None, False, 0)
+    values = VALUES.get(kind, {}) | {"position_embedding_type": (None, "", "absolute")}
+    out = [f"{kind} needs {k}" for k in NEEDED.get(kind, ()) if hf.get(k) is None]
+    out += [f"{k} is not supported in {kind}" for k in OFF.get(kind, ()) if given(k)]
+    out += [f"{k} is not supported in {kind}" for k in ABSENT.get(kind, ()) if hf.get(k) is not None]
+    return out + [f"{k} {hf.get(k)!r} is not supported in {kind}" for k, allowed in values.items() if hf.get(k) not in allowed]
+
+
 def _refuse(bad: bool, message: str) -> None:
     if bad:
         raise ValueError(message)
@@ -130,38 +176,11 @@ def _refuse(bad: bool, message: str) -> None:
 
 def derive(config: dict, tokenizer: dict, pooling: dict, modules: list[dict], dense: dict | None = None, has_sentencepiece: bool = False, name: str = "") -> Config:
     """A Config from a checkpoint's own JSON files; every knob that would change results is refused, not ignored."""
-    hf = dict(config)
-    kind = hf.get("model_type", "")
+    kind = config.get("model_type", "")
     kind = "gemma3" if kind == "gemma3_text" else kind
-    given = lambda key: hf.get(key) not in (None, False, 0, 0.0)
-    act = hf.get("hidden_act") or ""
-    _refuse(kind not in SUPPORTED, f"model_type {kind!r} is not supported")
-    if kind == "distilbert":
-        _refuse(any(hf.get(k) is None for k in ("dim", "n_layers", "n_heads", "hidden_dim")), "distilbert needs dim, n_layers, n_heads, hidden_dim")
-        _refuse(given("sinusoidal_pos_embds"), "sinusoidal positions are not supported")
-        hf |= {"hidden_size": hf["dim"], "num_hidden_layers": hf["n_layers"], "num_attention_heads": hf["n_heads"], "intermediate_size": hf["hidden_dim"]}
-        act = hf.get("activation") or ""
-    elif kind == "modernbert":
-        _refuse(given("norm_bias") or given("attention_bias") or given("mlp_bias"), "biases are not supported in modernbert")
-        _refuse((hf.get("hidden_activation") or "gelu") != "gelu", "modernbert needs exact gelu")
-    elif kind == "qwen3":
-        _refuse(act not in ("", "silu"), "qwen3 needs silu")
-        _refuse(given("attention_bias") or hf.get("rope_scaling") is not None, "qwen3 with biases or rope scaling is not supported")
-        _refuse(given("use_sliding_window") or (hf.get("sliding_window") or 0) > 0, "qwen3 with a sliding window is not supported")
-    elif kind == "gemma3":
-        _refuse((hf.get("hidden_activation") or "gelu_pytorch_tanh") != "gelu_pytorch_tanh", "gemma3 needs gelu_pytorch_tanh")
-        _refuse(not hf.get("use_bidirectional_attention"), "gemma3 needs bidirectional attention")
-        _refuse(given("attn_logit_softcapping") or given("final_logit_softcapping"), "softcapping is not supported")
-        _refuse(given("attention_bias") or hf.get("rope_scaling") is not None, "gemma3 with biases or rope scaling is not supported")
-    elif kind == "nomic_bert":
-        _refuse(any(given(k) for k in ("prenorm", "causal", "use_rms_norm", "rotary_emb_interleaved", "qkv_proj_bias", "mlp_fc1_bias", "mlp_fc2_bias")), "this nomic_bert variant is not supported")
-        _refuse(hf.get("rotary_emb_fraction") not in (None, 1, 1.0) or hf.get("rotary_scaling_factor") is not None, "partial or scaled rotary positions are not supported")
-        _refuse((hf.get("activation_function") or "swiglu") != "swiglu" or act not in ("", "silu"), "nomic_bert needs swiglu")
-    elif kind in ("roberta", "xlm-roberta", "mpnet"):
-        _refuse(kind == "mpnet" and (hf.get("relative_attention_num_buckets") or 0) <= 0, "mpnet needs relative_attention_num_buckets")
-        _refuse(hf.get("pad_token_id") is None, f"{kind} needs pad_token_id")
-    _refuse(kind not in ("qwen3", "nomic_bert") and act not in ("", "gelu"), f"activation {act!r} is not supported")
-    _refuse((hf.get("position_embedding_type") or "absolute") != "absolute", "only absolute positions are supported")
+    if bad := refusals(kind, config):
+        raise ValueError(f"{name or 'config'}: {'; '.join(bad)}")
+    hf = config | {ours: config[theirs] for ours, theirs in SIZES.get(kind, {}).items()}
     mode = pooling_mode(pooling)
     pieces = kind == "xlm-roberta" or kind == "bert" and ((tokenizer.get("tokenizer_class") or "").startswith("XLMRobertaTokenizer") or has_sentencepiece)
     lower = tokenizer.get("do_lower_case")

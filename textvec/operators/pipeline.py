@@ -184,10 +184,22 @@ def first_error(results: DataFrame, order_col: str, result_col: str = "result")
 
 
 def register(spark, embedder: Embedder, name: str = "embed") -> None:
-    """SQL functions <name>(text) and <name>_ids(text)."""
+    """SQL functions <name>(text) and <name>_ids(text), and the table function <name>_tokens(text)."""
     some = spark.range(0)
     spark.udf.register(name, _embed_udf(some, embedder, _VECTOR, lambda enc, ids: enc.all_pooled(ids)))
     spark.udf.register(name + "_ids", _embed_udf(some, embedder, _IDS, lambda enc, ids: ids))
+    shared = spark.sparkContext.broadcast(embedder)
+
+    class Tokens:
+        def eval(self, text: str):
+            own = shared.value
+            tok, enc = own.ready()
+            if text is not None:
+                ids = tok.encode(text, own.spec.max_len)
+                for pos, (i, h) in enumerate(zip(ids, enc.tokens(ids), strict=True)):
+                    yield pos, i, h.tolist()
+
+    spark.udtf.register(name + "_tokens", F.udtf(Tokens, returnType="pos int, token_id bigint, hidden array<float>"))
 
 
 # Checks and figures.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
+import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +14,9 @@ from ..functions import vec
 from ..functions.weights import embedding_sql, weight_sql
 from ..operators import config, nn, pipeline, relational, serving
 from ..sources import pack, safetensors
+from ..sources.shared import fresh_path
 from . import texts
-from .texts import documents
+from .texts import documents, spread
 from .vectors import X, embeddings, gelu_sql, r4
 
 QUERIES: dict = {}
@@ -28,12 +29,6 @@ def _add(name: str, query, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A file of one row group is one task; its rows are dealt out before an encoder runs on them."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def _embed(spark: SparkSession, sf_dir: str, arch: str = "bert", **more) -> DataFrame:
     """Unit vectors of all documents: dimension, norm and the first component of each."""
     out = pipeline.embed(spread(documents(spark, sf_dir)), pipeline.Embedder.tiny(arch, **more))
@@ -281,11 +276,16 @@ _add("health", lambda s, d: s.range(1).select(serving.health("tiny", 32).alias("
 
 
 def _folder(spark: SparkSession) -> str:
-    return tempfile.mkdtemp(prefix="textvec-weights-")
+    """A new folder that driver and executors share; tensors are read by place in a file, so it must be mounted."""
+    path = re.sub(r"^file:/+", "/", fresh_path(spark, "weights"))
+    if "://" in path:
+        raise ValueError(f"{path} isn't mounted: model files need a shared folder of scheme file")
+    os.makedirs(path)
+    return path
 
 
 def safetensors_scan(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
-    """name, shape and sum of each tensor of two shards; written by the driver, so for local runs and tests."""
+    """name, shape and sum of each tensor of two shards, written by the driver to the shared folder."""
     folder = _folder(spark)
     values = {f"t{k}": nn.weights.weight(k, 8, 16) for k in range(6)}
     for shard in (0, 1):
@@ -297,6 +297,21 @@ def safetensors_scan(spark: SparkSession, sf_dir: str, only: str | None = None)
     return df.select("name", "dtype", F.array_join("shape", "x").alias("shape"), r4(vec.total(vec.doubles(F.col("values")))).alias("total"))
 
 
+def safetensors_dtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tensor in three types: widened to single precision, by the largest error of each."""
+    folder, x = _folder(spark), nn.weights.weight(3, 8, 16)
+    for kind in ("F32", "F16", "BF16"):
+        safetensors.write(os.path.join(folder, f"{kind}.safetensors"), {"t": x}, kind)
+    scans = [safetensors.read(spark, os.path.join(folder, f"{kind}.safetensors")) for kind in ("F32", "F16", "BF16")]
+    rows = scans[0].unionByName(scans[1]).unionByName(scans[2])
+    want = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda n: ((F.floor(n / 16) * 31 + n % 16 * 17 + 303) % 97 - 48) / F.lit(480.0))
+    gap = F.array_max(F.zip_with(vec.doubles(F.col("values")), want, lambda a, b: F.abs(a - b)))
+    return rows.select("dtype", F.size("values").cast("long").alias("n"), F.when(gap < 1e-8, 8).when(gap < 1e-4, 4).when(gap < 1e-3, 3).otherwise(0).cast("long").alias("places"))
+
+
+_add("safetensors_dtypes", safetensors_dtypes, "SELECT dtype, 128::BIGINT AS n, places::BIGINT AS places FROM (VALUES ('F32', 8), ('F16', 4), ('BF16', 3)) t(dtype, places)")
+
+
 def _tensor_sql(where: str) -> str:
     return f"SELECT 't' || k AS name, 'F32' AS dtype, '8x16' AS shape, round(sum(CAST(((o * 31 + i * 17 + k * 101) % 97 - 48) / 480.0::DOUBLE AS FLOAT)::DOUBLE), 4) + 0.0 AS total FROM range(6) a(k), range(8) b(o), range(16) c(i) WHERE {where} GROUP BY k"
 

@@ -30,6 +30,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A file of one row group is one task; its rows are dealt out before costly work on them.  Inputs of many splits stay."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _text(f, spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.sha2(f(F.col("text")), 256).alias("digest"), F.length(f(F.col("text"))).cast("long").alias("n"))
 
@@ -40,7 +46,7 @@ def _text_sql(expr: str) -> str:
 
 def _listed(f, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of each document: their number, and a digest of them joined by U+0001."""
-    items = documents(spark, sf_dir).select("doc_id", f(F.col("text")).alias("items"))
+    items = spread(documents(spark, sf_dir)).select("doc_id", f(F.col("text")).alias("items"))
     return items.select("doc_id", F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", "\x01"), 256).alias("digest"))
 
 
@@ -51,7 +57,7 @@ def _listed_sql(items: str, ctes: str = "", source: str = "documents") -> str:
 _CLEAN = "regexp_replace(regexp_replace({t}, '[\\t\\n\\r]', ' ', 'g'), '[\\x{{FFFD}}\\p{{Cc}}\\p{{Cf}}\\p{{Co}}\\p{{Cs}}]', '', 'g')"
 _STRIPPED = "strip_accents(lower(text))"
 _add("clean_text", partial(_text, tx.clean_text), _text_sql(_CLEAN.format(t="text")))
-_add("accent_strip", partial(_text, lambda t: tx.strip_accents(tx.nfd(F.lower(t)))), _text_sql(_STRIPPED))
+_add("accent_strip", partial(_text, lambda t: tx.strip_accents(tx.decomposed(F.lower(t)))), _text_sql(_STRIPPED))
 _add("cjk_isolate", partial(_text, lambda t: tx.isolate_cjk(F.concat(t, F.lit(" 界人")))), _text_sql(f"regexp_replace(text || ' 界人', '([{_CJK}])', ' \\1 ', 'g')"))
 _BASIC = "list_filter(string_split_regex(regexp_replace(" + _CLEAN.format(t=_STRIPPED) + f", '([{_CJK}{_PUNCT}])', ' \\1 ', 'g'), '[\\s\\p{{Z}}]+'), lambda x: x <> '')".replace("{{", "{").replace("}}", "}")
 _add("basic_tokens", partial(_listed, tx.basic_tokens), _listed_sql(_BASIC))
@@ -121,7 +127,7 @@ framed AS (SELECT d.doc_id, list_concat([{_PIECES.index('[CLS]')}::BIGINT], coal
 
 
 def _ids(kind: str, max_len: int, spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokenize(documents(spark, sf_dir), kind, max_len)
+    out = tokenize(spread(documents(spark, sf_dir)), kind, max_len)
     return out.select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("digest"))
 
 
