@@ -150,3 +150,107 @@ def test_word_sequences_do_not_collide():
     w = text.split()
     for n in (2, 3, 5, 8, 50):
         assert len(np.unique(ngrams(h, n))) == len({tuple(w[k : k + n]) for k in range(len(w) - n + 1)})
+
+
+def paraphrase(rng, words, share):
+    """The words with some of them replaced, inserted or dropped."""
+    out = []
+    for w in words:
+        x = rng.random()
+        if x < share / 2:
+            out.append("c%d" % rng.randrange(60))
+        elif x < 0.75 * share:
+            continue
+        else:
+            out.append(w)
+            if x > 1 - share / 4:
+                out.append("c%d" % rng.randrange(60))
+    return out
+
+
+def test_decontamination_finds_paraphrases(spark):
+    """Items of a question and an answer; questions reworded by a fourth, answers kept: nine in ten are found, and no others."""
+    rng = random.Random(11)
+    items, texts = [], []
+    for k in range(60):
+        question, answer = prose(rng, rng.randrange(25, 60)), prose(rng, 7)
+        items.append((k, " ".join(question) + "? " + " ".join(answer)))
+        own = paraphrase(rng, question, 0.25)
+        texts.append(" ".join([*prose(rng, rng.randrange(80)), *own]) + "? " + " ".join([*answer, *prose(rng, rng.randrange(120))]))
+    got = matches(spark, texts + [" ".join(prose(rng, 150)) for _ in range(300)], items)
+    print("paraphrases found", len(got), "of", len(items))
+    assert len(got & {(k, k) for k in range(60)}) >= 54 and got <= {(k, k) for k in range(60)}
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for k, y in enumerate(b):
+            last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k], row[k + 1])
+    return row[-1]
+
+
+def test_decontamination_of_odd_rows(spark):
+    """Nulls, empties, one very long text, repeated rows, ties of two items, clashing columns, and what is found is right."""
+    rng = random.Random(12)
+    one, two = " ".join(prose(rng, 40)), " ".join(prose(rng, 30))
+    long = " ".join(prose(rng, 60_000) + two.split() + prose(rng, 60_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, long), (5, one), (5, one), (6, one.upper() + " x " + two), (None, one), (7, "short")]
+    docs = spark.createDataFrame([(i, t, 0.5, 9) for i, t in rows], "doc_id long, text string, lcs double, item_id int").repartition(3)
+    items = spark.createDataFrame([(1, one), (2, two), (3, one), (4, None), (5, ""), (None, two)], ITEMS)
+    got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontamination.decontamination(docs, items).collect()}
+    assert set(got) == {(4, 2), (4, None), (5, 1), (5, 3), (6, 1), (6, 2), (6, 3), (6, None), (None, 1), (None, 3)} and set(got.values()) == {1.0}
+    for text, item in ((paraphrase(rng, one.split(), 0.1), one), (paraphrase(rng, one.split(), 0.6), one)):
+        found = list(matches(spark, [" ".join(text)], [(0, item)]))
+        assert bool(found) == (plain_lcs(item.split(), text) >= 0.75 * 40)
+
+
+def test_language_id_of_odd_rows(spark):
+    """Repeated rows, a null label, kept columns of clashing names, one very long text, an empty table."""
+    rows = [(k, "der hund und die katze sind im haus " * 3, "de", 1.5) for k in range(6)] + [(10 + k, "the dog and the cat are in the house " * 3, "en", 2.5) for k in range(6)] + [(20, "und the", None, 0.0), (20, "und the", None, 0.0), (21, "the cat and the dog are here " * 40_000, "en", 3.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    own = language_id.fitted(language_id.training_rows(docs))
+    got = language_id.language_id(docs, own, keep=("score", "lang")).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] == r["lang"] for r in got if r["lang"]) and {r["doc_id"]: r["score_in"] for r in got}[10] == 2.5
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 20}) == 1
+    assert language_id.language_id(docs.limit(0), own).count() == 0 and language_id.training_rows(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Ties, a very long text and its near copy, extra columns of clashing names, an empty table."""
+    rng = random.Random(13)
+    long = prose(rng, 30_000)
+    near = list(long)
+    near[5] = "changed"
+    rows = [(9, " ".join(long)), (8, " ".join(near)), (7, "a b c"), (6, "a b c"), (5, None)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, component_id string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join(docs).collect()} == {9: 8, 8: 8, 7: 6, 6: 6, 5: 5}
+    assert jaccard_join(docs.limit(0)).count() == 0
+    assert {r["doc_id"]: r["n_removed"] > 29_000 for r in substring_dedup(docs).collect()} == {9: True, 8: False, 7: False, 6: False, 5: False}
+
+
+def test_substring_dedup_in_parts_and_by_shuffle(spark):
+    """Tiny shards and packs, nothing broadcast, repeated ids with other texts: the same as in one piece."""
+    rng = random.Random(14)
+    shared = [prose(rng, 80) for _ in range(6)]
+    rows = []
+    for k in range(60):
+        parts = [prose(rng, rng.randrange(40))]
+        for s in rng.sample(shared, rng.randrange(4)):
+            a = rng.randrange(25)
+            parts += [s[a : a + rng.randrange(45, 80)], prose(rng, rng.randrange(30))]
+        rows.append((k % 55, " ".join(w for p in parts for w in p)))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            first[tuple(w[k : k + 50])] = min(first.get(tuple(w[k : k + 50]), i), i)
+    want = []
+    for i, t in rows:
+        w = t.split()
+        gone = [any(first[tuple(w[a : a + 50])] < i for a in range(max(0, k - 49), min(k, len(w) - 50) + 1)) for k in range(len(w))]
+        want.append((i, len(w), sum(gone)))
+    for more in ({}, {"broadcast_bytes": -1, "shard": 900, "pack": 150}):
+        assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup(docs, **more).collect()) == sorted(want)
