@@ -146,3 +146,89 @@ def test_sentencepiece_file():
     assert got.pieces == [("ab", -1.0, 1)] and not got.add_dummy_prefix and got.escape_whitespaces
     with pytest.raises(ValueError):
         vocab.parse_sentencepiece(b"\x0a\x7f")
+
+
+def charsmap(rules):
+    """A compiled character map: a double array over the rules' bytes, and their replacements."""
+    trie: dict = {}
+    for key in rules:
+        node = trie
+        for b in key:
+            node = node.setdefault(b, {})
+        node[0] = key
+    texts, at = b"", {}
+    for key, value in rules.items():
+        at[key] = len(texts)
+        texts += value + b"\0"
+    units, taken = [0] * 4096, {0}
+
+    def place(index, node):
+        # an offset whose places for all children are free; below 2^21, so that it needs no extension bit
+        offset = next(o for o in range(1, 4096) if all((index ^ o ^ c) < 4096 and (index ^ o ^ c) not in taken for c in node) and (index ^ o) < 4096)
+        units[index] |= offset << 10 | (0x100 if 0 in node else 0)
+        base = index ^ offset
+        taken.update(base ^ c for c in node)
+        for c, child in node.items():
+            if c == 0:
+                units[base] = 1 << 31 | at[child]
+            else:
+                units[base ^ c] |= c
+                place(base ^ c, child)
+
+    place(0, trie)
+    blob = b"".join(u.to_bytes(4, "little") for u in units)
+    return len(blob).to_bytes(4, "little") + blob + texts
+
+
+def test_charsmap():
+    """Longest rules win, unknown characters stay, and a model file's map drives its normaliser."""
+    rules = {"A".encode(): b"a", "ﬁ".encode(): b"fi", "①".encode(): b"1", "①②".encode(): b"12", "　".encode(): b" "}
+    got = vocab.decode_charsmap(charsmap(rules))
+    assert got == rules and vocab.decode_charsmap(b"") == {}
+    own = segment.Unigram([("<unk>", 0, 2), ("▁a", -1, 1), ("fi", -2, 1)], got)
+    assert own.normalize("Aﬁ①②①　　é") == "▁afi121▁é"
+    with pytest.raises(ValueError):
+        vocab.decode_charsmap(b"\x05\0\0\0")
+
+
+def test_word_dispatch_and_sizes():
+    for kind, size in (("wordpiece", len(vocab.wordpiece_vocab())), ("bpe", len(vocab.bpe_vocab())), ("qwen", len(vocab.bpe_vocab())), ("gemma", len(vocab.gemma_vocab()[0])), ("sentencepiece", len(vocab.unigram_pieces()) + 2)):
+        assert tokenizer(kind)[1] == size
+    with pytest.raises(ValueError):
+        tokenizer("words")
+
+
+def test_vocabulary_files(tmp_path):
+    (tmp_path / "vocab.txt").write_text("[UNK]\r\n[CLS]\n[SEP]\none\none\n")
+    assert vocab.load_vocab_txt(str(tmp_path / "vocab.txt"))["one"] == 4
+    (tmp_path / "short.txt").write_text("[UNK]\n")
+    with pytest.raises(ValueError, match="CLS"):
+        vocab.load_vocab_txt(str(tmp_path / "short.txt"))
+    (tmp_path / "vocab.json").write_text('{"a": 0, "b": 1, "ab": 2}')
+    (tmp_path / "merges.txt").write_text("#version: 0.2\na b\n\n# b\n")
+    assert vocab.load_bpe_files(str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt")) == ({"a": 0, "b": 1, "ab": 2}, [("a", "b"), ("#", "b")])
+    (tmp_path / "bad.txt").write_text("a b c\n")
+    with pytest.raises(ValueError, match="not a pair"):
+        vocab.load_bpe_files(str(tmp_path / "vocab.json"), str(tmp_path / "bad.txt"))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aé é \tＡ界​­-_,.“”\x0b Ñß", max_size=30), st.booleans())
+def test_basic_words_by_definition(text, lower):
+    """One character after another, as the tokenizer is defined, against the table of translations."""
+    import unicodedata
+
+    own = segment.WordPiece({"[UNK]": 0, "[CLS]": 1, "[SEP]": 2}, lower=lower)
+    said = unicodedata.normalize("NFD", text.lower()) if lower else text
+    out = ""
+    for c in said:
+        kind = unicodedata.category(c)
+        if c in "\t\n\r" or kind.startswith("Z"):
+            out += " "
+        elif kind in ("Cc", "Cf", "Co", "Cs") or c == "�" or lower and kind == "Mn":
+            continue
+        elif kind.startswith("P") or c in "$+<=>^`|~" or 0x4E00 <= ord(c) <= 0x9FFF:
+            out += f" {c} "
+        else:
+            out += c
+    assert own.words(text) == out.split()

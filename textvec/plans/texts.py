@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.weights import embedding_sql
+from ..functions.weights import embedding_sql, weight_sql
 from ..operators import vocab
 from ..operators.pipeline import tokenize
 
@@ -178,3 +178,16 @@ def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("embedding_lookup", embedding_lookup, f"WITH {SEGMENTED}, r AS (SELECT doc_id, unnest(cut) AS id FROM framed) SELECT doc_id, j, round(sum({embedding_sql('id', 'j')}), 4) + 0.0 AS total FROM r, range(8) b(j) GROUP BY 1, 2")
+
+
+def embedding_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What enters the first layer: token, position and type rows added up; and token rows scaled by the root of the width."""
+    ids = tokenize(spread(documents(spark, sf_dir)), "wordpiece", 32).select("doc_id", F.posexplode("ids").alias("pos", "id"))
+    table = spark.range(len(_PIECES)).withColumn("v", F.expr(f"transform(sequence(0, 7), j -> {embedding_sql('id', 'j')})"))
+    rows = ids.join(F.broadcast(table), "id").select("doc_id", "pos", F.posexplode("v").alias("j", "x"))
+    added = F.col("x") + F.expr(weight_sql(5, "pos", "j")) + F.expr(weight_sql(6, "0", "j"))
+    out = rows.groupBy("doc_id", "j").agg((F.round(F.sum(added), 5) + F.lit(0.0)).alias("added"), (F.round(F.max(F.col("x") * F.sqrt(F.lit(8.0))), 4) + F.lit(0.0)).alias("scaled"))
+    return out.select("doc_id", F.col("j").cast("long").alias("j"), "added", "scaled")
+
+
+_add("embedding_input", embedding_input, f"WITH {SEGMENTED}, r AS (SELECT doc_id, unnest(cut) AS id, generate_subscripts(cut, 1) - 1 AS pos FROM framed), x AS (SELECT doc_id, pos, j, {embedding_sql('id', 'j')} AS x FROM r, range(8) b(j)) SELECT doc_id, j, round(sum(x + {weight_sql(5, 'pos', 'j')} + {weight_sql(6, '0', 'j')}), 5) + 0.0 AS added, round(max(x * sqrt(8.0::DOUBLE)), 4) + 0.0 AS scaled FROM x GROUP BY 1, 2")
