@@ -138,10 +138,18 @@ def _weighted(numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple
     return numbers[at], block, first, many
 
 
-def _block_sums(terms: np.ndarray, block: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the terms' rows in each block that has any, and the blocks."""
+def _block_sums(terms: np.ndarray, block: np.ndarray, rows: np.ndarray, at_once: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the terms' rows in each block that has any, and the blocks; a block has STRIDE words at most."""
     heads = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
-    return (np.add.reduceat(rows[terms], heads, axis=0) if len(heads) else np.empty((0, rows.shape[1]), rows.dtype)), block[heads]
+    # a block's terms in a row of their own, filled up with a term of zeros
+    slots = np.full((len(heads), STRIDE), len(rows), dtype=np.int32)
+    which = np.cumsum(np.append(False, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
+    slots[which, np.arange(len(block)) - heads[which]] = terms
+    padded = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+    out = np.empty((len(heads), rows.shape[1]), rows.dtype)
+    for k in range(0, len(heads), at_once):
+        out[k : k + at_once] = padded[slots[k : k + at_once]].sum(axis=1)
+    return out, block[heads]
 
 
 def _frequencies(shared):
