@@ -268,3 +268,34 @@ def test_streams_equal_batch(spark, tmp_path):
     out = embed_stream(texts, own, "body").writeStream.format("memory").queryName("vectors").trigger(availableNow=True).start()
     out.awaitTermination(120)
     assert spark.table("vectors").count() == 2
+
+
+def test_endpoint(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from textvec.streaming.endpoint import endpoint
+
+    own = pipeline.Embedder.tiny("bert")
+    server = endpoint(spark, own, "tiny", max_batch=2)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def call(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, data=None if body is None else body.encode()), timeout=60) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert call("/health") == (200, {"status": "ok", "model": "tiny", "dim": own.width})
+        status, answer = call("/v1/embeddings", json.dumps({"input": ["the others", "a"]}))
+        assert status == 200 and [d["index"] for d in answer["data"]] == [0, 1] and len(answer["data"][0]["embedding"]) == own.width
+        assert answer["usage"]["prompt_tokens"] == len(own.encode("the others")) + len(own.encode("a"))
+        assert call("/v1/embeddings", "{")[0] == 400 and "max-batch" in call("/v1/embeddings", json.dumps({"input": ["a"] * 3}))[1]["error"]["message"]
+        assert call("/other")[0] == 404
+    finally:
+        server.shutdown()
+        server.server_close()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import checkpoint, nn, pipeline, serving
 from .sources import golden
+from .streaming.endpoint import endpoint
 
 
 def _spark() -> SparkSession:
@@ -67,9 +68,14 @@ def bench(args) -> int:
 
 
 def serve(args) -> int:
-    """Answers to a file of request rows (request_id, body), as JSON lines."""
+    """Answers to a file of request rows (request_id, body), as JSON lines; or to HTTP requests, until stopped."""
     spark = _spark()
     own = _model(spark, args)
+    if args.listen:
+        host, _, port = args.listen.rpartition(":")
+        with endpoint(spark, own, own.name or args.model, host or "127.0.0.1", int(port), args.max_batch) as server:
+            server.serve_forever()
+        return 0
     requests = spark.read.schema("request_id string, body string").json(args.requests)
     for r in serving.serve(requests, own, own.name or args.model, max_batch=args.max_batch).orderBy("request_id").toLocalIterator():
         print(json.dumps({"request_id": r["request_id"], "status": r["status"], "response": json.loads(r["response"])}))
@@ -98,7 +104,9 @@ def main(argv: list[str] | None = None) -> int:
             own.add_argument("--runs", type=int, default=30)
             own.add_argument("--warmup", type=int, default=5)
         else:
-            own.add_argument("--requests", required=True, help="JSON lines of request_id and body")
+            where = own.add_mutually_exclusive_group(required=True)
+            where.add_argument("--requests", help="JSON lines of request_id and body")
+            where.add_argument("--listen", help="[host:]port to answer HTTP requests at")
             own.add_argument("--max-batch", type=int, default=serving.MAX_BATCH)
     args = parser.parse_args(argv)
     if args.verb == "bench" and (args.runs <= 0 or args.warmup < 0):
