@@ -189,8 +189,9 @@ def test_byte_bpe_long_words():
     own = byte_bpe._codec(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     rng = random.Random(8)
     words = [("x" * n).encode() for n in (2, 3, 127, 128, 129, 700, byte_bpe.LONG)] + ["".join(rng.choice("etaoinshr") for _ in range(n)).encode() for n in (50, 200, 900)]
-    assert [w.tolist() for w in own.encode(words)] == [own.by_heap(w) if w not in own.ranks else [own.ranks[w]] for w in words]
-    assert own.encode([b"ab" * 200_000])[0].size > 0
+    ids, starts, sizes = own.encode(words + [b"the"])
+    assert [ids[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == [own.by_heap(w) if w not in own.ranks else [own.ranks[w]] for w in words + [b"the"]]
+    assert own.decode(*[own.encode([b"ab" * 200_000])[k] for k in (0, 2)]) == [b"ab" * 200_000]
 
 
 def test_token_counts(spark, docs):

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ from .common import arrow_map, digest, raw_bytes, tokenizer_path
 
 #: Bytes of a pre-token up to which it goes through the recursive query.
 LONG = 1024
-#: Words that a worker remembers: the newest so many at least, twice as many at most.
-KEPT = 200_000
+#: Words that a worker remembers before it starts anew.
+KEPT = 400_000
 #: Rows that one recursive query makes at most, about: half the square of a word's bytes for each word.
-ROWS = 2_000_000
+ROWS = 6_000_000
 #: Bytes of text handled at once.
-PIECE = 3 << 20
+PIECE = 4 << 20
 
 _RECURSION = """
 WITH RECURSIVE state(word, ord, id, round) AS (
@@ -59,7 +60,6 @@ class Codec:
     """Vocabulary, merge table and what the worker knows already; made once per worker."""
 
     def __init__(self, path: str):
-        import duckdb
         import regex
 
         with open(path, "rb") as f:
@@ -68,15 +68,33 @@ class Codec:
         self.pattern = regex.compile(public_pattern())
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
-        own = pa.table({"l": left, "r": right, "merged": merged})  # noqa: F841
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM own")
-        own = pa.table({"id": pa.array(list(self.tokens), pa.int32()), "hex": pa.array([b.hex() for b in self.tokens.values()], pa.string())})
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM own")
-        #: Ids of each word that is known: those of the newest words, and of those before.
-        self.words: dict[str, np.ndarray] = {}
-        self.old_words: dict[str, np.ndarray] = {}
+        self.merges = pa.table({"l": left, "r": right, "merged": merged})
+        self.vocabulary = pa.table({"id": pa.array(list(self.tokens), pa.int32()), "hex": pa.array([b.hex() for b in self.tokens.values()], pa.string())})
+        self._db = None
+        self.forget_words()
+
+    @property
+    def db(self):
+        """The task's database, with the tables of the vocabulary."""
+        if self._db is None:
+            import duckdb
+
+            merges, vocabulary = self.merges, self.vocabulary  # noqa: F841
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+            self._db.execute("CREATE TABLE merges AS SELECT * FROM merges")
+            self._db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+        return self._db
+
+    def close(self) -> None:
+        if self._db is not None:
+            self._db.close()
+            self._db = None
+
+    def forget_words(self) -> None:
+        """No word is known any more.  Of known words: their number, and where their ids stand."""
+        self.words: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def by_heap(self, word: bytes) -> list[int]:
         """The same contraction order for one long word."""
@@ -104,34 +122,37 @@ class Codec:
             i = after[i]
         return out
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word."""
-        out: list = [None] * len(words)
-        rest = []
-        for k, w in enumerate(words):
-            if (r := self.ranks.get(w)) is not None:
-                out[k] = np.array([r], dtype=np.int32)
-            elif len(w) > LONG:
-                out[k] = np.array(self.by_heap(w), dtype=np.int32)
-            else:
-                rest.append(k)
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, and where each word's begin and how many they are."""
+        known = np.array(list(map(self.ranks.get, words, itertools.repeat(-1))), dtype=np.int32)
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        # a word that is a token is that token
+        parts = [known[known >= 0]]
+        starts, sizes = np.cumsum(known >= 0) - 1, (known >= 0).astype(np.int64)
+        many = len(parts[0])
+        for k in np.flatnonzero((known < 0) & (length > LONG)).tolist():
+            parts.append(np.array(self.by_heap(words[k]), dtype=np.int32))
+            starts[k], sizes[k] = many, len(parts[-1])
+            many += len(parts[-1])
+        rest = np.flatnonzero((known < 0) & (length <= LONG))
         # words of like length take as many rounds
-        rest.sort(key=lambda k: len(words[k]))
-        ends = np.cumsum([len(words[k]) * (len(words[k]) + 1) // 2 for k in rest])
+        rest = rest[np.argsort(length[rest], kind="stable")]
+        ends = np.cumsum(length[rest] * (length[rest] + 1) // 2)
         at = 0
         while at < len(rest):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROWS, side="right")))
             some = rest[at:to]
-            sizes = np.array([len(words[k]) for k in some], dtype=np.int64)
-            data = np.frombuffer(b"".join(words[k] for k in some), dtype=np.uint8)
-            start = pa.table({"word": np.repeat(np.array(some, dtype=np.int32), sizes), "ord": (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32), "id": self.first[data]})  # noqa: F841
+            own = length[some]
+            data = np.frombuffer(b"".join([words[k] for k in some.tolist()]), dtype=np.uint8)
+            start = pa.table({"word": np.repeat(some.astype(np.int32), own), "ord": (np.arange(len(data)) - np.repeat(np.cumsum(own) - own, own)).astype(np.int32), "id": self.first[data]})  # noqa: F841
             got = self.db.sql(_RECURSION).to_arrow_table()
-            lists = got.column("ids").combine_chunks()
-            flat, offsets = np.asarray(lists.values, dtype=np.int32), np.asarray(lists.offsets)
-            for k, a, b in zip(got.column("word").to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
-                out[k] = flat[a:b].copy()
+            word, lists = np.asarray(got.column("word")), got.column("ids").combine_chunks()
+            offsets = np.asarray(lists.offsets, dtype=np.int64)
+            starts[word], sizes[word] = many + offsets[:-1] - offsets[0], np.diff(offsets)
+            parts.append(np.asarray(lists.values, dtype=np.int32)[offsets[0] : offsets[-1]])
+            many += len(parts[-1])
             at = to
-        return out
+        return np.concatenate(parts), starts, sizes
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of sequences of ids, one after another, of so many ids each: by ordered aggregation."""
@@ -144,26 +165,27 @@ class Codec:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Afterwards self.words has the ids of each of them."""
+        """Afterwards all of them are known."""
         if len(self.words) > KEPT:
-            self.old_words, self.words = self.words, {}
-        new = []
-        for w in words:
-            if w not in self.words:
-                if (own := self.old_words.get(w)) is None:
-                    new.append(w)
-                else:
-                    self.words[w] = own
-        self.words.update(zip(new, self.encode([w.encode("utf-8") for w in new]), strict=True))
+            self.forget_words()
+        if new := [w for w in words if w not in self.words]:
+            ids, starts, sizes = self.encode([w.encode("utf-8") for w in new])
+            self.starts = np.concatenate([self.starts, len(self.ids) + starts])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids])
+            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one after another, and their numbers."""
         cut = [self.pattern.findall(t) for t in texts]
-        self.learn({w for ws in cut for w in ws})
-        own = [list(map(self.words.__getitem__, ws)) for ws in cut]
-        counts = np.array([sum(map(len, o)) for o in own], dtype=np.int64)
-        every = [x for o in own for x in o]
-        return (np.concatenate(every) if every else np.empty(0, np.int32)), counts
+        self.learn(set().union(*cut))
+        many = np.array([len(ws) for ws in cut], dtype=np.int64)
+        word = np.fromiter((k for ws in cut for k in map(self.words.__getitem__, ws)), dtype=np.int64, count=int(many.sum()))
+        sizes = self.sizes[word]
+        total = np.append(0, np.cumsum(sizes))
+        flat = self.ids[np.arange(total[-1]) + np.repeat(self.starts[word] - total[:-1], sizes)]
+        ends = np.cumsum(many)
+        return flat, total[ends] - total[ends - many]
 
 
 def public_pattern() -> str:
@@ -173,7 +195,6 @@ def public_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-#: Those of the task that runs; a worker gives their memory back at its end.
 _codecs: dict[str, Codec] = {}
 
 
@@ -183,8 +204,10 @@ def _codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _forget() -> None:
-    _codecs.clear()
+def _close() -> None:
+    """At the end of a task: vocabularies and words stay with the worker, databases don't."""
+    for own in _codecs.values():
+        own.close()
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, digests: bool = True) -> DataFrame:
@@ -211,4 +234,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, f"doc_id long, n_tokens long, {kinds}", limit=PIECE, done=_forget)
+    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, f"doc_id long, n_tokens long, {kinds}", limit=PIECE, done=_close)
