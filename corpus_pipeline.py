@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages over documents, each a llm operator, each written before the next reads it.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of `documents`.  run() applies them in order through Parquet files in the shared folder.
+of `documents`, whatever others its input has.  run() applies them in order through Parquet files in
+the shared folder.  An empty table passes through all stages.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or whose n-grams no learned language has, go.
 
     lang becomes the predicted language.  The filters learn from the documents' own labels, on a
-    bounded sample; a document's own label is never an input of its prediction.
+    bounded sample; a document's own label is never an input of its prediction.  Null and empty
+    texts go; repeated rows go or stay together; without any label every text is und, and goes.
     """
     filters = fitted(training_rows(docs, PER_LANGUAGE))
     out = language_id(docs, filters, keep=("text", "source", "n_chars"))
@@ -36,6 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: boilerplate lines of a source go; a document of which nothing is left goes too.
 
     Copies count as one page, so that near_duplicates meets whole groups of them and keeps one of each.
+    Null texts stay; rows without a source are a host of their own; a line just at the ratio stays.
     """
     out = line_dedup(docs, distinct=True, least=LEAST).withColumn("n_chars", F.length("text").cast("long"))
     return out.filter(F.col("n_dropped").eqNullSafe(0) | (F.length(F.trim("text")) > 0)).select(*COLUMNS)
@@ -56,13 +59,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that contain a benchmark item go."""
+    """Benchmark decontamination: documents that contain a benchmark item go.
+
+    Null and empty texts contain none; rows without an id are never told apart, so they stay; rows
+    that repeat an id go where one of them contains an item.
+    """
     found = stored(decontamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("k")).distinct())
     return docs.join(hinted(found), docs["doc_id"] == found["k"], "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: ids encoded and decoded again; one row per document with the digests."""
+    """Byte-level BPE: ids encoded and decoded again; one row per document with the digests.
+
+    Null texts count as empty; repeated rows give repeated results.
+    """
     return encode_decode(docs)
 
 
