@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import hashlib
 import os
 import re
@@ -66,7 +65,6 @@ def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], d
         finally:
             if done is not None:
                 done()
-            gc.collect()
             pa.default_memory_pool().release_unused()
             if sys.platform == "linux":
                 with contextlib.suppress(OSError, AttributeError):
@@ -102,7 +100,7 @@ def bitmap(df: DataFrame, bits: int = 26) -> np.ndarray:
         return pa.table({"row": [key[0].as_py()], "words": [row.tobytes()]}, schema=pa.schema([("row", pa.int64()), ("words", pa.binary())]))
 
     out = np.zeros((max(1, (1 << bits) // (64 * 4096)), 4096), dtype=np.uint64)
-    for r in words.groupBy(F.shiftright("at", 12).alias("row")).applyInArrow(packed, "row long, words binary").toLocalIterator():
+    for r in words.groupBy(F.shiftright("at", 12).alias("row")).applyInArrow(packed, "row long, words binary").collect():
         out[r["row"]] = np.frombuffer(r["words"], np.uint64)
     return out.reshape(-1)
 

@@ -207,7 +207,7 @@ def _added(df: DataFrame, real: bool, parts: int = 16) -> tuple[int, np.ndarray
 
     grouped = df.withColumn("part", F.spark_partition_id() % parts).withColumn("real", F.lit(real))
     n, total = 0, None
-    for r in grouped.groupBy("part", "real").applyInArrow(add, "n long, sums binary").toLocalIterator():
+    for r in grouped.groupBy("part", "real").applyInArrow(add, "n long, sums binary").coalesce(parts).toLocalIterator():
         own = np.frombuffer(r["sums"], dtype=np.float64 if real else np.int64)
         n, total = n + r["n"], own.copy() if total is None else total + own
     return n, total

@@ -137,7 +137,7 @@ def frequency_sketch(rows: DataFrame, size: int) -> np.ndarray:
     """
     some = rows.withColumn("part", F.pmod(F.xxhash64("counters"), F.lit(16))).groupBy("row", "part").applyInArrow(_summed, "row long, counters binary")
     out = np.zeros((size // 4096, 4096), dtype=np.uint32)
-    for r in some.groupBy("row").applyInArrow(_summed, "row long, counters binary").toLocalIterator():
+    for r in some.groupBy("row").applyInArrow(_summed, "row long, counters binary").coalesce(8).toLocalIterator():
         out[r["row"]] = np.frombuffer(r["counters"], np.uint32)
     return out.reshape(-1)
 

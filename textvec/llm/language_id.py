@@ -157,7 +157,7 @@ def fitted(train: DataFrame, positions: int = POSITIONS, typical: float = TYPICA
     bits = grams.select("l", F.explode(F.array(*(place(k) for k in range(HASHES)))).alias("place"))
     bits = bits.groupBy("place", F.floor(F.col("l") / 64).cast("int").alias("slice")).agg(F.bit_or(F.expr("shiftleft(1L, l % 64)")).alias("word"))
     rows = bits.groupBy(F.floor(F.col("place") / ROW).alias("row"), "slice").applyInArrow(_rows_of_words, "row long, slice int, words binary")
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         words[r["row"] * ROW : (r["row"] + 1) * ROW, r["slice"]] = np.frombuffer(r["words"], np.uint64)
     out = Filters(languages, words)
     # how much of a language's own text its filter contains, on average
