@@ -33,9 +33,9 @@ from .common import arrow_map, digest, raw_bytes, tokenizer_path
 #: Bytes of a pre-token up to which it goes through the recursive query.
 LONG = 1024
 #: Words that a worker remembers before it starts anew.
-KEPT = 400_000
+KEPT = 600_000
 #: Rows that one recursive query makes at most, about: half the square of a word's bytes for each word.
-ROWS = 6_000_000
+ROWS = 3_000_000
 #: Bytes of text handled at once.
 PIECE = 4 << 20
 
@@ -65,6 +65,8 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: b for b, i in self.ranks.items()}
+        #: Ids in decimal.
+        self.said = list(map(str, range(max(self.tokens) + 1)))
         self.pattern = regex.compile(public_pattern())
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
@@ -180,7 +182,7 @@ class Codec:
         cut = [self.pattern.findall(t) for t in texts]
         self.learn(set().union(*cut))
         many = np.array([len(ws) for ws in cut], dtype=np.int64)
-        word = np.fromiter((k for ws in cut for k in map(self.words.__getitem__, ws)), dtype=np.int64, count=int(many.sum()))
+        word = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(cut)), dtype=np.int64, count=int(many.sum()))
         sizes = self.sizes[word]
         total = np.append(0, np.cumsum(sizes))
         flat = self.ids[np.arange(total[-1]) + np.repeat(self.starts[word] - total[:-1], sizes)]
@@ -225,7 +227,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ends = np.cumsum(counts)
         n = pa.array(counts, pa.int64())
         if digests:
-            said = list(map(str, flat.tolist()))
+            said = list(map(own.said.__getitem__, flat.tolist()))
             ids = [digest(",".join(said[a:b]).encode()) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
             out = [pa.array(ids, pa.string()), pa.array(list(map(digest, decoded)), pa.string())]
         else:
