@@ -191,3 +191,67 @@ def embedding_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("embedding_input", embedding_input, f"WITH {SEGMENTED}, r AS (SELECT doc_id, unnest(cut) AS id, generate_subscripts(cut, 1) - 1 AS pos FROM framed), x AS (SELECT doc_id, pos, j, {embedding_sql('id', 'j')} AS x FROM r, range(8) b(j)) SELECT doc_id, j, round(sum(x + {weight_sql(5, 'pos', 'j')} + {weight_sql(6, '0', 'j')}), 5) + 0.0 AS added, round(max(x * sqrt(8.0::DOUBLE)), 4) + 0.0 AS scaled FROM x GROUP BY 1, 2")
+
+
+# Pre-tokens and byte-level BPE in SQL.  RE2 knows no look-ahead: where a run of white space stands before
+# something else, U+0002 is put in front of its last character instead, and belongs to no token.
+
+_W = r"\t\n\x0b\f\r\x{85}\p{Z}"
+
+
+def _marked(text: str, last: str) -> str:
+    return f"regexp_replace({text}, '([{_W}])([{last}][^{_W}])', '\\1\x02\\2', 'g')"
+
+
+_GPT2 = f"""regexp_extract_all({_marked('text', _W)}, '''s|''t|''re|''ve|''m|''ll|''d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_W}\\p{{L}}\\p{{N}}\x02]+|[{_W}]+')"""
+_LINE = _W.replace(r"\n", "").replace(r"\r", "")
+
+
+def _qwen(text: str) -> str:
+    return f"""regexp_extract_all({_marked(text, _LINE)}, '(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\\r\\n\\p{{L}}\\p{{N}}\x02]?\\p{{L}}+|\\p{{N}}| ?[^{_W}\\p{{L}}\\p{{N}}\x02]+[\\r\\n]*|[{_W}]*[\\r\\n]+|[{_W}]+')"""
+
+
+ORACLE_SQL["gpt2_pretokens"] = _listed_sql(_GPT2)
+ORACLE_SQL["qwen_pretokens"] = _listed_sql(_qwen("text"))
+
+_MERGED = """
+words AS (SELECT DISTINCT word FROM tokens),
+state(word, ord, id, round) AS (
+  SELECT word, ord, id, 0 FROM symbols
+  UNION ALL
+  SELECT s.word, s.ord - CAST(s.ord > b.at AS INT), CASE WHEN s.ord = b.at THEN b.merged ELSE s.id END, s.round + 1
+  FROM state s JOIN (SELECT word, least // 1000000 AS rank, least % 1000000 AS at, merged FROM (
+      SELECT a.word, min(m.rank * 1000000 + a.ord) AS least, arg_min(m.merged, m.rank * 1000000 + a.ord) AS merged
+      FROM state a JOIN state n ON n.word = a.word AND n.ord = a.ord + 1 JOIN merges m ON m.l = a.id AND m.r = n.id GROUP BY a.word)) b ON s.word = b.word
+  WHERE s.ord <> b.at + 1),
+ends AS (SELECT word, max(round) AS round FROM state GROUP BY word),
+done AS (SELECT word, list(id ORDER BY ord) AS ids FROM state JOIN ends USING (word, round) GROUP BY word),
+framed AS (SELECT d.doc_id, list_concat({head}, coalesce(flatten(list(w.ids ORDER BY t.k)), []), [{tail}::BIGINT]) AS ids
+           FROM documents d LEFT JOIN tokens t USING (doc_id) LEFT JOIN done w USING (word) GROUP BY d.doc_id)
+SELECT doc_id, len(ids) AS n, sha256(array_to_string(ids, ',')) AS digest FROM framed"""
+
+
+def _merges_sql(own: dict[str, int], merges: list[tuple[str, str]]) -> str:
+    return ", ".join(f"({own[a]}::BIGINT, {own[b]}::BIGINT, {k}::BIGINT, {own[a + b]}::BIGINT)" for k, (a, b) in enumerate(merges))
+
+
+def _bytes_sql(items: str, head: str) -> str:
+    """Ids of byte-level BPE: a byte's token is its value, four on."""
+    return f"""WITH RECURSIVE merges(l, r, rank, merged) AS (VALUES {_merges_sql(vocab.bpe_vocab(), vocab.bpe_merges())}),
+tokens AS (SELECT doc_id, unnest(items) AS word, generate_subscripts(items, 1) AS k FROM (SELECT doc_id, {items} AS items FROM documents)),
+symbols AS (SELECT word, ord, 4 + CAST('0x' || substr(hex(word), 2 * ord + 1, 2) AS BIGINT) AS id FROM (SELECT word, unnest(range(strlen(word))) AS ord FROM (SELECT DISTINCT word FROM tokens))),
+{_MERGED.format(head=head, tail=2)}"""
+
+
+ORACLE_SQL["bpe_ids"] = _bytes_sql(_GPT2, "[0::BIGINT]")
+ORACLE_SQL["qwen_ids"] = _bytes_sql(_qwen("nfc_normalize(text)"), "[]::BIGINT[]")
+_GEMMA, _GEMMA_MERGES = vocab.gemma_vocab()
+_CHARS = ", ".join("('{}', {}::BIGINT)".format(c.replace("'", "''"), k) for c, k in _GEMMA.items() if len(c) == 1)
+# no merge reaches over a mark's left side, so parts begin with marks; a character without a token is its bytes
+ORACLE_SQL["gemma_ids"] = f"""WITH RECURSIVE merges(l, r, rank, merged) AS (VALUES {_merges_sql(_GEMMA, _GEMMA_MERGES)}), chars(c, id) AS (VALUES {_CHARS}),
+tokens AS (SELECT doc_id, unnest(items) AS word, generate_subscripts(items, 1) AS k FROM (SELECT doc_id, regexp_extract_all(replace(text, ' ', '▁'), '(?s)▁?[^▁]+|▁') AS items FROM documents)),
+letters AS (SELECT word, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS k FROM (SELECT DISTINCT word FROM tokens)),
+parts AS (SELECT l.word, l.k, b.j, coalesce(chars.id, {_GEMMA['<0x00>']} + CAST('0x' || substr(hex(l.c), 2 * b.j + 1, 2) AS BIGINT)) AS id
+          FROM letters l LEFT JOIN chars USING (c), LATERAL (SELECT unnest(range(CASE WHEN chars.id IS NULL THEN strlen(l.c) ELSE 1 END)) AS j) b),
+symbols AS (SELECT word, row_number() OVER (PARTITION BY word ORDER BY k, j) - 1 AS ord, id FROM parts),
+{_MERGED.format(head=f"[{_GEMMA['<bos>']}::BIGINT]", tail=_GEMMA['<eos>'])}"""
