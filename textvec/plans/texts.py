@@ -255,3 +255,23 @@ parts AS (SELECT l.word, l.k, b.j, coalesce(chars.id, {_GEMMA['<0x00>']} + CAST(
           FROM letters l LEFT JOIN chars USING (c), LATERAL (SELECT unnest(range(CASE WHEN chars.id IS NULL THEN strlen(l.c) ELSE 1 END)) AS j) b),
 symbols AS (SELECT word, row_number() OVER (PARTITION BY word ORDER BY k, j) - 1 AS ord, id FROM parts),
 {_MERGED.format(head=f"[{_GEMMA['<bos>']}::BIGINT]", tail=_GEMMA['<eos>'])}"""
+
+# Best segmentation in SQL: a row of best scores and paths for each word, one character longer each round.
+_UNIGRAM = vocab.unigram_pieces()
+_BODIES = ", ".join("('{}', {}::BIGINT, {!r}::DOUBLE)".format(t.replace("'", "''"), k, score) for k, (t, score, kind) in enumerate(_UNIGRAM) if kind == 1)
+_LONGEST = max(len(t) for t, _, kind in _UNIGRAM if kind == 1)
+_UNKNOWN = min(score for _, score, kind in _UNIGRAM if kind == 1) - 10.0
+ORACLE_SQL["unigram_ids"] = f"""WITH RECURSIVE pieces(body, id, score) AS (VALUES {_BODIES}),
+normal AS (SELECT doc_id, regexp_replace(trim(text, ' '), ' +', ' ', 'g') AS t FROM documents),
+tokens AS (SELECT doc_id, unnest(items) AS word, generate_subscripts(items, 1) AS k FROM (SELECT doc_id, regexp_extract_all(CASE WHEN t = '' THEN '' ELSE '▁' || replace(t, ' ', '▁') END, '(?s)▁[^▁]*') AS items FROM normal)),
+best(word, size, scores, paths) AS (
+  SELECT DISTINCT word, 0::BIGINT, [0.0::DOUBLE], [[]::BIGINT[]] FROM tokens
+  UNION ALL
+  SELECT word, size + 1, list_append(any_value(scores), max(score)), list_append(any_value(paths), arg_max(path, row(score, n))) FROM (
+    SELECT b.word, b.size, b.scores, b.paths, n.n AS n, b.scores[b.size + 2 - n.n] + coalesce(p.score, {_UNKNOWN!r}::DOUBLE) AS score, list_append(b.paths[b.size + 2 - n.n], coalesce(p.id, 0)) AS path
+    FROM best b JOIN range(1, {_LONGEST + 1}) n(n) ON n.n <= b.size + 1 LEFT JOIN pieces p ON p.body = substr(b.word, b.size + 2 - n.n, n.n)
+    WHERE b.size < length(b.word) AND (p.id IS NOT NULL OR n.n = 1))
+  GROUP BY word, size),
+done AS (SELECT word, list_transform(list_filter(path, lambda x, i: x <> 0 OR i = 1 OR path[i - 1] <> 0), lambda x: CASE x WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE x + 1 END) AS ids FROM (SELECT word, paths[size + 1] AS path FROM best WHERE size = length(word))),
+framed AS (SELECT d.doc_id, list_concat([0::BIGINT], coalesce(flatten(list(w.ids ORDER BY t.k)), []), [2::BIGINT]) AS ids FROM documents d LEFT JOIN tokens t USING (doc_id) LEFT JOIN done w USING (word) GROUP BY d.doc_id)
+SELECT doc_id, len(ids) AS n, sha256(array_to_string(ids, ',')) AS digest FROM framed"""
