@@ -11,7 +11,8 @@ Every other text is cut at boundaries that are stable without a look at the enco
 between two characters that are not white space always begins a pre-token.  The same piece then
 always has the same tokens, so each distinct piece is encoded once per worker and kept.
 
-Nulls count as empty; an empty text has 0 tokens.  Repeated rows give repeated results.  Only the
+Nulls count as empty; an empty text has 0 tokens.  Repeated rows give repeated results; an empty table
+gives none; of boundaries that both chunks hold the last counts, and any gives the same ids.  Only the
 two named columns are read, whatever others there are.
 """
 
@@ -122,14 +123,10 @@ def _counter(path: str, huge: int):
     return count
 
 
-def _forget() -> None:
-    _workers.clear()
-
-
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, huge: int = HUGE) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row: UTF-8 bytes, and tokens as the library counts them.
 
     No shuffle: one pass, column-pruned, with batches of bounded bytes.
     """
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _counter(path, huge), "doc_id long, n_bytes long, n_tokens long", done=_forget)
+    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _counter(path, huge), "doc_id long, n_bytes long, n_tokens long")
