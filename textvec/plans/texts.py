@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions.weights import embedding_sql, weight_sql
 from ..operators import vocab
 from ..operators.pipeline import tokenize
+from ..sources.shared import fresh_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -136,6 +137,23 @@ def _ids_sql(column: str) -> str:
 
 
 _add("wordpiece_ids", partial(_ids, "wordpiece", 1 << 30), _ids_sql("whole"))
+
+
+def stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids by a stream over the table's files: stateless, so every row of every micro-batch is final."""
+    path = f"{sf_dir}/documents.parquet"
+    table = spark.read.parquet(path)
+    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 64)
+    # a stream watches a folder: the table's own, or the one that its only file lies in
+    alone = all(f.endswith("/documents.parquet") for f in table.inputFiles())
+    rows = source.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if alone else source.parquet(path)
+    ids = tokenize(rows.select("doc_id", "text"), "wordpiece", 1 << 30).select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("digest"))
+    out = fresh_path(spark, "stream")
+    ids.writeStream.format("parquet").option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(ids.schema).parquet(out)
+
+
+_add("stream_ids", stream_ids, _ids_sql("whole"))
 _add("wordpiece_truncated", partial(_ids, "wordpiece", 32), _ids_sql("cut"))
 _add("token_usage", lambda s, d: _ids("wordpiece", 32, s, d).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("tokens")), f"WITH {SEGMENTED} SELECT count(*) AS texts, CAST(sum(len(cut)) AS BIGINT) AS tokens FROM framed")
 _add("bpe_ids", partial(_ids, "bpe", 1 << 30))
