@@ -47,6 +47,8 @@ PIECE = 1 << 20
 BROADCAST_BYTES = 48 << 20
 #: Bytes of the passages of one automaton, and words of the documents that meet it in one task, about.
 SHARD, PACK = 4 << 20, 600_000
+#: Tasks of that step at most, whatever the number of parts; more parts then share a task, one after another.
+MOST_TASKS = 50_000
 
 
 #: Makes a second, independent hash of each word.
@@ -262,7 +264,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = routed.count() * 40
     texts_of = _keyed(docs, routed, size, broadcast_bytes).select("shard", "part", "doc_id", "row", F.lit(None).cast("array<int>").alias("places"), "text")
     copies = passages.withColumn("shard", of_owner("owner")).join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("owner").alias("doc_id"), F.lit(0).cast("long").alias("row"), "places", F.col("passage").alias("text"))
-    located = texts_of.unionByName(copies).groupBy("shard", "part").applyInArrow(_located(window, phrase), "doc_id long, row long, spans array<int>")
+    # as many tasks as there are parts, so that none meets several large ones
+    groups = parts.agg(F.sum("parts")).first()[0] or 1
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * groups, MOST_TASKS))
+    located = texts_of.unionByName(copies).repartition(tasks, "shard", "part").groupBy("shard", "part").applyInArrow(_located(window, phrase), "doc_id long, row long, spans array<int>")
     spans = stored(located.filter(F.size("spans") > 0).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     dropped(passages, runs)
     size = spans.agg(F.sum(4 * F.size("spans") + 64)).first()[0] or 0
