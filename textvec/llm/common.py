@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, fresh_path, shared_folder, stored
 
-__all__ = ["arrow_map", "bitmap", "digest", "dropped", "fresh_path", "hinted", "in_bitmap", "pieces", "raw_bytes", "shared_folder", "small_batches", "small_enough", "stored", "table", "tidied", "tokenizer_path"]
+__all__ = ["arrow_map", "bitmap", "digest", "dropped", "fresh_path", "hinted", "in_bitmap", "pieces", "raw_bytes", "shared_folder", "small_batches", "small_enough", "stored", "table", "tidied", "tidy", "tokenizer_path"]
 
 #: A-Z to a-z, everything else unchanged.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -56,6 +56,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "8m")
 
 
+def tidy() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], done: Callable[[], None] | None = None) -> Callable:
     """fn for mapInArrow, giving its memory back at the end of each task: workers live on, and others need the room."""
 
@@ -65,10 +73,7 @@ def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], d
         finally:
             if done is not None:
                 done()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                with contextlib.suppress(OSError, AttributeError):
-                    ctypes.CDLL(None).malloc_trim(0)
+            tidy()
 
     return run
 

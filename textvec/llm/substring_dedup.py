@@ -37,16 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, digest, dropped, raw_bytes, stored
+from .common import arrow_map, digest, dropped, raw_bytes, stored, tidy
 from .shingles import inside, mixed, ngrams, sliding_min, word_hashes
 
 WINDOW, PHRASE = 50, 8
 #: Bytes of text hashed at once; the arrays take some 50 times as much.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes up to which the lists of concerned documents are broadcast.
 BROADCAST_BYTES = 48 << 20
 #: Bytes of the passages of one automaton, and words of the documents that meet it in one task, about.
-SHARD, PACK = 4 << 20, 600_000
+SHARD, PACK = 2 << 20, 400_000
 #: Tasks of that step at most, whatever the number of parts; more parts then share a task, one after another.
 MOST_TASKS = 50_000
 
@@ -210,6 +210,8 @@ def _located(window: int, phrase: int):
         shard = Shard([(ids[k], texts[k].split(" "), p) for k, p in enumerate(places) if p is not None], phrase)
         docs = [k for k, p in enumerate(places) if p is None]
         spans = [shard.repeats(ids[k], [w.decode("utf-8") for w in texts[k].encode("utf-8").split()], window) for k in docs]
+        del shard, texts
+        tidy()
         return pa.table({"doc_id": pa.array([ids[k] for k in docs], pa.int64()), "row": pa.array([rows[k] for k in docs], pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32()))})
 
     return locate
