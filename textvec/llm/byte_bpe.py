@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, digest, raw_bytes, tokenizer_path
+from .common import KEPT_BY, arrow_map, digest, raw_bytes, tokenizer_path
 
 #: Bytes of a pre-token up to which it goes through the recursive query.
 LONG = 1024
@@ -203,11 +203,12 @@ _codecs: dict[str, Codec] = {}
 def _codec(path: str) -> Codec:
     if path not in _codecs:
         _codecs[path] = Codec(path)
+        KEPT_BY["byte_bpe"] = _codecs.clear
     return _codecs[path]
 
 
 def _close() -> None:
-    """At the end of a task: vocabularies and words stay with the worker, databases don't."""
+    """At the end of a task: vocabularies and words stay with the worker until another operator's task, databases don't."""
     for own in _codecs.values():
         own.close()
 
@@ -236,4 +237,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, f"doc_id long, n_tokens long, {kinds}", limit=PIECE, done=_close)
+    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, f"doc_id long, n_tokens long, {kinds}", limit=PIECE, done=_close, owner="byte_bpe")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, fresh_path, shared_folder, stored
 
-__all__ = ["arrow_map", "bitmap", "digest", "dropped", "fresh_path", "hinted", "in_bitmap", "pieces", "raw_bytes", "shared_folder", "small_batches", "small_enough", "stored", "table", "tidied", "tidy", "tokenizer_path"]
+__all__ = ["KEPT_BY", "arrow_map", "bitmap", "digest", "dropped", "fresh_path", "hinted", "in_bitmap", "pieces", "raw_bytes", "shared_folder", "small_batches", "small_enough", "stored", "table", "tidied", "tidy", "tokenizer_path"]
 
 #: A-Z to a-z, everything else unchanged.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -64,10 +64,24 @@ def tidy() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], done: Callable[[], None] | None = None) -> Callable:
-    """fn for mapInArrow, giving its memory back at the end of each task: workers live on, and others need the room."""
+#: What a worker keeps from task to task, by owner, and how to forget it.
+KEPT_BY: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(owner: str | None) -> None:
+    """Forget what all owners but this one keep in this worker."""
+    for name in [n for n in KEPT_BY if n != owner]:
+        KEPT_BY.pop(name)()
+
+
+def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], done: Callable[[], None] | None = None, owner: str | None = None) -> Callable:
+    """fn for mapInArrow, giving its memory back at the end of each task: workers live on, and others need the room.
+
+    What `owner` keeps in the worker stays for its next task, and goes with the first task of another.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
         try:
             yield from fn(batches)
         finally:
@@ -78,7 +92,7 @@ def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], d
     return run
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text", limit: int = 8 << 20, done: Callable[[], None] | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text", limit: int = 8 << 20, done: Callable[[], None] | None = None, owner: str | None = None) -> DataFrame:
     """mapInArrow with batches of bounded bytes; done() is called at the end of each task."""
     small_batches(df.sparkSession)
 
@@ -88,7 +102,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if out is not None:
                 yield out
 
-    return df.mapInArrow(tidied(run, done), schema)
+    return df.mapInArrow(tidied(run, done, owner), schema)
 
 
 def bitmap(df: DataFrame, bits: int = 26) -> np.ndarray:
