@@ -146,6 +146,11 @@ def test_tiny_bert_shuffles_ids_once(spark, sf_dir):
     assert (plan.count("Exchange hashpartitioning"), plan.count("ArrowEvalPython")) == (1, 1)
 
 
+def test_tiny_bert_tokens_shuffle_ids_once(spark, sf_dir):
+    plan = plan_of(models.embed_tokens_tiny_bert(spark, sf_dir))
+    assert (plan.count("Exchange"), plan.count("SortMergeJoin"), plan.count("ArrowEvalPython")) == (3, 0, 1)  # two are the broadcasts of the tables
+
+
 def test_refusals():
     e = nn.Encoder(nn.tiny("bert", 90))
     for bad in ([], [90], [-1], [1] * 65):
