@@ -1,6 +1,7 @@
 """Inputs on which an operator once did less than its whole job."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +192,63 @@ def plain_lcs(a, b):
     return row[-1]
 
 
+def some_areas(rng, n_words, n_areas, width):
+    """Items of 30 of 500 terms each, a text with a third of such words, and areas of it."""
+    items = decontamination.Items([(k, " ".join("w%d" % rng.integers(500) for _ in range(30))) for k in range(20)])
+    numbers = np.where(rng.random(n_words) < 0.33, rng.integers(0, len(items.terms), n_words), -1).astype(np.int32)
+    sizes, n = np.array([len(w) for w in items.words]), len(items.terms)
+    holds = np.zeros((len(sizes), n + 1), dtype=bool)
+    holds[np.repeat(np.arange(len(sizes)), sizes), items.every] = True
+    heavy = holds & np.append(rng.random(n) < 0.2, False)
+    begin = rng.integers(0, n_words - width, n_areas)
+    return items, (holds, heavy, sizes, numbers, rng.integers(0, len(sizes), n_areas), begin, begin + rng.integers(1, width, n_areas))
+
+
+def test_decontamination_bounds_equal_loops(monkeypatch):
+    """The tests before the subsequence keep what counts word by word keep, however many words are looked up at once."""
+    rng = np.random.default_rng(2)
+    items, (holds, heavy, sizes, numbers, item, begin, end) = some_areas(rng, 5000, 400, 600)
+    for least in (0.1, 0.25, 0.4):
+        want = []
+        for k, a, b in zip(item, begin, end, strict=True):
+            own, lacks = [w for w in numbers[a:b] if holds[k, w]], (1 - least) * sizes[k] + 1e-9
+            rare = [w for w in own if heavy[k, w]]
+            want.append(min(len(own) - sizes[k], len(set(own)) - holds[k].sum(), len(set(rare)) - heavy[k].sum()) >= -lacks)
+        assert 0 < sum(want) < len(want)
+        for at_once in (1, 50, 1 << 22):
+            monkeypatch.setattr(decontamination, "LOOKED_UP", at_once)
+            assert decontamination._possible(items, holds, heavy, sizes, numbers, item, begin, end, least).tolist() == want
+
+
+def test_decontamination_looks_up_words_of_items():
+    """Areas that lack an item's rare words take no array of all their words."""
+    items, rest = some_areas(np.random.default_rng(3), 100_000, 40, 90_000)
+    rest[1][:, :] = False
+    rest[1][np.arange(20), [w[0] for w in np.split(items.every, 20)]] = True
+    rest[3][np.isin(rest[3], np.flatnonzero(rest[1].any(axis=0)))] = -1
+    tracemalloc.start()
+    try:
+        assert not decontamination._possible(items, *rest, 1.0).any()
+        assert tracemalloc.get_traced_memory()[1] < 8e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_decontamination_sums_and_numbers():
+    """Words' numbers and blocks' sums equal plain ones, with blocks of one to all words."""
+    rng = np.random.default_rng(4)
+    items = decontamination.Items([(0, " ".join("t%d" % k for k in range(3000)))])
+    h = np.concatenate([rng.permutation(items.terms), rng.integers(0, 1 << 63, 3000).astype(np.uint64), items.terms ^ np.uint64(1)])
+    at = {x: k for k, x in enumerate(items.terms.tolist())}
+    assert items.numbers(h).tolist() == [at.get(x, -1) for x in h.tolist()]
+    block = np.repeat(np.arange(0, 900, 3), rng.integers(1, decontamination.STRIDE + 1, 300))
+    terms, rows = rng.integers(0, 50, len(block)), rng.normal(size=(50, 7))
+    for at_once in (1, 64, 2048):
+        sums, blocks = decontamination._block_sums(terms, block, rows, at_once)
+        assert blocks.tolist() == list(range(0, 900, 3)) and np.allclose(sums, [rows[terms[block == b]].sum(axis=0) for b in blocks])
+    assert [len(x) for x in decontamination._block_sums(terms[:0], block[:0], rows)] == [0, 0]
+
+
 def test_decontamination_of_odd_rows(spark):
     """Nulls, empties, one very long text, repeated rows, ties of two items, clashing columns, and what is found is right."""
     rng = random.Random(12)

@@ -46,6 +46,8 @@ OFTEN, RARE = 0.5, 0.02
 COSINE, COVER, MOST, LCS, LOOSE, ANSWER = 0.25, 0.25, 0.5, 0.75, 0.6, 0.9
 #: Items, and words of items, that share a space and a broadcast; an item over that has its own.
 SLICE, SLICE_WORDS = 2000, 40_000
+#: Leading bits of a word's hash that lead to the terms.
+BITS = 18
 #: Words of candidates' surroundings looked up at once.
 LOOKED_UP = 4 << 20
 #: Bytes of text hashed at once; the arrays take some 50 times as much.
@@ -101,9 +103,9 @@ class Items:
             self.of += [k] * many
             self.heads += [at + len(w) * j // many for j in range(many)]
             at += len(w)
-        #: A bit for each value of the leading 16 bits that some term has.
-        self.some = np.zeros(1 << 16, dtype=bool)
-        self.some[(self.terms >> np.uint64(48)).astype(np.int64)] = True
+        #: Where the terms of each value of the leading BITS bits begin, whether there are any, and how many at most.
+        first = np.searchsorted(self.terms >> np.uint64(64 - BITS), np.arange((1 << BITS) + 1, dtype=np.uint64))
+        self.first, self.some, self.deep = first[:-1].astype(np.int32), first[1:] > first[:-1], int(np.diff(first).max())
 
     def sums(self, rows: np.ndarray) -> np.ndarray:
         """Sum of the terms' rows over the words of each piece."""
@@ -118,11 +120,13 @@ class Items:
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 for words of no item."""
         out = np.full(len(h), -1, dtype=np.int32)
-        at = np.flatnonzero(self.some[(h >> np.uint64(48)).astype(np.int64)])
-        k = np.searchsorted(self.terms, h[at])
-        k[k == len(self.terms)] = 0
-        good = self.terms[k] == h[at]
-        out[at[good]] = k[good]
+        top = (h >> np.uint64(64 - BITS)).astype(np.int64)
+        at = np.flatnonzero(self.some[top])
+        k, own = self.first[top[at]], h[at]
+        for _ in range(self.deep):
+            good = self.terms[np.minimum(k, len(self.terms) - 1)] == own
+            out[at[good]] = k[good]
+            at, k, own = at[~good], k[~good] + 1, own[~good]
         return out
 
 
@@ -140,15 +144,19 @@ def _weighted(numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple
 
 def _block_sums(terms: np.ndarray, block: np.ndarray, rows: np.ndarray, at_once: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the terms' rows in each block that has any, and the blocks; a block has STRIDE words at most."""
-    heads = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
-    # a block's terms in a row of their own, filled up with a term of zeros
-    slots = np.full((len(heads), STRIDE), len(rows), dtype=np.int32)
-    which = np.cumsum(np.append(False, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
-    slots[which, np.arange(len(block)) - heads[which]] = terms
-    padded = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+    heads = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+    size = np.diff(np.append(heads, len(block)))
+    # those of most terms first, so that the ones that have another stand in front
+    order = np.argsort(-size, kind="stable")
     out = np.empty((len(heads), rows.shape[1]), rows.dtype)
     for k in range(0, len(heads), at_once):
-        out[k : k + at_once] = padded[slots[k : k + at_once]].sum(axis=1)
+        own = order[k : k + at_once]
+        at, left = heads[own], size[own]
+        part = rows.take(terms[at], axis=0)
+        for j in range(1, int(left[0])):
+            more = at[left > j]
+            part[: len(more)] += rows.take(terms[more + j], axis=0)
+        out[own] = part
     return out, block[heads]
 
 
@@ -184,10 +192,11 @@ def _ranges(shared, idf_of):
             sums, blocks = _block_sums(terms, block, scaled)
             # A^T (A test): each word adds its block's row to its term
             order = np.argsort(terms, kind="stable")
-            own = terms[order]
-            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
-            if len(heads):
-                total[own[heads]] += idf[own[heads], None] * np.add.reduceat(sums[np.searchsorted(blocks, block[order])], heads, axis=0)
+            every, row = terms[order], np.searchsorted(blocks, block)[order]
+            for start in range(0, len(every), 4096):
+                own = every[start : start + 4096]
+                heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                total[own[heads]] += idf[own[heads], None] * np.add.reduceat(sums.take(row[start : start + 4096], axis=0), heads, axis=0)
             n += len(blocks)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "sums"])
 
@@ -256,33 +265,42 @@ def _possible(items: Items, holds: np.ndarray, heavy: np.ndarray, sizes: np.ndar
     It uses so many words of the item; and it lacks no more of the item's distinct words, or of
     its distinct rare ones, than it lacks words.
     """
-    ok = np.zeros(len(item), dtype=bool)
-    distinct, rare = holds.sum(axis=1), heavy.sum(axis=1)
-    width = end - begin
-    ends = np.cumsum(width)
-    at = 0
-    while at < len(item):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED_UP, side="right")))
-        own, wide = item[at:to], width[at:to]
-        heads = np.cumsum(wide) - wide
-        words = numbers[np.arange(int(wide.sum())) + np.repeat(begin[at:to] - heads, wide)]
-        which = np.repeat(np.arange(to - at), wide)
-        lacks = (1 - least) * sizes[own] + 1e-9
-        rarely = heavy.ravel()[np.repeat(own * holds.shape[1], wide) + words]
-        good = np.add.reduceat(rarely, heads, dtype=np.int32) >= rare[own] - lacks
-        # the rest is for those that are left
-        left = good[which]
-        which, words = which[left], words[left]
-        inside = holds[own[which], words]
-        which, words = which[inside], words[inside]
-        good &= np.bincount(which, minlength=to - at) >= sizes[own] - lacks
-        left = good[which]
-        key = np.unique(which[left] * holds.shape[1] + words[left])
+    lacks = (1 - least) * sizes[item] + 1e-9
+    distinct, rare = holds.sum(axis=1)[item] - lacks, heavy.sum(axis=1)[item] - lacks
+
+    def enough(left: np.ndarray, table: np.ndarray, bound: np.ndarray, again) -> np.ndarray:
+        """Of the areas `left`, those with so many words that the table has for their item, and that again() finds good."""
+        has = table.any(axis=0)[numbers]  # the last column is for words of no item
+        words, before = numbers[has], np.append(0, np.cumsum(has))
+        left = left[before[end[left]] - before[begin[left]] >= bound[left]]
+        ok = np.zeros(len(left), dtype=bool)
+        heads, ends = before[begin[left]], np.cumsum(before[end[left]] - before[begin[left]])
+        at = 0
+        while at < len(left):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + LOOKED_UP, side="right")))
+            wide = np.diff(ends[at:to], prepend=done)
+            which = np.repeat(np.arange(to - at), wide)
+            key = item[left[at:to]][which] * table.shape[1] + words[np.arange(len(which)) + np.repeat(heads[at:to] + done - (ends[at:to] - wide), wide)]
+            hit = table.ravel()[key]
+            which, key = which[hit], key[hit] % table.shape[1]
+            ok[at:to] = np.bincount(which, minlength=to - at) >= bound[left[at:to]]
+            if again is not None:
+                good = ok[at:to][which]
+                ok[at:to] &= again(left[at:to], which[good], key[good])
+            at = to
+        return left[ok]
+
+    def apart(areas: np.ndarray, which: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Those with enough distinct words, and rare ones."""
+        key = np.unique(which * holds.shape[1] + words)
         which, words = key // holds.shape[1], key % holds.shape[1]
-        good &= np.bincount(which, minlength=to - at) >= distinct[own] - lacks
-        good &= np.bincount(which[heavy[own[which], words]], minlength=to - at) >= rare[own] - lacks
-        ok[at:to] = good
-        at = to
+        good = np.bincount(which, minlength=len(areas)) >= distinct[areas]
+        return good & (np.bincount(which[heavy[item[areas[which]], words]], minlength=len(areas)) >= rare[areas])
+
+    # rare words first, as there are few of them
+    ok = np.zeros(len(item), dtype=bool)
+    ok[enough(enough(np.arange(len(item)), heavy, rare, None), holds, sizes[item] - lacks, apart)] = True
     return ok
 
 
@@ -306,16 +324,20 @@ def _search(shared, space_of, cosine: float, lcs: float, loose: float, answer: f
             # a passage is a block and the next one of the same text, where that has weight too
             follows = np.zeros(len(blocks), dtype=bool)
             follows[:-1] = (blocks[1:] == blocks[:-1] + 1) & (text[1:] == text[:-1])
-            sums[follows] += sums[1:][follows[:-1]]
+            sums[:-1] += sums[1:] * follows[:-1, None]
             starts = (np.cumsum(counts) - counts)[text] + (blocks - first[text]) * STRIDE
             length = np.sqrt(np.einsum("ij,ij->i", sums, sums))
-            found_at = []
-            for start in range(0, len(sums), 4096):
-                reach = sums[start : start + 4096] @ targets.T
-                p, k = np.nonzero(reach >= COVER * lengths)
-                near = reach[p, k] / np.maximum(length[start + p], 1e-12)
-                good = (near >= cosine) | (reach[p, k] >= MOST * lengths[k])
-                found_at.append((p[good] + start, of[k[good]], near[good]))
+            found_at = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+            # a passage reaches no farther than its length; a little is left for rounding
+            long = np.flatnonzero(length >= (1 - 1e-4) * COVER * lengths.min())
+            for start in range(0, len(long), 4096):
+                own = long[start : start + 4096]
+                reach = (sums[own] @ targets.T).ravel()
+                at = np.flatnonzero(reach.reshape(len(own), -1) >= COVER * lengths)
+                reach, p, k = reach[at], own[at // len(of)], at % len(of)
+                near = reach / np.maximum(length[p], 1e-12)
+                good = (near >= cosine) | (reach >= MOST * lengths[k])
+                found_at.append((p[good], of[k[good]], near[good]))
             p, k, near = (np.concatenate(x) for x in zip(*found_at, strict=True))
             # of several pieces of an item that meet a passage, the nearest
             order = np.lexsort((-near, k, p))
